@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerscope.functions.arrays import let
+
 # Ids up to 2 are special, -100 marks positions a loss must ignore.
 LAST_SPECIAL_ID = 2
 IGNORE_INDEX = -100
@@ -26,8 +28,11 @@ def mask_labels(ids: Column, pad: int) -> Column:
 def pad_generations(generations: Column, pad: int, k: int) -> Column:
     """Pad every id array of a sample to the longest one and keep the first ``k``."""
     longest = F.array_max(F.transform(generations, lambda g: F.size(g)))
-    padded = F.transform(
-        generations, lambda g: F.concat(g, F.array_repeat(F.lit(pad), longest - F.size(g)))
+    padded = let(
+        longest,
+        lambda n: F.transform(
+            generations, lambda g: F.concat(g, F.array_repeat(F.lit(pad), n - F.size(g)))
+        ),
     )
     return F.slice(padded, 1, k)
 

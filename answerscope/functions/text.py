@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerscope.functions.arrays import let
+
 # The ASCII punctuation that is deleted before comparing answers.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -87,5 +89,7 @@ def answer_set(texts: Column) -> Column:
 
 def answer_mapping(texts: Column) -> Column:
     """For every answer its 0-based place among the sorted distinct answers."""
-    unique = answer_set(texts)
-    return F.transform(texts, lambda t: (F.array_position(unique, t) - 1).cast("int"))
+    return let(
+        answer_set(texts),
+        lambda unique: F.transform(texts, lambda t: (F.array_position(unique, t) - 1).cast("int")),
+    )

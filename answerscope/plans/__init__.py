@@ -1 +1,6 @@
+"""Registered queries, grouped by subject; importing this package registers them all."""
 
+from answerscope.plans import spectral_queries  # noqa: F401
+from answerscope.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

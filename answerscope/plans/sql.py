@@ -56,4 +56,5 @@ def lcs(a: str, b: str) -> str:
 
 
 def f_measure(common: str, na: str, nb: str) -> str:
-    return f"CASE WHEN {common} = 0 OR {na} = 0 OR {nb} = 0 THEN 0::DOUBLE ELSE 2.0::DOUBLE * {common} / ({na} + {nb}) END"
+    p, r = f"({common} / ({na})::DOUBLE)", f"({common} / ({nb})::DOUBLE)"
+    return f"CASE WHEN {common} = 0 OR {na} = 0 OR {nb} = 0 THEN 0::DOUBLE ELSE 2 * {p} * {r} / ({p} + {r}) END"

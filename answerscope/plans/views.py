@@ -186,7 +186,7 @@ SCORES = [
 def records(spark, sf):
     """Result records: the answer's sentences are the generations, its first line the prediction."""
     q = qa(spark, sf).withColumn("lines", F.split("answer", "\n"))
-    sentences = F.filter(F.transform(F.split("answer", r"[.\n]"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("answer", r"[.\n]"), lambda s: F.trim(s)), lambda s: s != "")
     a, n = F.length("answer"), F.length("question")
     return q.select(
         "id", "conv_id", "question", "answer",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from answerscope.functions.arrays import cosine_similarity
 from answerscope.functions.overlap import rouge_l
 from answerscope.functions.text import exact_match
-from answerscope.operators.groups import ROWS_PER_BUCKET, broadcast_if_small, running_totals
+from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, running_totals
 from answerscope.operators.similarity import best_over_references, reference_array
 
 # Cut-offs that turn a similarity into a label.
@@ -129,7 +129,7 @@ def cumulative_counts(
     cum = running_totals(down, keys, "_down", ["pos", "neg"], rows_per_bucket, size_bound).drop("_down")
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if size_bound is None or size_bound > rows_per_bucket:
-        totals = broadcast_if_small(totals)
+        totals = pinned(totals)
     joined = cum.join(totals, keys)
     return joined.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
@@ -203,7 +203,7 @@ def separation(
         threshold = F.round(threshold, round_threshold)
     best = best.select(*keys, "auroc", threshold.alias("threshold"))
     if bound > rows_per_bucket:
-        best = broadcast_if_small(best)
+        best = pinned(best)
     tested = counts.join(best, keys)
     right = F.when(F.col("score") >= F.col("threshold"), F.col("pos")).otherwise(F.col("neg"))
     return tested.groupBy(*keys).agg(

@@ -22,22 +22,27 @@ BROADCAST_ROWS = 100_000
 SAMPLES_PER_BUCKET = 32
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Marks a table for broadcast after counting that it is small; otherwise leaves it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Evaluates a table that is expected to be small, once.
+
+    Up to ``max_rows`` rows become a local relation marked for broadcast, so later plans
+    neither recompute nor shuffle it. A larger table goes to the shared checkpoint folder
+    and is joined like any other.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return checkpointed(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def oversized_groups(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
     """Keys of groups with more than ``limit`` rows and their size, None when there are none.
 
-    One job over the key columns only (pre-aggregated before the shuffle). The result is
-    marked for broadcast only after its own size has been counted.
+    One job over the key columns only, pre-aggregated before the shuffle.
     """
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).filter(F.col("group_rows") > limit)
-    n = big.count()
-    if n == 0:
-        return None
-    return F.broadcast(big) if n <= BROADCAST_ROWS else big
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
+    big = pinned(sizes.filter(F.col("group_rows") > limit))
+    return None if big.isEmpty() else big
 
 
 def split_by_size(
@@ -87,7 +92,7 @@ def running_totals(
     sizes = sizes.withColumn(
         "_nb", F.least(F.ceil(F.col("_n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
     )
-    sizes = broadcast_if_small(sizes)
+    sizes = pinned(sizes)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_nb") * F.lit(SAMPLES_PER_BUCKET)))).cast("bigint")
     picked = (
         df.join(sizes.filter("_nb > 1"), group)
@@ -102,7 +107,7 @@ def running_totals(
             lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / F.col("_nb")).cast("int")),
         ).alias("_bounds"),
     )
-    df = df.join(broadcast_if_small(bounds), group, "left").withColumn(
+    df = df.join(pinned(bounds, BROADCAST_ROWS // SAMPLES_PER_BUCKET), group, "left").withColumn(
         "_bucket",
         F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0)),
     )
@@ -114,7 +119,7 @@ def running_totals(
     )
     inside = _window([*group, "_bucket"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = df.select("*", *[F.sum(v).over(inside).alias(f"_c_{v}") for v in values])
-    joined = summed.join(broadcast_if_small(offsets), [*group, "_bucket"])
+    joined = summed.join(pinned(offsets), [*group, "_bucket"])
     own = [c for c in df.columns if c not in ("_bucket", "_all")]
     return joined.select(*own, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.operators.groups import ROWS_PER_BUCKET, broadcast_if_small, positions, running_totals
+from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, positions, running_totals
 
 
 def _quota(pct: float, n):
@@ -17,7 +17,7 @@ def _threshold(cells: DataFrame, keys: list[str], quota: DataFrame, rows_per_buc
     counts = cells.groupBy(*keys, "importance").agg(F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, keys, "importance", ["n"], rows_per_bucket)
     return (
-        cum.join(broadcast_if_small(quota), keys)
+        cum.join(quota, keys)
         .filter((F.col("k") > 0) & (F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
         .select(*keys, F.col("importance").alias("threshold"))
     )
@@ -57,6 +57,6 @@ def mask_weak_columns(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_
     quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", _quota(pct, F.col("_n")).alias("k"))
     placed = positions(tagged, ["_all"], ["norm", "col"], rows_per_bucket).join(quota, "_all")
     weak = placed.filter(F.col("position") <= F.col("k")).select("col", F.lit(True).alias("_weak"))
-    return cells.join(broadcast_if_small(weak), "col", "left").select(
+    return cells.join(pinned(weak), "col", "left").select(
         "row", "col", F.when(F.col("_weak"), F.lit(0.0)).otherwise(F.col("weight")).alias("weight")
     )

@@ -14,6 +14,9 @@ from answerscope.operators.sampling import with_features
 # A weight counts as non-zero above this size.
 NONZERO = 1e-6
 
+# Below this many training rows one task per pass is the fastest.
+ROWS_PER_TASK = 100_000
+
 # Share of the elastic-net mix per penalty name.
 PENALTY_MIX = {"l1": 1.0, "l2": 0.0}
 
@@ -50,12 +53,17 @@ def fit_layer_weights(
         raise ValueError("penalty is 'l1', 'l2' or 'elasticnet'")
     mix = PENALTY_MIX.get(penalty, l1_ratio)
     rows = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"))
+    rows = rows.persist()
     n = rows.count()
     estimator = LogisticRegression(
         featuresCol="x", labelCol="y", regParam=1.0 / (C * n), elasticNetParam=mix,
         standardization=False, maxIter=max_iter, tol=1e-6, fitIntercept=True,
     )
-    return estimator.fit(rows)
+    try:
+        # every iteration is one pass over the rows: few rows need few tasks
+        return estimator.fit(rows.coalesce(max(1, n // ROWS_PER_TASK)))
+    finally:
+        rows.unpersist()
 
 
 def predictions(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.operators.groups import ROWS_PER_BUCKET, broadcast_if_small, positions
+from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, positions
 
 PREFIX_DIGITS = 4  # 65,536 histogram cells per group, whatever the number of rows
 
@@ -22,7 +22,6 @@ def _mark_lowest(df: DataFrame, quota: DataFrame, label: str, id_col: str, seed:
     falls; lower prefixes are taken entirely and only that prefix is ranked. Digests of
     distinct ids are uniform, so the ranked cell holds about n / 65,536 rows.
     """
-    quota = broadcast_if_small(quota)  # one row per label
     tagged = df.withColumn("_d", seeded_digest(id_col, seed)).withColumn("_p", F.substring("_d", 1, PREFIX_DIGITS))
     cells = tagged.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -33,13 +32,13 @@ def _mark_lowest(df: DataFrame, quota: DataFrame, label: str, id_col: str, seed:
         .select(label, F.col("_p").alias("_cut"), (F.col("_quota") - F.col("_cum") + F.col("_n")).alias("_take"))
     )
     # one cut per label; a label with a quota of 0 has none and takes nothing
-    cut = broadcast_if_small(cut)
+    cut = pinned(cut)
     edge = tagged.select(label, id_col, "_d", "_p").join(cut, label).filter(F.col("_p") == F.col("_cut"))
     place = F.row_number().over(Window.partitionBy(label).orderBy("_d", id_col))
     last = edge.withColumn("_place", place).filter(F.col("_place") == F.col("_take"))
     last = last.select(label, F.col("_d").alias("_last"))
     return (
-        tagged.join(broadcast_if_small(last), label, "left")
+        tagged.join(pinned(last), label, "left")
         .withColumn("_taken", F.coalesce(F.col("_d") <= F.col("_last"), F.lit(False)))
         .drop("_d", "_p", "_last")
     )

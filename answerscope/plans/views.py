@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerscope.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts go through CPU-heavy functions."""
+    keys = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}[name]
+    return spread(table(spark, sf, name), *keys)
+
+
 def _div(col: str, n: int):
     return F.expr(f"{col} div {n}")
 
@@ -164,7 +172,7 @@ FROM embeddings"""
 
 def qa(spark, sf):
     """User turns with the assistant turn that follows directly."""
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations")
     asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return asked.join(told, ["conv_id", "turn"]).select(
@@ -248,7 +256,7 @@ FROM documents JOIN labels USING (doc_id)"""
 
 def conv_answers(spark, sf):
     """Every turn of a conversation as one answer of a sample, whole texts."""
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("gen_id"), "text"
     )
 
@@ -258,7 +266,7 @@ CONV_ANSWERS = "SELECT conv_id AS sample_id, CAST(turn AS INT) AS gen_id, text F
 
 def doc_answers(spark, sf):
     """Documents in groups of five, whole texts."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         _div("doc_id", 5).alias("sample_id"), (F.col("doc_id") % 5).cast("int").alias("gen_id"), "text"
     )
 
@@ -287,7 +295,7 @@ FROM lineitem GROUP BY ALL"""
 
 def token_ids(spark, sf):
     """Word lengths of a turn stand in for its token ids."""
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("gen_id"),
         F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"),
     )

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", app: str = "answerscope", **conf: str)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -57,3 +58,13 @@ def checkpointed(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys: str):
+    """At least one task per core for CPU-heavy steps over a handful of input files.
+
+    Tables of many files already have enough splits and are left alone. ``keys`` should be
+    unique, so that the rows spread evenly.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)

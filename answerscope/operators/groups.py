@@ -85,9 +85,10 @@ def running_totals(
         return df.select("*", *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
 
     df = checkpointed(df)
-    group = keys or ["_all"]
+    own = df.columns
+    group = keys or ["_whole"]
     if not keys:
-        df = df.withColumn("_all", F.lit(0))
+        df = df.withColumn("_whole", F.lit(0))
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn(
         "_nb", F.least(F.ceil(F.col("_n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
@@ -120,7 +121,6 @@ def running_totals(
     inside = _window([*group, "_bucket"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = df.select("*", *[F.sum(v).over(inside).alias(f"_c_{v}") for v in values])
     joined = summed.join(pinned(offsets), [*group, "_bucket"])
-    own = [c for c in df.columns if c not in ("_bucket", "_all")]
     return joined.select(*own, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 

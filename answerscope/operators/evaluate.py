@@ -15,6 +15,7 @@ from answerscope.functions.overlap import rouge_l
 from answerscope.functions.text import exact_match
 from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, running_totals
 from answerscope.operators.similarity import best_over_references, reference_array
+from answerscope.session import checkpointed
 
 # Cut-offs that turn a similarity into a label.
 COSINE_CUTOFF = 0.9
@@ -134,6 +135,19 @@ def cumulative_counts(
     return joined.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
 
+def _counted(
+    scored: DataFrame, keys: list[str], rows_per_bucket: int, size_bound: int | None
+) -> tuple[DataFrame, int]:
+    """Counts per score and an upper bound of their number.
+
+    Counting rows needs none of their columns, so scores and labels are not computed for
+    it. Many counts are stored once in the shared folder, as several steps read them.
+    """
+    bound = scored.count() if size_bound is None else size_bound
+    counts = score_counts(scored, keys)
+    return (checkpointed(counts) if bound > rows_per_bucket else counts), bound
+
+
 def curve_points(cum: DataFrame, keys: list[str]) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score."""
     return cum.select(
@@ -149,8 +163,7 @@ def roc_curve(
 ) -> DataFrame:
     """All curve points including the first one at +infinity; ties form one point."""
     scored, keys = _grouped(scored, keys)
-    bound = scored.count() if size_bound is None else size_bound
-    counts = score_counts(scored, keys)
+    counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     points = curve_points(cumulative_counts(counts, keys, rows_per_bucket, bound), keys)
     start = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(
         *keys,
@@ -185,8 +198,7 @@ def separation(
     it before it is applied.
     """
     scored, keys = _grouped(scored, keys)
-    bound = scored.count() if size_bound is None else size_bound
-    counts = score_counts(scored, keys)
+    counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
     tpr = F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double"))
     fpr = F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double"))
@@ -221,8 +233,8 @@ def auroc(
 ) -> DataFrame:
     """P(score of a positive > of a negative) + half the ties; NULL with one class only."""
     scored, keys = _grouped(scored, keys)
-    bound = scored.count() if size_bound is None else size_bound
-    cum = cumulative_counts(score_counts(scored, keys), keys, rows_per_bucket, bound)
+    counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
+    cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
     return cum.groupBy(*keys).agg(_auroc_value().alias("auroc")).drop("_all")
 
 

@@ -19,6 +19,7 @@ GROUP_LIMIT = 1024
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 BROADCAST_ROWS = 100_000
+NARROW_BROADCAST_ROWS = 2_000_000  # a few integers per row: well below 100 MB
 SAMPLES_PER_BUCKET = 32
 
 
@@ -35,6 +36,12 @@ def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def broadcast_narrow(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a table of a few integers per row for broadcast when ``rows``, an upper bound
+    of its counted size, allows it; otherwise the join shuffles both sides."""
+    return F.broadcast(df) if rows <= NARROW_BROADCAST_ROWS else df
+
+
 def oversized_groups(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
     """Keys of groups with more than ``limit`` rows and their size, None when there are none.
 
@@ -65,38 +72,45 @@ def running_totals(
     values: list[str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     size_bound: int | None = None,
+    probe: DataFrame | None = None,
+    cut_lineage: bool = False,
 ) -> DataFrame:
     """Inclusive prefix sums of ``values`` by ascending ``order`` within ``keys``.
 
     Adds ``cum_<value>`` columns. ``order`` must be unique within a group (aggregate
     equal values first) and may have any orderable type, structs included.
 
-    ``size_bound`` is a known upper bound of the row count; without it the rows are
-    counted. Up to ``rows_per_bucket`` rows a plain window is enough. Beyond that the
-    rows are cut into value ranges: boundaries come from a hash-selected subset of the
-    values (a fixed function of the data, so re-running a lost task cannot move them),
-    sums run inside each range in parallel, and range totals are added from a window
-    over at most ``MAX_BUCKETS`` totals per group. The boundaries only steer the
-    partitioning; every row is summed exactly.
-    """
-    bound = df.count() if size_bound is None else size_bound
-    if bound <= rows_per_bucket:
-        w = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
+    A window is enough while every group has at most ``rows_per_bucket`` rows. That is
+    known from ``size_bound`` (an upper bound of the total) or measured on ``probe``, a
+    cheaper table with at least as many rows per group. Larger groups are cut into value
+    ranges: boundaries come from a hash-selected subset of the values (a fixed function of
+    the data, so re-running a lost task cannot move them), sums run inside each range in
+    parallel, and range totals are added from a window over at most ``MAX_BUCKETS`` totals
+    per group. The boundaries only steer the partitioning; every row is summed exactly.
 
-    df = checkpointed(df)
+    ``cut_lineage`` materialises a derived ``df`` once in the shared folder instead of
+    recomputing it for boundaries, totals and sums.
+    """
+    if size_bound is not None and size_bound <= rows_per_bucket:
+        return _windowed(df, keys, order, values)
     own = df.columns
     group = keys or ["_whole"]
     if not keys:
         df = df.withColumn("_whole", F.lit(0))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn(
-        "_nb", F.least(F.ceil(F.col("_n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
-    )
-    sizes = pinned(sizes)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_nb") * F.lit(SAMPLES_PER_BUCKET)))).cast("bigint")
+        probe = None if probe is None else probe.withColumn("_whole", F.lit(0))
+    big = oversized_groups(df if probe is None else probe, group, rows_per_bucket)
+    if big is None:
+        return _windowed(df, group, order, values).drop("_whole")
+    if cut_lineage:
+        df = checkpointed(df)
+
+    wanted = F.least(F.ceil(F.col("group_rows") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
+    big = big.select(*group, "group_rows", wanted.alias("_nb"))
+    # rows of large groups only; few groups can be large, so ``big`` is small
+    step = F.greatest(F.lit(1), F.floor(F.col("group_rows") / (F.col("_nb") * F.lit(SAMPLES_PER_BUCKET)))).cast("bigint")
     picked = (
-        df.join(sizes.filter("_nb > 1"), group)
+        df.select(*group, order)
+        .join(big, group)
         .filter(F.pmod(F.xxhash64(order), step) == 0)
         .groupBy(*group, "_nb")
         .agg(F.array_sort(F.collect_list(order)).alias("_s"))
@@ -104,40 +118,48 @@ def running_totals(
     bounds = picked.select(
         *group,
         F.transform(
-            F.sequence(F.lit(1), F.col("_nb") - 1),
+            F.sequence(F.lit(1), F.greatest(F.col("_nb") - 1, F.lit(1))),
             lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / F.col("_nb")).cast("int")),
         ).alias("_bounds"),
     )
-    df = df.join(pinned(bounds, BROADCAST_ROWS // SAMPLES_PER_BUCKET), group, "left").withColumn(
-        "_bucket",
-        F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0)),
+    bounds = pinned(bounds, BROADCAST_ROWS // SAMPLES_PER_BUCKET)
+    below = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
+    cut = df.join(bounds, group, "left").withColumn(
+        "_bucket", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
+    )
+    cut = cut.drop("_bounds")
+    totals = cut.join(big.select(*group), group, "left_semi").groupBy(*group, "_bucket").agg(
+        *[F.sum(v).alias(f"_t_{v}") for v in values]
     )
-    df = df.withColumn("_bucket", F.greatest("_bucket", F.lit(0))).drop("_bounds")
-    totals = df.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = _window(group, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
+    offsets = pinned(
+        totals.select(
+            *group, "_bucket",
+            *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
+        )
+    )
+    summed = _windowed(cut, [*group, "_bucket"], order, values).join(offsets, [*group, "_bucket"], "left")
+    return summed.select(
+        *own, *[(F.col(f"cum_{v}") + F.coalesce(F.col(f"_o_{v}"), F.lit(0))).alias(f"cum_{v}") for v in values]
     )
-    inside = _window([*group, "_bucket"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = df.select("*", *[F.sum(v).over(inside).alias(f"_c_{v}") for v in values])
-    joined = summed.join(pinned(offsets), [*group, "_bucket"])
-    return joined.select(*own, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
 def _window(keys: list[str], order: str) -> Window:
     return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
 
 
-def positions(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    size_bound: int | None = None,
-) -> DataFrame:
-    """Adds ``position`` (1-based) by ``order`` within ``keys``; ``order`` must be unique."""
+def _windowed(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    w = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], **sizes) -> DataFrame:
+    """Adds ``position`` (1-based) by ``order`` within ``keys``; ``order`` must be unique.
+
+    ``sizes`` are the size arguments of ``running_totals``.
+    """
     tagged = df.select("*", F.struct(*order).alias("_order"), F.lit(1).cast("bigint").alias("_one"))
-    out = running_totals(tagged, keys, "_order", ["_one"], rows_per_bucket, size_bound)
+    out = running_totals(tagged, keys, "_order", ["_one"], **sizes)
     return out.withColumnRenamed("cum__one", "position").drop("_order", "_one")
 
 

@@ -15,7 +15,9 @@ def _quota(pct: float, n):
 def _threshold(cells: DataFrame, keys: list[str], quota: DataFrame, rows_per_bucket: int) -> DataFrame:
     """Per group the k-th smallest importance, from counts per distinct value."""
     counts = cells.groupBy(*keys, "importance").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_totals(counts, keys, "importance", ["n"], rows_per_bucket)
+    cum = running_totals(
+        counts, keys, "importance", ["n"], rows_per_bucket, probe=cells.select(*keys), cut_lineage=True
+    )
     return (
         cum.join(quota, keys)
         .filter((F.col("k") > 0) & (F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
@@ -36,14 +38,14 @@ def mask_bottom_k_per_row(cells: DataFrame, pct: float, rows_per_bucket: int = R
     k = floor(pct/100 · entries of the row).
     """
     quota = cells.groupBy("row").agg(F.count(F.lit(1)).alias("_n")).select("row", _quota(pct, F.col("_n")).alias("k"))
-    return _zero_weak(cells, _threshold(cells, ["row"], quota, rows_per_bucket), ["row"])
+    return _zero_weak(cells, pinned(_threshold(cells, ["row"], quota, rows_per_bucket)), ["row"])
 
 
 def mask_bottom_k_global(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """The same with one threshold for the whole matrix."""
     tagged = cells.withColumn("_all", F.lit(0))
     quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", _quota(pct, F.col("_n")).alias("k"))
-    one_row = F.broadcast(_threshold(tagged, ["_all"], quota, rows_per_bucket))
+    one_row = pinned(_threshold(tagged, ["_all"], quota, rows_per_bucket))
     return _zero_weak(tagged, one_row, ["_all"])
 
 
@@ -55,7 +57,7 @@ def mask_weak_columns(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_
     norms = cells.groupBy("col").agg(F.sqrt(F.sum(F.col("importance") * F.col("importance"))).alias("norm"))
     tagged = norms.withColumn("_all", F.lit(0))
     quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", _quota(pct, F.col("_n")).alias("k"))
-    placed = positions(tagged, ["_all"], ["norm", "col"], rows_per_bucket).join(quota, "_all")
+    placed = positions(tagged, ["_all"], ["norm", "col"], rows_per_bucket=rows_per_bucket, cut_lineage=True).join(quota, "_all")
     weak = placed.filter(F.col("position") <= F.col("k")).select("col", F.lit(True).alias("_weak"))
     return cells.join(pinned(weak), "col", "left").select(
         "row", "col", F.when(F.col("_weak"), F.lit(0.0)).otherwise(F.col("weight")).alias("weight")

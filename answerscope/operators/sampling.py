@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, positions
+from answerscope.operators.groups import ROWS_PER_BUCKET, broadcast_narrow, pinned, positions
 
 PREFIX_DIGITS = 4  # 65,536 histogram cells per group, whatever the number of rows
 
@@ -76,32 +76,64 @@ def stratified_split(df: DataFrame, label: str, test_size: float, seed: int, id_
     return marked.withColumn("split", F.when(F.col("_taken"), "test").otherwise("train")).drop("_taken")
 
 
-def row_index(
-    df: DataFrame, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, size_bound: int | None = None
-) -> DataFrame:
+def row_index(df: DataFrame, order: list[str], **sizes) -> DataFrame:
     """Adds ``row_idx``, 0-based, by ``order`` (which must identify a row)."""
-    out = positions(df, [], order, rows_per_bucket, size_bound)
+    out = positions(df, [], order, **sizes)
     return out.withColumn("row_idx", F.col("position") - 1).drop("position")
 
 
+def _literal(df: DataFrame, columns: list[str], row) -> Column:
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in columns])
+
+
+def _shard_cuts(df: DataFrame, num_shards: int, order: list[str], rows_per_bucket: int) -> list | None:
+    """The first row (its order columns) of shards 1 .. S-1; None with fewer rows than shards.
+
+    Only the order columns are numbered and S-1 rows are collected; the records themselves
+    are never moved to be sharded.
+    """
+    n = df.count()
+    size = n // num_shards
+    if size == 0:
+        return None
+    index = row_index(df.select(*order), order, rows_per_bucket=rows_per_bucket, size_bound=n)
+    first = (F.col("row_idx") % size == 0) & (F.col("row_idx") > 0) & (F.col("row_idx") <= size * (num_shards - 1))
+    return index.filter(first).orderBy("row_idx").collect()
+
+
 def shard(
     df: DataFrame, num_shards: int, shard_id: int, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Rows of one contiguous shard; sizes are n div S and the last shard takes the rest."""
-    return with_shard_id(df, num_shards, order, rows_per_bucket).filter(F.col("shard_id") == shard_id).drop("shard_id")
+    """Rows of one contiguous shard; sizes are n div S and the last shard takes the rest.
+
+    A range filter on the order columns, which reaches the scan when there is one of them.
+    """
+    cuts = _shard_cuts(df, num_shards, order, rows_per_bucket)
+    if cuts is None:
+        return df if shard_id == num_shards - 1 else df.limit(0)
+    single = len(order) == 1
+    here = F.col(order[0]) if single else F.struct(*order)
+    at = lambda row: _literal(df, order, row)[order[0]] if single else _literal(df, order, row)
+    out = df
+    if shard_id > 0:
+        out = out.filter(here >= at(cuts[shard_id - 1]))
+    if shard_id < num_shards - 1:
+        out = out.filter(here < at(cuts[shard_id]))
+    return out
 
 
 def with_shard_id(
     df: DataFrame, num_shards: int, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Adds ``shard_id`` to every row."""
-    n = df.count()
-    size = n // num_shards
-    indexed = row_index(df, order, rows_per_bucket, n)
-    if size == 0:  # fewer rows than shards: everything lands in the last one
-        return indexed.withColumn("shard_id", F.lit(num_shards - 1)).drop("row_idx")
-    raw = F.floor(F.col("row_idx") / F.lit(size)).cast("int")
-    return indexed.withColumn("shard_id", F.least(raw, F.lit(num_shards - 1))).drop("row_idx")
+    """Adds ``shard_id`` to every row by comparing it with the shards' first rows."""
+    cuts = _shard_cuts(df, num_shards, order, rows_per_bucket)
+    if cuts is None:  # fewer rows than shards: everything lands in the last one
+        return df.withColumn("shard_id", F.lit(num_shards - 1))
+    if not cuts:
+        return df.withColumn("shard_id", F.lit(0))
+    starts = F.array(*[_literal(df, order, row) for row in cuts])
+    return df.withColumn("shard_id", F.size(F.filter(starts, lambda c: c <= F.struct(*order))))
 
 
 def resume(pending: DataFrame, done: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -165,12 +197,15 @@ def merge_batches(df: DataFrame, sample: str = "sample_id", rows_per_bucket: int
     """Replaces (batch_id, gen_id) by one gap-free generation number per sample.
 
     Token positions stay aligned and short batches are simply absent at late positions.
-    Only the distinct (sample, batch, generation) triples are numbered.
+    Only the distinct (sample, batch, generation) triples are numbered; while they fit they
+    are broadcast, so the rows with the vectors are not shuffled.
     """
     triples = df.select(sample, "batch_id", "gen_id").distinct()
-    numbered = positions(triples, [sample], ["batch_id", "gen_id"], rows_per_bucket)
+    n = triples.count()
+    numbered = positions(triples, [sample], ["batch_id", "gen_id"], rows_per_bucket=rows_per_bucket, size_bound=n)
     numbered = numbered.withColumn("merged_id", (F.col("position") - 1).cast("int")).drop("position")
-    return df.join(numbered, [sample, "batch_id", "gen_id"]).withColumn("gen_id", F.col("merged_id")).drop("merged_id")
+    merged = df.join(broadcast_narrow(numbered, n), [sample, "batch_id", "gen_id"])
+    return merged.withColumn("gen_id", F.col("merged_id")).drop("merged_id")
 
 
 def explode_generations(results: DataFrame, col: str = "generations", id_col: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from answerscope.functions import overlap
 from answerscope.functions.overlap import MEASURES, pair_score, tokens_of
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
-from answerscope.operators.groups import pair_tiles, positions
+from answerscope.operators.groups import ROWS_PER_BUCKET, pair_tiles, positions
 
 # Texts per side of a comparison tile: at most 64·64 comparisons of whole texts per task step.
 TEXT_TILE = 64
@@ -136,12 +136,13 @@ def syntactic_similarity(
 
 
 def numbered_answers(
-    df: DataFrame, sample: str, text: str, rows_per_bucket: int | None = None
+    df: DataFrame, sample: str, text: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Distinct answers of a sample, numbered from 0 in sorted order (``ans_id``)."""
     distinct = df.select(sample, text).distinct()
-    extra = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
-    placed = positions(distinct, [sample], [text], **extra)
+    placed = positions(
+        distinct, [sample], [text], rows_per_bucket=rows_per_bucket, probe=df.select(sample), cut_lineage=True
+    )
     return placed.withColumn("ans_id", (F.col("position") - 1).cast("int")).drop("position")
 
 

@@ -18,7 +18,15 @@ from pyspark.sql import functions as F
 
 from answerscope.functions import dense
 from answerscope.functions.arrays import softmax_weighted_mean, vec_distance, vec_stride
-from answerscope.operators.groups import GROUP_LIMIT, hash_block, pair_tiles, positions, split_by_size
+from answerscope.operators.groups import (
+    GROUP_LIMIT,
+    ROWS_PER_BUCKET,
+    broadcast_narrow,
+    hash_block,
+    pair_tiles,
+    positions,
+    split_by_size,
+)
 from answerscope.operators.vectors import sum_vector
 
 # Ridge of the scores, ridge of the determinant score's companion
@@ -45,8 +53,9 @@ def pool_last_token(
 
     Steps are clamped to the positions a generation has; ``compat`` wraps step -1 to the
     last position instead of clamping it to 0. ``last_step`` tells how long the generation
-    was. Positions are resolved from the id columns alone, so vectors of other steps only
-    meet the join's filter.
+    was. Positions are resolved from the id columns alone; while the table of generations
+    is small enough it is broadcast, and vectors of other steps are dropped at the scan
+    instead of being shuffled.
     """
     rows = hidden if layers is None else hidden.filter(F.col("layer").isin(layers))
     last = rows.groupBy(SAMPLE, "gen_id").agg(F.max("token_pos").alias("last_step"))
@@ -56,7 +65,7 @@ def pool_last_token(
         SAMPLE, "gen_id", "last_step", F.least(low, F.col("last_step")).alias("token_pos")
     )
     return rows.select(SAMPLE, "gen_id", "layer", "token_pos", "vec").join(
-        target, [SAMPLE, "gen_id", "token_pos"]
+        broadcast_narrow(target, counts.count()), [SAMPLE, "gen_id", "token_pos"]
     ).select(SAMPLE, "gen_id", "layer", "last_step", F.col("vec").cast("array<double>").alias("vec"))
 
 
@@ -78,7 +87,7 @@ def pool_mean_tokens(
     rows = hidden if layers is None else hidden.filter(F.col("layer").isin(layers))
     inside = (
         rows.filter(F.col("token_pos") >= 1)
-        .join(counts.select(SAMPLE, "gen_id", "num_tokens"), [SAMPLE, "gen_id"])
+        .join(broadcast_narrow(counts.select(SAMPLE, "gen_id", "num_tokens"), counts.count()), [SAMPLE, "gen_id"])
         .filter(F.col("token_pos") <= F.col("num_tokens"))
     )
     keys = [SAMPLE, "gen_id", "layer"]
@@ -314,7 +323,7 @@ def gaussian_loglik_score(
 
 
 def nearest_half(
-    pooled: DataFrame, features: DataFrame, rows_per_bucket: int | None = None
+    pooled: DataFrame, features: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """The floor(K/2) generations of each sample closest (L2) to its feature vector.
 
@@ -322,8 +331,10 @@ def nearest_half(
     """
     rows = pooled.join(features, SAMPLE).withColumn("distance", vec_distance(F.col("vec"), F.col("feature")))
     ranked = rows.select(SAMPLE, "gen_id", "distance")
-    extra = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
-    placed = positions(ranked, [SAMPLE], ["distance", "gen_id"], **extra)
+    placed = positions(
+        ranked, [SAMPLE], ["distance", "gen_id"],
+        rows_per_bucket=rows_per_bucket, probe=pooled.select(SAMPLE), cut_lineage=True,
+    )
     sizes = ranked.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("_k"))
     near = placed.join(sizes, SAMPLE).filter(F.col("position") <= F.floor(F.col("_k") / 2))
     return near.select(SAMPLE, "gen_id", "distance", F.col("position").cast("int").alias("position"))

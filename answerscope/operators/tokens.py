@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions.arrays import entropy, let, log_max_prob, logsumexp, max_prob
 from answerscope.functions.ids import num_tokens
+from answerscope.operators.groups import broadcast_narrow
 from answerscope.operators.vectors import mean_vector
 
 # Added to a probability before its logarithm.
@@ -59,9 +60,8 @@ def length_normalized_entropy(
     elif scope != "all":
         raise ValueError("scope is 'all' or 'last_batch'")
     reduced = scores.select(sample, "gen_id", "token_pos", log_max_prob(F.col("logits")).alias("_lp"))
-    inside = reduced.join(counts.select(sample, "gen_id", "num_tokens"), [sample, "gen_id"]).filter(
-        F.col("token_pos") < F.col("num_tokens")
-    )
+    lengths = broadcast_narrow(counts.select(sample, "gen_id", "num_tokens"), counts.count())
+    inside = reduced.join(lengths, [sample, "gen_id"]).filter(F.col("token_pos") < F.col("num_tokens"))
     sums = inside.groupBy(sample).agg(F.sum(F.col("_lp") / F.col("num_tokens")).alias("_s"))
     n = counts.groupBy(sample).agg(F.count(F.lit(1)).alias("_n"))
     value = -F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_n") + F.lit(0.0)

@@ -94,6 +94,22 @@ def _best_udf(measures: tuple[str, ...], stem: bool):
     return best
 
 
+@lru_cache(maxsize=None)
+def _best_each_udf(measures: tuple[str, ...], stem: bool):
+    @F.arrow_udf("array<struct<" + ",".join(f"{m}:double" for m in measures) + ">>")
+    def best(predictions: pa.Array, references: pa.Array) -> pa.Array:
+        out = []
+        for preds, refs in zip(predictions.to_pylist(), references.to_pylist()):
+            token_lists = [tokens_of(r, stem) for r in refs or () if r is not None]
+            mine = [tokens_of(p, stem) for p in preds or ()]
+            out.append(
+                [{m: max((pair_score(p, t, m) for t in token_lists), default=None) for m in measures} for p in mine]
+            )
+        return pa.array(out, pa.list_(pa.struct([(m, pa.float64()) for m in measures])))
+
+    return best
+
+
 @lru_cache(maxsize=None)
 def _stem_udf():
     @F.arrow_udf("string")
@@ -123,6 +139,13 @@ def best_rouge(
     return _best_udf(tuple(measures), stem)(prediction, references)
 
 
+def best_rouge_each(
+    predictions: Column, references: Column, measures: tuple[str, ...] = MEASURES, stem: bool = False
+) -> Column:
+    """``best_rouge`` for every entry of an array of predictions."""
+    return _best_each_udf(tuple(measures), stem)(predictions, references)
+
+
 def stem_column(token: Column) -> Column:
     return _stem_udf()(token)
 

@@ -168,7 +168,7 @@ def hash_block(key: Column, blocks: Column) -> Column:
 
 
 def pair_tiles(
-    df: DataFrame, keys: list[str], item: Column, spread: Column, limit: int = GROUP_LIMIT
+    df: DataFrame, keys: list[str], item: Column, spread: Column, limit: int = GROUP_LIMIT, probe: DataFrame | None = None
 ) -> DataFrame:
     """Blocks (``left_items``, ``right_items``) that together cover every pair of a group.
 
@@ -178,7 +178,7 @@ def pair_tiles(
     pairs themselves are only formed inside the consumer of a tile.
     """
     rows = df.select(*keys, item.alias("_item"), spread.alias("_spread"))
-    small, big = split_by_size(rows, keys, limit)
+    small, big = split_by_size(rows, keys, limit, probe)
     whole = small.groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("left_items"))
     tiles = whole.select(
         *keys,

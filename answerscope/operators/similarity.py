@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.functions import overlap
+from answerscope.functions.arrays import let
 from answerscope.functions.overlap import MEASURES, pair_score, tokens_of
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
 from answerscope.operators.groups import ROWS_PER_BUCKET, pair_tiles, positions
@@ -40,26 +41,46 @@ def best_over_references(prediction: Column, references: Column, stem: bool = Tr
 def score_generations(records: DataFrame, id_col: str = "id", stem: bool = False) -> DataFrame:
     """Every generation against all references of its record: exact match and ROUGE-1/2/L.
 
-    Predictions equal up to case and leading space are scored once per record, and the
-    result is joined back to each generation. References are compared in that form too.
+    Predictions equal up to case and leading space are scored once per record; references
+    are compared in that form too. A record's answers and references sit in one row, so
+    nothing is shuffled and no prediction-reference pair becomes a row.
     """
-    refs = F.array_distinct(
-        F.transform(reference_array(F.col("answer"), F.col("additional_answers")), caseless)
+    rows = records.select(
+        id_col,
+        F.transform("generations", caseless).alias("_preds"),
+        F.array_distinct(
+            F.transform(reference_array(F.col("answer"), F.col("additional_answers")), caseless)
+        ).alias("_refs"),
+    ).withColumn("_uniq", F.array_distinct("_preds"))
+    bare_refs = F.transform("_refs", drop_punctuation)
+    exact = let(
+        bare_refs,
+        lambda refs: F.transform("_uniq", lambda p: F.array_contains(refs, drop_punctuation(p)).cast("double")),
+    )
+    scored = rows.select(
+        id_col, "_preds", "_uniq", exact.alias("_exact"),
+        overlap.best_rouge_each(F.col("_uniq"), F.col("_refs"), MEASURES, stem).alias("_best"),
+    )
+
+    def place(p: Column) -> Column:
+        return (F.array_position("_uniq", p) - 1).cast("int")
+
+    each = F.transform(
+        "_preds",
+        lambda p: F.struct(
+            F.get(F.col("_exact"), place(p)).alias("exact_match"), F.get(F.col("_best"), place(p)).alias("r")
+        ),
+    )
+    return scored.select(id_col, F.posexplode(each).alias("gen_id", "_s")).select(
+        id_col, "gen_id", F.col("_s.exact_match").alias("exact_match"), *[F.col(f"_s.r.{m}").alias(m) for m in MEASURES]
     )
-    rows = records.select(id_col, F.posexplode("generations").alias("gen_id", "_text"), refs.alias("_refs"))
-    rows = rows.withColumn("_pred", caseless(F.col("_text")))
-    once = rows.groupBy(id_col, "_pred").agg(F.first("_refs").alias("_refs"))
-    bare = drop_punctuation(F.col("_pred"))
-    exact = F.exists("_refs", lambda r: drop_punctuation(r) == bare).cast("double")
-    scored = once.select(
-        id_col, "_pred", exact.alias("exact_match"),
-        overlap.best_rouge(F.col("_pred"), F.col("_refs"), MEASURES, stem).alias("_r"),
-    ).select(id_col, "_pred", "exact_match", *[F.col(f"_r.{m}").alias(m) for m in MEASURES])
-    return rows.select(id_col, "gen_id", "_pred").join(scored, [id_col, "_pred"]).drop("_pred")
 
 
 def distinct_answers(df: DataFrame, sample: str, text: str) -> DataFrame:
-    """One row per sample and distinct text with its number of copies."""
+    """One row per sample and distinct text with its number of copies.
+
+    Pre-aggregated before the shuffle, so a text that makes up much of the data is cheap.
+    """
     return df.groupBy(sample, text).agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -88,15 +109,33 @@ def _tile_sums(measures: tuple[str, ...], stem: bool):
     return run
 
 
-def _pair_sums(answers: DataFrame, sample: str, text: str, measures, stem: bool, limit: int) -> DataFrame:
-    """Per sample: weighted score sums over unordered pairs of different texts."""
+def _pair_sums(df: DataFrame, sample: str, text: str, measures, stem: bool, limit: int) -> DataFrame:
+    """Per sample: score sums over unordered pairs of different texts, and totals of copies.
+
+    Each distinct text lies in exactly one diagonal tile, which therefore also yields the
+    number of answers ``n``, Σ copies² (``sq``) and the pairs of equal texts with at least
+    one token (``twins``).
+    """
+    answers = distinct_answers(df, sample, text)
     item = F.struct(F.col(text).alias("text"), F.col("copies"))
-    tiles = pair_tiles(answers, [sample], item, F.col(text), limit)
-    sums = _tile_sums(tuple(measures), stem)(F.col("lo") == F.col("hi"), "left_items", "right_items")
-    return (
-        tiles.select(sample, sums.alias("_s"))
-        .groupBy(sample)
-        .agg(*[F.sum(F.col("_s")[m]).alias(m) for m in measures])
+    tiles = pair_tiles(answers, [sample], item, F.col(text), limit, probe=df.select(sample))
+    diagonal = F.col("lo") == F.col("hi")
+
+    def total(of) -> Column:
+        added = F.aggregate("left_items", F.lit(0).cast("bigint"), lambda acc, x: acc + of(x))
+        return F.when(diagonal, added).otherwise(F.lit(0))
+
+    pairs_of = lambda x: (x["copies"] * (x["copies"] - 1) / 2).cast("bigint")
+    has_token = lambda x: F.lower(x["text"]).rlike("[a-z0-9]")
+    per_tile = tiles.select(
+        sample,
+        _tile_sums(tuple(measures), stem)(diagonal, "left_items", "right_items").alias("_s"),
+        total(lambda x: x["copies"]).alias("n"),
+        total(lambda x: x["copies"] * x["copies"]).alias("sq"),
+        total(lambda x: F.when(has_token(x), pairs_of(x)).otherwise(F.lit(0))).alias("twins"),
+    )
+    return per_tile.groupBy(sample).agg(
+        *[F.sum(F.col("_s")[m]).alias(m) for m in measures], *[F.sum(c).alias(c) for c in ("n", "sq", "twins")]
     )
 
 
@@ -108,15 +147,9 @@ def lexical_similarity(
     Copies of an answer are compared once and weighted: c copies of a text contribute
     c·(c-1)/2 pairs with score 1 (0 when the text has no token).
     """
-    answers = distinct_answers(df, sample, text)
-    sums = _pair_sums(answers, sample, text, ("rougeL",), stem, limit)
-    has_token = F.lower(text).rlike("[a-z0-9]")
-    twins = F.when(has_token, F.col("copies") * (F.col("copies") - 1) / 2).otherwise(F.lit(0.0))
-    totals = answers.groupBy(sample).agg(F.sum("copies").alias("_n"), F.sum(twins).alias("_twins"))
-    pairs = F.col("_n") * (F.col("_n") - 1) / 2
-    return totals.join(sums, sample).select(
-        sample, F.try_divide(F.col("rougeL") + F.col("_twins"), pairs).alias("lexical_similarity")
-    )
+    sums = _pair_sums(df, sample, text, ("rougeL",), stem, limit)
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return sums.select(sample, F.try_divide(F.col("rougeL") + F.col("twins"), pairs).alias("lexical_similarity"))
 
 
 def syntactic_similarity(
@@ -126,13 +159,9 @@ def syntactic_similarity(
 
     NULL when all answers are equal. Copies weigh as often as they occur.
     """
-    answers = distinct_answers(df, sample, text)
-    sums = _pair_sums(answers, sample, text, MEASURES, stem, limit)
-    totals = answers.groupBy(sample).agg(
-        F.sum("copies").alias("_n"), F.sum(F.col("copies") * F.col("copies")).alias("_sq")
-    )
-    unequal = (F.col("_n") * F.col("_n") - F.col("_sq")) / 2
-    return totals.join(sums, sample).select(sample, *[F.try_divide(F.col(m), unequal).alias(m) for m in MEASURES])
+    sums = _pair_sums(df, sample, text, MEASURES, stem, limit)
+    unequal = (F.col("n") * F.col("n") - F.col("sq")) / 2
+    return sums.select(sample, *[F.try_divide(F.col(m), unequal).alias(m) for m in MEASURES])
 
 
 def numbered_answers(
@@ -200,7 +229,8 @@ def lexical_similarity_matrix(
     answer's number. ``answer_index`` maps generations to these numbers.
     """
     answers = numbered_answers(df, sample, text)
-    tiles = pair_tiles(answers, [sample], F.struct("ans_id", F.col(text).alias("text")), F.col(text), limit)
+    item = F.struct("ans_id", F.col(text).alias("text"))
+    tiles = pair_tiles(answers, [sample], item, F.col(text), limit, probe=df.select(sample))
     lines = tiles.select(
         sample,
         F.explode(_tile_matrix(stem)(F.col("lo") == F.col("hi"), "left_items", "right_items")).alias("_l"),

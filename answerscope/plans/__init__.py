@@ -2,6 +2,7 @@
 
 from answerscope.plans import (  # noqa: F401
     evaluation_queries,
+    job_queries,
     sampling_queries,
     source_queries,
     spectral_queries,

@@ -21,6 +21,7 @@ MAX_BUCKETS = 4096
 BROADCAST_ROWS = 100_000
 NARROW_BROADCAST_ROWS = 2_000_000  # a few integers per row: well below 100 MB
 SAMPLES_PER_BUCKET = 32
+SEARCH_RUN = 64
 
 
 def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -122,12 +123,27 @@ def running_totals(
             lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / F.col("_nb")).cast("int")),
         ).alias("_bounds"),
     )
-    bounds = pinned(bounds, BROADCAST_ROWS // SAMPLES_PER_BUCKET)
-    below = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
+    # two-level search: first among every 64th boundary, then inside one run of 64
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_bounds") - 1) / SEARCH_RUN).cast("int")),
+        lambda r: F.slice("_bounds", r * SEARCH_RUN + 1, F.lit(SEARCH_RUN)),
+    )
+    bounds = bounds.select(*group, runs.alias("_runs"))
+    bounds = pinned(
+        bounds.select(*group, "_runs", F.transform("_runs", lambda r: r[0]).alias("_firsts")),
+        BROADCAST_ROWS // SAMPLES_PER_BUCKET,
+    )
+
+    def at_most(sorted_values: Column) -> Column:
+        return F.size(F.filter(sorted_values, lambda b: b <= F.col(order)))
+
     cut = df.join(bounds, group, "left").withColumn(
-        "_bucket", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
+        "_run", F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(at_most(F.col("_firsts")))
     )
-    cut = cut.drop("_bounds")
+    inside = at_most(F.get(F.col("_runs"), F.col("_run") - 1))
+    cut = cut.withColumn(
+        "_bucket", F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * SEARCH_RUN + inside)
+    ).drop("_runs", "_firsts", "_run")
     totals = cut.join(big.select(*group), group, "left_semi").groupBy(*group, "_bucket").agg(
         *[F.sum(v).alias(f"_t_{v}") for v in values]
     )
@@ -158,7 +174,8 @@ def positions(df: DataFrame, keys: list[str], order: list[str], **sizes) -> Data
 
     ``sizes`` are the size arguments of ``running_totals``.
     """
-    tagged = df.select("*", F.struct(*order).alias("_order"), F.lit(1).cast("bigint").alias("_one"))
+    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    tagged = df.select("*", by.alias("_order"), F.lit(1).cast("bigint").alias("_one"))
     out = running_totals(tagged, keys, "_order", ["_one"], **sizes)
     return out.withColumnRenamed("cum__one", "position").drop("_order", "_one")
 

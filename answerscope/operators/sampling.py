@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from answerscope.functions.arrays import let
 from answerscope.operators.groups import ROWS_PER_BUCKET, broadcast_narrow, pinned, positions
 
 PREFIX_DIGITS = 4  # 65,536 histogram cells per group, whatever the number of rows
@@ -132,8 +133,10 @@ def with_shard_id(
         return df.withColumn("shard_id", F.lit(num_shards - 1))
     if not cuts:
         return df.withColumn("shard_id", F.lit(0))
-    starts = F.array(*[_literal(df, order, row) for row in cuts])
-    return df.withColumn("shard_id", F.size(F.filter(starts, lambda c: c <= F.struct(*order))))
+    single = len(order) == 1
+    starts = F.array(*[_literal(df, order, row)[order[0]] if single else _literal(df, order, row) for row in cuts])
+    here = F.col(order[0]) if single else F.struct(*order)
+    return df.withColumn("shard_id", let(here, lambda x: F.size(F.filter(starts, lambda c: c <= x))))
 
 
 def resume(pending: DataFrame, done: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:

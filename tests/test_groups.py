@@ -15,7 +15,9 @@ def test_bucketed_totals_equal_window(spark):
         ((F.col("id") * 7919) % 5003).alias("x"),
         (F.col("id") % 13).alias("v"),
     )
-    assert totals(df, rows_per_bucket=100) == totals(df)
+    whole = totals(df)
+    assert totals(df, rows_per_bucket=100) == whole
+    assert totals(df, rows_per_bucket=10, cut_lineage=True) == whole  # several runs of boundaries
 
 
 def test_bucketed_totals_without_keys_and_struct_order(spark):

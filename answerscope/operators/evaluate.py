@@ -7,7 +7,7 @@ consequence; curves are prefix sums over those counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerscope.functions.arrays import cosine_similarity
@@ -128,10 +128,12 @@ def cumulative_counts(
     """Adds positives and negatives with a score at least as high (``tp``, ``fp``) and totals."""
     down = counts.withColumn("_down", -F.col("score"))
     cum = running_totals(down, keys, "_down", ["pos", "neg"], rows_per_bucket, size_bound).drop("_down")
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if size_bound is None or size_bound > rows_per_bucket:
-        totals = pinned(totals)
-    joined = cum.join(totals, keys)
+    if size_bound is not None and size_bound <= rows_per_bucket:
+        whole = Window.partitionBy(*keys)  # the partitioning the running totals already have
+        joined = cum.select("*", F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
+    else:
+        totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        joined = cum.join(pinned(totals), keys)
     return joined.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
 
@@ -148,14 +150,10 @@ def _counted(
     return (checkpointed(counts) if bound > rows_per_bucket else counts), bound
 
 
-def curve_points(cum: DataFrame, keys: list[str]) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score."""
-    return cum.select(
-        *keys,
-        F.col("score").alias("threshold"),
-        F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"),
-    )
+def _rates() -> tuple[Column, Column]:
+    tpr = F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double"))
+    fpr = F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double"))
+    return tpr, fpr
 
 
 def roc_curve(
@@ -164,14 +162,14 @@ def roc_curve(
     """All curve points including the first one at +infinity; ties form one point."""
     scored, keys = _grouped(scored, keys)
     counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
-    points = curve_points(cumulative_counts(counts, keys, rows_per_bucket, bound), keys)
-    start = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(
-        *keys,
-        F.lit(float("inf")).alias("threshold"),
-        F.when(F.col("_n") > 0, F.lit(0.0)).alias("fpr"),
-        F.when(F.col("_p") > 0, F.lit(0.0)).alias("tpr"),
-    )
-    return start.unionByName(points).drop("_all")
+    cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
+    tpr, fpr = _rates()
+    point = F.struct(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+    start = F.struct(F.lit(float("inf")).alias("threshold"), (fpr * 0).alias("fpr"), (tpr * 0).alias("tpr"))
+    # only the highest score has nothing above it: the starting point is put in front of it
+    highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    points = F.when(highest, F.array(start, point)).otherwise(F.array(point))
+    return cum.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*").drop("_all")
 
 
 def _auroc_value() -> Column:
@@ -200,31 +198,24 @@ def separation(
     scored, keys = _grouped(scored, keys)
     counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
-    tpr = F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double"))
-    fpr = F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double"))
+    tpr, fpr = _rates()
     with_g = cum.withColumn("_g", F.sqrt(tpr * (F.lit(1.0) - fpr)))
-    best = with_g.groupBy(*keys).agg(
-        _auroc_value().alias("auroc"), F.max("_g").alias("_top"), _best_point().alias("_t"),
-    )
-    threshold = (
-        F.when(F.col("_top").isNull(), F.lit(None).cast("double"))
-        .when(F.col("_top") == 0, F.lit(float("inf")))
-        .otherwise(F.col("_t"))
-    )
+    if bound <= rows_per_bucket:
+        whole = Window.partitionBy(*keys)
+        best = with_g.select("*", F.max("_g").over(whole).alias("_top"), _best_point().over(whole).alias("_t"))
+    else:
+        found = with_g.groupBy(*keys).agg(F.max("_g").alias("_top"), _best_point().alias("_t"))
+        best = with_g.join(pinned(found), keys)
+    threshold = F.when(F.col("_top") == 0, F.lit(float("inf"))).when(F.col("_top").isNotNull(), F.col("_t"))
     if round_threshold is not None:
         threshold = F.round(threshold, round_threshold)
-    best = best.select(*keys, "auroc", threshold.alias("threshold"))
-    if bound > rows_per_bucket:
-        best = pinned(best)
-    tested = counts.join(best, keys)
-    right = F.when(F.col("score") >= F.col("threshold"), F.col("pos")).otherwise(F.col("neg"))
+    tested = best.withColumn("_cut", threshold)
+    right = F.when(F.col("score") >= F.col("_cut"), F.col("pos")).otherwise(F.col("neg"))
+    accuracy = F.try_divide(F.sum(right).cast("double"), F.sum(F.col("pos") + F.col("neg")).cast("double"))
     return tested.groupBy(*keys).agg(
-        F.first("auroc").alias("auroc"),
-        F.first("threshold").alias("threshold"),
-        F.when(
-            F.first("threshold").isNotNull(),
-            F.try_divide(F.sum(right).cast("double"), F.sum(F.col("pos") + F.col("neg")).cast("double")),
-        ).alias("detection_accuracy"),
+        _auroc_value().alias("auroc"),
+        F.max("_cut").alias("threshold"),
+        F.when(F.max("_cut").isNotNull(), accuracy).alias("detection_accuracy"),
     ).drop("_all")
 
 
@@ -256,6 +247,15 @@ def pearson_value(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(xs, ys), spread)
 
 
+def pearson_wide(labelled: DataFrame, keys: list[str], signs: dict[str, int], x: str = "similarity") -> DataFrame:
+    """PCC of ``x`` with every oriented score column: one aggregation over unmelted rows."""
+    turned = labelled.select(
+        *keys, x, *[(F.col(c) * F.lit(float(s)) + F.lit(0.0)).alias(c) for c, s in signs.items()]
+    )
+    wide = turned.groupBy(*keys).agg(*[pearson_value(x, c).alias(c) for c in signs])
+    return wide.unpivot(keys, list(signs), "method", "pcc")
+
+
 def pearson(scored: DataFrame, keys: list[str], x: str = "similarity", y: str = "score") -> DataFrame:
     return scored.groupBy(*keys).agg(pearson_value(x, y).alias("pcc"))
 
@@ -279,7 +279,8 @@ def evaluate_run(
     rows = orient_and_melt(labelled, [*keys, "similarity", "label"], signs)
     bound = labelled.count() * len(signs)
     group = [*keys, "method"]
-    return separation(rows, group, rows_per_bucket, bound, round_threshold).join(pearson(rows, group), group)
+    curves = separation(rows, group, rows_per_bucket, bound, round_threshold)
+    return curves.join(pearson_wide(labelled, keys, signs), group)
 
 
 def paper_table(
@@ -296,7 +297,8 @@ def paper_table(
     rows = orient_and_melt(labelled, [*keys, "measure", "similarity", "label"], signs)
     bound = labelled.count() * len(signs)
     group = [*keys, "measure", "method"]
-    both = auroc(rows, group, rows_per_bucket, bound).join(pearson(rows, group), group)
+    linear = pearson_wide(labelled, [*keys, "measure"], signs)
+    both = auroc(rows, group, rows_per_bucket, bound).join(linear, group)
 
     def of(measure: str, value: str) -> Column:
         return F.round(F.max(F.when(F.col("measure") == measure, F.col(value))) * 100, 1)

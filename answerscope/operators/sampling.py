@@ -216,7 +216,12 @@ def explode_generations(results: DataFrame, col: str = "generations", id_col: st
     return results.select(id_col, F.posexplode(col).alias("gen_id", "text"))
 
 
-def collect_generations(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """The inverse of ``explode_generations``: one ordered array per record."""
+def collect_generations(rows: DataFrame, id_col: str = "id", part_size: int = 100_000) -> DataFrame:
+    """The inverse of ``explode_generations``: ordered arrays (id, part, generations).
+
+    A record of at most ``part_size`` generations is one row with part 0; a larger one
+    continues in further parts, so no array grows without bound.
+    """
+    part = F.floor(F.col("gen_id") / F.lit(part_size)).cast("int").alias("part")
     packed = F.array_sort(F.collect_list(F.struct("gen_id", "text")))
-    return rows.groupBy(id_col).agg(F.transform(packed, lambda s: s["text"]).alias("generations"))
+    return rows.groupBy(id_col, part).agg(F.transform(packed, lambda s: s["text"]).alias("generations"))

@@ -26,27 +26,32 @@ def _json(df, name: str, spark) -> str:
     return path
 
 
+TURNS_PER_STORY = 20  # documents stay small however long a conversation is
+
+
 def _stories(spark, sf):
-    """Per conversation: the whole text as story, its question-answer turns in order."""
-    turns = V.qa(spark, sf).groupBy("conv_id").agg(
+    """Stretches of 20 turns: their text as story, their question-answer turns in order."""
+    part = F.expr(f"turn div {TURNS_PER_STORY}").alias("part")
+    turns = V.qa(spark, sf).groupBy("conv_id", part).agg(
         F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("t")
     )
-    whole = V.table(spark, sf, "conversations").groupBy("conv_id").agg(
+    whole = V.table(spark, sf, "conversations").groupBy("conv_id", part).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("story")
     )
-    return turns.join(whole, "conv_id")
+    return turns.join(whole, ["conv_id", "part"])
 
 
-_STORY = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS story FROM conversations GROUP BY 1"
+_STORY = f"SELECT conv_id, turn // {TURNS_PER_STORY} AS part, string_agg(text, chr(10) ORDER BY turn) AS story FROM conversations GROUP BY 1, 2"
 _ASKED = f"""
-SELECT q.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, story FROM ({V.QA}) q JOIN ({_STORY}) USING (conv_id)"""
+SELECT q.*, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) - 1 AS pos, story
+FROM (SELECT *, turn // {TURNS_PER_STORY} AS part FROM ({V.QA})) q JOIN ({_STORY}) USING (conv_id, part)"""
 
 
 def _coqa_path(spark, sf) -> str:
     s = _stories(spark, sf)
     texts = lambda f: F.transform("t", lambda x: F.struct(f(x).alias("input_text")))
     doc = F.struct(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "story",
+        F.concat_ws("", F.lit("c"), F.col("conv_id").cast("string"), F.lit("p"), F.col("part").cast("string")).alias("id"), "story",
         texts(lambda x: x["question"]).alias("questions"),
         F.transform("t", lambda x: F.struct(x["answer"].alias("input_text"), F.length(x["question"]).cast("bigint").alias("span_start"))).alias("answers"),
         F.struct(
@@ -59,7 +64,7 @@ def _coqa_path(spark, sf) -> str:
 
 
 @query("read_coqa", f"""
-SELECT 'c' || conv_id || '_' || pos AS id, story, question, answer AS answer_text, length(question) AS answer_start,
+SELECT 'c' || conv_id || 'p' || part || '_' || pos AS id, story, question, answer AS answer_text, length(question) AS answer_start,
        upper(question[1]) || '|' || answer || '|' || question || '!' AS extra FROM ({_ASKED})""")
 def _coqa(spark, sf):
     qa = Q.read_coqa(spark, _coqa_path(spark, sf), multi_line=False)
@@ -266,7 +271,7 @@ def _csv(spark, sf):
 
 
 @query("stage_cache", f"""
-SELECT conv_id, count(*) AS n, sum(length(split_part(text, '.', 1))) AS kept FROM (SELECT conv_id, split_part(text, chr(10), 1) AS text FROM conversations) GROUP BY 1""")
+SELECT conv_id, count(*) AS n, CAST(sum(length(split_part(text, '.', 1))) AS BIGINT) AS kept FROM (SELECT conv_id, split_part(text, chr(10), 1) AS text FROM conversations) GROUP BY 1""")
 def _cache(spark, sf):
     """The second call must read what the first one stored."""
     base = scratch_path(spark, "cache")

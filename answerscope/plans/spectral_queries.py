@@ -127,23 +127,26 @@ def _cosine(spark, sf):
     return cos.select("sample_id", "gen_id", r6(F.col("c")).alias("cosine"), (F.col("c") > 0.9).cast("int").alias("similar"))
 
 
-@query("encode_text")
+_LETTERS = "aeinrst"
+
+
+@query("encode_text", f"""
+SELECT sample_id, gen_id, length(text) + 0.0::DOUBLE AS n,
+       {", ".join(f"length(text) - length(replace(text, '{c}', '')) + 0.0::DOUBLE AS n_{c}" for c in _LETTERS)} FROM ({V.CONV_ANSWERS})""")
 def _encode(spark, sf):
-    """A hashing encoder stands in for a sentence model."""
+    """An encoder that counts letters stands in for a sentence model."""
 
     def make_predict_fn():
         import numpy as np
 
         def predict(texts):
-            out = np.zeros((len(texts), 16))
-            for i, t in enumerate(texts):
-                codes = np.frombuffer(str(t).encode(), dtype=np.uint8)
-                out[i] = np.bincount(codes % 16, minlength=16)
-            return out
+            return np.array([[len(t), *(t.count(c) for c in _LETTERS)] for t in texts], dtype=float)
 
         return predict
 
-    return encode_text(V.conv_answers(spark, sf), "text", make_predict_fn).select("sample_id", "gen_id", "vec")
+    out = encode_text(V.conv_answers(spark, sf), "text", make_predict_fn)
+    names = ["n", *(f"n_{c}" for c in _LETTERS)]
+    return out.select("sample_id", "gen_id", *[F.col("vec")[i].alias(c) for i, c in enumerate(names)])
 
 
 # --- pooling ------------------------------------------------------------------------

@@ -214,10 +214,10 @@ def _explode(spark, sf):
 
 
 @query("collect_generations", f"""
-SELECT conv_id AS id, array_to_string(list(text ORDER BY turn), '|') AS generations FROM conversations GROUP BY 1""")
+SELECT conv_id AS id, CAST(turn // 2 AS INT) AS part, array_to_string(list(text ORDER BY turn), '|') AS generations FROM conversations GROUP BY 1, 2""")
 def _collect(spark, sf):
     rows = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("gen_id"), "text")
-    return collect_generations(rows).select("id", F.array_join("generations", "|").alias("generations"))
+    return collect_generations(rows, part_size=2).select("id", "part", F.array_join("generations", "|").alias("generations"))
 
 
 # --- prompts ------------------------------------------------------------------------

@@ -109,7 +109,7 @@ def _sequence(spark, sf):
 
 
 @query("likelihood_summary", f"""
-SELECT sample_id, CASE WHEN gen_id < 3 THEN gen_id END AS gen_id, token_pos <> 0 AS conditioned, round(sum({_NLL}), 6) AS neg_log_likelihood,
+SELECT sample_id, CASE WHEN gen_id < 3 THEN gen_id ELSE -1 END AS gen_id, token_pos <> 0 AS conditioned, round(sum({_NLL}), 6) AS neg_log_likelihood,
        count(*) + max(CASE WHEN gen_id < 3 THEN 0 ELSE 1 END) AS length, round(avg({_ENT}), 6) AS mean_token_entropy
 FROM {ROWS} GROUP BY 1, 2, 3""")
 def _likelihood(spark, sf):
@@ -120,7 +120,7 @@ def _likelihood(spark, sf):
     )
     out = T.likelihood_summary(t)
     return out.select(
-        "sample_id", "gen_id", "conditioned", r6(F.col("neg_log_likelihood")).alias("neg_log_likelihood"),
+        "sample_id", F.coalesce("gen_id", F.lit(-1)).alias("gen_id"), "conditioned", r6(F.col("neg_log_likelihood")).alias("neg_log_likelihood"),
         "length", r6(F.col("mean_token_entropy")).alias("mean_token_entropy"),
     )
 

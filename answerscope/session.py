@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "answerscope", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

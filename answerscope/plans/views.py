@@ -225,7 +225,7 @@ FROM (SELECT *, list_filter(list_transform(string_split_regex(answer, '[.\\n]'),
 
 def scored_docs(spark, sf):
     """Labelled documents with seven text-derived scores; whole texts."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     words = F.split("text", " ")
     n = F.length("text")
     return d.select(

@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "answerscope", **conf: str)
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # byte-sized merging would leave CPU-heavy comparisons of short texts on few cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")

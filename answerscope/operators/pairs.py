@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from answerscope.functions.arrays import argmax, softmax
 from answerscope.operators.groups import GROUP_LIMIT, pair_tiles, split_by_size
 from answerscope.operators.prompts import nli_pair_text
+from answerscope.operators.similarity import TEXT_TILE
 from answerscope.session import checkpointed
 
 SAMPLE = "sample_id"
 
 
-def answer_pairs(answers: DataFrame, ordered: bool = True, limit: int = GROUP_LIMIT) -> DataFrame:
+def answer_pairs(answers: DataFrame, ordered: bool = True, limit: int = TEXT_TILE) -> DataFrame:
     """The pairs a judge has to look at: (sample, i, j, text_i, text_j).
 
     ``answers`` holds numbered distinct answers (sample_id, ans_id, text). The pair list is
@@ -25,7 +26,7 @@ def answer_pairs(answers: DataFrame, ordered: bool = True, limit: int = GROUP_LI
     many tasks. ``ordered=False`` keeps i < j only.
     """
     item = F.struct("ans_id", "text")
-    tiles = pair_tiles(answers, [SAMPLE], item, F.col("ans_id"), limit)
+    tiles = pair_tiles(answers, [SAMPLE], item, F.col("ans_id"), limit, probe=answers.select(SAMPLE))
     left = tiles.select(SAMPLE, "lo", "hi", "right_items", F.explode("left_items").alias("a"))
     both = left.select(SAMPLE, "lo", "hi", "a", F.explode("right_items").alias("b"))
     a, b = F.col("a"), F.col("b")

@@ -209,10 +209,12 @@ def spectrum(
 
 
 def with_short_samples(scores: DataFrame, hidden: DataFrame, score: str = "spectral_score") -> DataFrame:
-    """Adds the samples that produced no step beyond the prompt, with score 0."""
+    """Adds the samples that produced no step beyond the prompt: score 0, other columns NULL."""
     longest = hidden.groupBy(SAMPLE).agg(F.max("token_pos").alias("_last"))
-    value = F.when(F.col("_last") < 1, F.lit(0.0)).otherwise(F.col(score))
-    return longest.join(scores, SAMPLE, "left").select(SAMPLE, value.alias(score))
+    short = F.col("_last") < 1
+    others = [F.when(~short, F.col(c)).alias(c) for c in scores.columns if c not in (SAMPLE, score)]
+    value = F.when(short, F.lit(0.0)).otherwise(F.col(score))
+    return longest.join(scores, SAMPLE, "left").select(SAMPLE, value.alias(score), *others)
 
 
 def gen_covariance(
@@ -225,7 +227,8 @@ def gen_covariance(
     """
     keys = keys or [SAMPLE]
     rows = pooled.filter(F.col("vec").isNotNull())
-    tiles = pair_tiles(rows, keys, F.struct("gen_id", "vec"), F.col("gen_id"), limit)
+    item = F.struct("gen_id", "vec")
+    tiles = pair_tiles(rows, keys, item, F.col("gen_id"), limit, probe=pooled.select(*keys))
     return tiles.select(
         *keys,
         F.transform("left_items", lambda s: s["gen_id"]).alias("row_gens"),

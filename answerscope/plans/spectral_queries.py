@@ -157,6 +157,14 @@ def _pool_last(spark, sf):
     return _long(S.pool_last_token(*_hidden(spark, sf), layers=[MID]))
 
 
+@query("pool_last_token_compat", _long_sql(_LAST_STEP.replace(
+    "least(greatest(c.num_tokens - 2, 0), l.top)",
+    f"CASE WHEN c.num_tokens < 2 THEN l.top ELSE least(c.num_tokens - 2, l.top) END AND h.layer = {MID}")))
+def _pool_last_compat(spark, sf):
+    """Step -1 wraps to the last position."""
+    return _long(S.pool_last_token(*_hidden(spark, sf), layers=[MID], compat=True))
+
+
 @query("pool_mean_tokens", _long_sql(f"SELECT * FROM ({_MEAN_TOKENS}) WHERE layer = {MID}"))
 def _pool_mean(spark, sf):
     return _long(S.pool_mean_tokens(*_hidden(spark, sf), layers=[MID]))

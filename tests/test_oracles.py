@@ -15,8 +15,16 @@ def con():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
-    ok, note = compare(spark, con, name, entry.queries()[name], SQL.get(name), SF)
+    plans = []
+
+    def run(session, sf):
+        df = entry.queries()[name](session, sf)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    ok, note = compare(spark, con, name, run, SQL.get(name), SF)
     assert ok, note
+    assert "CartesianProduct" not in plans[0] and "NestedLoopJoin" not in plans[0]
 
 
 def test_entry(spark):

@@ -157,12 +157,16 @@ def _resolve_roots(parents: DataFrame) -> DataFrame:
 
 
 def pair_audit(decisions: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """(sample, question, ans1, ans2, decision) rows for reading along."""
-    first = answers.select(SAMPLE, F.col("ans_id").alias("i"), F.col("text").alias("ans1"))
+    """(sample, question, ans1, ans2, decision) rows for reading along.
+
+    The question is attached to the answers, which are fewer than the pairs and not tied to
+    one key when a sample has very many.
+    """
+    asked = answers.join(questions, SAMPLE)
+    first = asked.select(SAMPLE, "question", F.col("ans_id").alias("i"), F.col("text").alias("ans1"))
     second = answers.select(SAMPLE, F.col("ans_id").alias("j"), F.col("text").alias("ans2"))
     return (
         decisions.join(first, [SAMPLE, "i"])
         .join(second, [SAMPLE, "j"])
-        .join(questions, SAMPLE)
         .select(SAMPLE, "question", "ans1", "ans2", "decision")
     )

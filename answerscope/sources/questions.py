@@ -8,10 +8,11 @@ comes from many files, as a single multi-line document cannot be split.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerscope.operators.sampling import assert_unique, dedup_first, row_index
+from answerscope.operators.groups import pinned
+from answerscope.operators.sampling import assert_unique, dedup_first
 
 # Layouts of the source documents.
 TURN = "struct<input_text:string>"
@@ -85,20 +86,30 @@ def nq_open(rows: DataFrame, index: str = "row_idx") -> DataFrame:
     )
 
 
-def read_nq_open(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (question, answer list). A row's index is its place in the files.
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines (value, row_idx) numbered by file name and place in the file; blank lines skipped.
 
-    Rows are ordered by file name, split and place inside the split, so an index does not
-    depend on how tasks were scheduled.
+    Splits are read in order, so a line's place inside its split is its distance from the
+    split's first line; only one row per split is ranked to find the splits' offsets, and
+    the lines themselves are neither sorted nor shuffled.
     """
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    lines = lines.filter(F.trim("value") != "").select(
+        "value", "file_path", "file_block_start", F.monotonically_increasing_id().alias("_seen")
+    )
+    split = ["file_path", "file_block_start"]
+    before = Window.partitionBy(F.lit(0)).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy(*split).agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    offsets = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return lines.join(pinned(offsets), split).select(
+        "value", (F.col("_seen") - F.col("_first") + F.col("_offset")).alias("row_idx")
     )
-    numbered = row_index(raw, ["_file", "_block", "_seen"])
-    parsed = numbered.select("row_idx", F.from_json("value", NQ_SCHEMA).alias("r")).select("row_idx", "r.*")
-    return nq_open(parsed)
+
+
+def read_nq_open(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines (question, answer list). A row's index is its place in the files."""
+    parsed = number_lines(spark, path).select("row_idx", F.from_json("value", NQ_SCHEMA).alias("r"))
+    return nq_open(parsed.select("row_idx", "r.*"))
 
 
 def triviaqa(rows: DataFrame, order: list[str]) -> DataFrame:

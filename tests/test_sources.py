@@ -42,6 +42,19 @@ def test_nq_open(spark, tmp_path):
     assert rows == [("1", "2", ["2"]), ("3", "1", []), ("4", "2", ["5", "6"])]
 
 
+def test_lines_are_numbered_across_files_and_splits(spark, tmp_path):
+    for name, lo, hi in (("b.json", 700, 1000), ("a.json", 0, 700)):
+        write(tmp_path / name, "\n\n".join(f"line {i:05d} " + "x" * (i % 50) for i in range(lo, hi)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = Q.number_lines(spark, str(tmp_path)).collect()
+        assert Q.number_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["row_idx"], int(r["value"][5:10])) for r in rows) == [(i, i) for i in range(1000)]
+
+
 def test_trivia(spark, tmp_path):
     lines = [{"question_id": "t1", "question": "q", "answer": {"value": "v"}, "search_results": {"a": 1}}] * 2 + [
         {"question_id": "t2", "question": "r", "answer": {"value": "w"}}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +35,26 @@ def local_session(cores: int | str = "*", app: str = "answerscope", **conf: str)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session: Arrow functions are imported there by name.
+
+    Spark serves the archive from the driver, as ``spark-submit --py-files`` would.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_answerscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "answerscope.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("answerscope", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._answerscope_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

@@ -1,10 +1,10 @@
-"""Registered queries: line dedup."""
+"""Registered queries: line dedup, quality rules, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerscope.llm import line_dedup
+from answerscope.llm import line_dedup, mixing, packing, quality
 from answerscope.llm.common import documents, query
 
 
@@ -25,3 +25,24 @@ def _line_dedup(spark, sf):
     return line_dedup.drop_repeated_lines(docs).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
     )
+
+
+@query("op8_quality_rules")
+def _quality(spark, sf):
+    """Not expressible in SQL: the exact binomial certificates; tests hold it against brute force."""
+    rows = quality.judged(documents(spark, sf).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf}/labels.parquet"))
+    return rows.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
+
+
+@query("op9_mixing")
+def _mixing(spark, sf):
+    """Not expressible in SQL: a sequential random walk; tests check totals, bounds and reruns."""
+    return mixing.mix_report(documents(spark, sf).select("doc_id", "text", "source"))
+
+
+@query("op10_packing")
+def _packing(spark, sf):
+    """Not expressible in SQL: the tokenizer; tests check coverage, offsets and checksums."""
+    import public_tokenizers
+
+    return packing.packed_pieces(documents(spark, sf).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

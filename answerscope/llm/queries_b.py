@@ -1,10 +1,10 @@
-"""Registered queries: SimHash near-duplicates."""
+"""Registered queries: SimHash near-duplicates, language, secrets."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerscope.llm import simhash
+from answerscope.llm import language, secrets, simhash
 from answerscope.llm.common import documents, id_back, query
 
 
@@ -13,3 +13,21 @@ def _simhash(spark, sf):
     """Not expressible in SQL: XXH64; tests hold it against brute force over all pairs."""
     found = simhash.near_duplicates(documents(spark, sf).select("doc_id", "text"))
     return found.select(id_back().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), id_back("component").alias("component_id"))
+
+
+@query("op5_language")
+def _language(spark, sf):
+    """Not expressible in SQL: byte context trees; tests hold it against brute force and held-out labels."""
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    return language.identify(docs, language.learn(docs))
+
+
+@query("op1_secrets")
+def _secrets(spark, sf):
+    found = secrets.secrets(documents(spark, sf).select("doc_id", "text"))
+    kinds = {f"n_{k}": F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long") for r, k in enumerate(secrets.KINDS[:3])}
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in kinds.items()],
+        F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )

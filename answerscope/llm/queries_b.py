@@ -1,10 +1,10 @@
-"""Registered queries: SimHash near-duplicates, language, secrets."""
+"""Registered queries: SimHash near-duplicates, language, secrets, fingerprints."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerscope.llm import language, secrets, simhash
+from answerscope.llm import language, secrets, simhash, sketches
 from answerscope.llm.common import documents, id_back, query
 
 
@@ -31,3 +31,9 @@ def _secrets(spark, sf):
         F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secrets.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+@query("op7_fingerprints")
+def _fingerprints(spark, sf):
+    """Not expressible in SQL: XXH64; tests hold it against brute force."""
+    return sketches.compared(documents(spark, sf).select("doc_id", "text"))

@@ -25,8 +25,8 @@ def mask_labels(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda x: F.when(x == F.lit(pad), F.lit(IGNORE_INDEX)).otherwise(x))
 
 
-def pad_generations(generations: Column, pad: int, k: int) -> Column:
-    """Pad every id array of a sample to the longest one and keep the first ``k``."""
+def pad_generations(generations: Column, pad: int, k: int | Column) -> Column:
+    """Pad every id array of a sample to the longest one; ``k`` is the number that was sampled."""
     longest = F.array_max(F.transform(generations, lambda g: F.size(g)))
     padded = let(
         longest,

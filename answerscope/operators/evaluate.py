@@ -117,9 +117,12 @@ def score_counts(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _grouped(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """Without keys the whole table is one group, named by a constant column."""
-    return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+def _attached(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of its group's row; without keys that one row becomes literals."""
+    if keys:
+        return df.join(pinned(per_group), keys)
+    row = per_group.first()
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in per_group.schema])
 
 
 def cumulative_counts(
@@ -133,7 +136,7 @@ def cumulative_counts(
         joined = cum.select("*", F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
     else:
         totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        joined = cum.join(pinned(totals), keys)
+        joined = _attached(cum, totals, keys)
     return joined.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
 
@@ -160,7 +163,6 @@ def roc_curve(
     scored: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, size_bound: int | None = None
 ) -> DataFrame:
     """All curve points including the first one at +infinity; ties form one point."""
-    scored, keys = _grouped(scored, keys)
     counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
     tpr, fpr = _rates()
@@ -169,7 +171,7 @@ def roc_curve(
     # only the highest score has nothing above it: the starting point is put in front of it
     highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     points = F.when(highest, F.array(start, point)).otherwise(F.array(point))
-    return cum.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*").drop("_all")
+    return cum.select(*keys, F.explode(points).alias("p")).select(*keys, "p.*")
 
 
 def _auroc_value() -> Column:
@@ -195,7 +197,6 @@ def separation(
     is 0 everywhere it is the curve's starting point, +infinity. ``round_threshold`` rounds
     it before it is applied.
     """
-    scored, keys = _grouped(scored, keys)
     counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
     tpr, fpr = _rates()
@@ -205,7 +206,7 @@ def separation(
         best = with_g.select("*", F.max("_g").over(whole).alias("_top"), _best_point().over(whole).alias("_t"))
     else:
         found = with_g.groupBy(*keys).agg(F.max("_g").alias("_top"), _best_point().alias("_t"))
-        best = with_g.join(pinned(found), keys)
+        best = _attached(with_g, found, keys)
     threshold = F.when(F.col("_top") == 0, F.lit(float("inf"))).when(F.col("_top").isNotNull(), F.col("_t"))
     if round_threshold is not None:
         threshold = F.round(threshold, round_threshold)
@@ -216,17 +217,16 @@ def separation(
         _auroc_value().alias("auroc"),
         F.max("_cut").alias("threshold"),
         F.when(F.max("_cut").isNotNull(), accuracy).alias("detection_accuracy"),
-    ).drop("_all")
+    )
 
 
 def auroc(
     scored: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, size_bound: int | None = None
 ) -> DataFrame:
     """P(score of a positive > of a negative) + half the ties; NULL with one class only."""
-    scored, keys = _grouped(scored, keys)
     counts, bound = _counted(scored, keys, rows_per_bucket, size_bound)
     cum = cumulative_counts(counts, keys, rows_per_bucket, bound)
-    return cum.groupBy(*keys).agg(_auroc_value().alias("auroc")).drop("_all")
+    return cum.groupBy(*keys).agg(_auroc_value().alias("auroc"))
 
 
 def best_threshold(scored: DataFrame, keys: list[str], digits: int | None = 4, **sizes) -> DataFrame:
@@ -240,11 +240,16 @@ def detection_accuracy(scored: DataFrame, keys: list[str], digits: int | None =
 
 
 def pearson_value(x: str, y: str) -> Column:
-    """Correlation as an aggregate; NULL when either side is constant."""
+    """Correlation as an aggregate; NULL when either side is constant.
+
+    Constancy is read off minimum and maximum: merged partial deviations of a constant need
+    not be exactly 0.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))
     spread = F.stddev_samp(xs) * F.stddev_samp(ys)
-    return F.try_divide(F.covar_samp(xs, ys), spread)
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.try_divide(F.covar_samp(xs, ys), spread))
 
 
 def pearson_wide(labelled: DataFrame, keys: list[str], signs: dict[str, int], x: str = "similarity") -> DataFrame:

@@ -13,15 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerscope.session import checkpointed
+from answerscope.session import checkpointed, stored
 
 GROUP_LIMIT = 1024
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 BROADCAST_ROWS = 100_000
 NARROW_BROADCAST_ROWS = 2_000_000  # a few integers per row: well below 100 MB
-SAMPLES_PER_BUCKET = 32
-SEARCH_RUN = 64
 
 
 def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,7 +26,8 @@ def pinned(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Up to ``max_rows`` rows become a local relation marked for broadcast, so later plans
     neither recompute nor shuffle it. A larger table goes to the shared checkpoint folder
-    and is joined like any other.
+    and is joined like any other. Rows hold a few numbers or short strings each; a table with
+    wide columns needs a smaller ``max_rows``.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
@@ -75,6 +73,7 @@ def running_totals(
     size_bound: int | None = None,
     probe: DataFrame | None = None,
     cut_lineage: bool = False,
+    steer: Column | None = None,
 ) -> DataFrame:
     """Inclusive prefix sums of ``values`` by ascending ``order`` within ``keys``.
 
@@ -83,89 +82,34 @@ def running_totals(
 
     A window is enough while every group has at most ``rows_per_bucket`` rows. That is
     known from ``size_bound`` (an upper bound of the total) or measured on ``probe``, a
-    cheaper table with at least as many rows per group. Larger groups are cut into value
-    ranges: boundaries come from a hash-selected subset of the values (a fixed function of
-    the data, so re-running a lost task cannot move them), sums run inside each range in
-    parallel, and range totals are added from a window over at most ``MAX_BUCKETS`` totals
-    per group. The boundaries only steer the partitioning; every row is summed exactly.
-
-    ``cut_lineage`` materialises a derived ``df`` once in the shared folder instead of
-    recomputing it for boundaries, totals and sums.
+    cheaper table with at least as many rows per group. Otherwise the rows are range-partitioned
+    by (keys, order) into pieces of about ``rows_per_bucket`` and written to the shared folder
+    with the piece's number, so the pieces cannot move afterwards; sums run inside each piece in
+    parallel, and what a group has in earlier pieces is added from one row for each group and
+    piece. ``steer`` is a short stand-in for a long ``order`` (monotone in it, such as a
+    text's first characters) by which the ranges are drawn instead.
     """
     if size_bound is not None and size_bound <= rows_per_bucket:
         return _windowed(df, keys, order, values)
+    sizes = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("whole")).first()
+    if (most["most"] or 0) <= rows_per_bucket:
+        return _windowed(df, keys, order, values)
     own = df.columns
-    group = keys or ["_whole"]
-    if not keys:
-        df = df.withColumn("_whole", F.lit(0))
-        probe = None if probe is None else probe.withColumn("_whole", F.lit(0))
-    big = oversized_groups(df if probe is None else probe, group, rows_per_bucket)
-    if big is None:
-        return _windowed(df, group, order, values).drop("_whole")
-    if cut_lineage:
-        df = checkpointed(df)
-
-    wanted = F.least(F.ceil(F.col("group_rows") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
-    big = big.select(*group, "group_rows", wanted.alias("_nb"))
-    # rows of large groups only; few groups can be large, so ``big`` is small
-    step = F.greatest(F.lit(1), F.floor(F.col("group_rows") / (F.col("_nb") * F.lit(SAMPLES_PER_BUCKET)))).cast("bigint")
-    picked = (
-        df.select(*group, order)
-        .join(big, group)
-        .filter(F.pmod(F.xxhash64(order), step) == 0)
-        .groupBy(*group, "_nb")
-        .agg(F.array_sort(F.collect_list(order)).alias("_s"))
-    )
-    bounds = picked.select(
-        *group,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("_nb") - 1, F.lit(1))),
-            lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / F.col("_nb")).cast("int")),
-        ).alias("_bounds"),
-    )
-    # two-level search: first among every 64th boundary, then inside one run of 64
-    runs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_bounds") - 1) / SEARCH_RUN).cast("int")),
-        lambda r: F.slice("_bounds", r * SEARCH_RUN + 1, F.lit(SEARCH_RUN)),
+    pieces = -(-most["whole"] // rows_per_bucket)
+    ranged = df.repartitionByRange(pieces, *keys, F.col(order) if steer is None else steer)
+    cut = stored(ranged.withColumn("_piece", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy(*keys, "_piece").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_piece", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
-    bounds = bounds.select(*group, runs.alias("_runs"))
-    bounds = pinned(
-        bounds.select(*group, "_runs", F.transform("_runs", lambda r: r[0]).alias("_firsts")),
-        BROADCAST_ROWS // SAMPLES_PER_BUCKET,
-    )
-
-    def at_most(sorted_values: Column) -> Column:
-        return F.size(F.filter(sorted_values, lambda b: b <= F.col(order)))
-
-    cut = df.join(bounds, group, "left").withColumn(
-        "_run", F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(at_most(F.col("_firsts")))
-    )
-    inside = at_most(F.get(F.col("_runs"), F.col("_run") - 1))
-    cut = cut.withColumn(
-        "_bucket", F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * SEARCH_RUN + inside)
-    ).drop("_runs", "_firsts", "_run")
-    totals = cut.join(big.select(*group), group, "left_semi").groupBy(*group, "_bucket").agg(
-        *[F.sum(v).alias(f"_t_{v}") for v in values]
-    )
-    before = _window(group, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pinned(
-        totals.select(
-            *group, "_bucket",
-            *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
-        )
-    )
-    summed = _windowed(cut, [*group, "_bucket"], order, values).join(offsets, [*group, "_bucket"], "left")
-    return summed.select(
-        *own, *[(F.col(f"cum_{v}") + F.coalesce(F.col(f"_o_{v}"), F.lit(0))).alias(f"cum_{v}") for v in values]
-    )
-
-
-def _window(keys: list[str], order: str) -> Window:
-    return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
+    summed = _windowed(cut, [*keys, "_piece"], order, values).join(pinned(offsets), [*keys, "_piece"])
+    return summed.select(*own, *[(F.col(f"cum_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
 def _windowed(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    w = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
 
 

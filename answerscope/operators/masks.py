@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.operators.groups import ROWS_PER_BUCKET, pinned, positions, running_totals
+from answerscope.session import stored
 
 
 def _quota(pct: float, n):
@@ -26,10 +29,11 @@ def _threshold(cells: DataFrame, keys: list[str], quota: DataFrame, rows_per_buc
 
 
 def _zero_weak(cells: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
-    weak = F.col("importance") <= F.col("threshold")
-    return cells.join(thresholds, keys, "left").select(
-        "row", "col", F.when(weak, F.lit(0.0)).otherwise(F.col("weight")).alias("weight")
-    )
+    return _zeroed(cells.join(thresholds, keys, "left"), F.col("importance") <= F.col("threshold"))
+
+
+def _zeroed(cells: DataFrame, weak: Column) -> DataFrame:
+    return cells.select("row", "col", F.when(weak, F.lit(0.0)).otherwise(F.col("weight")).alias("weight"))
 
 
 def mask_bottom_k_per_row(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -42,11 +46,13 @@ def mask_bottom_k_per_row(cells: DataFrame, pct: float, rows_per_bucket: int = R
 
 
 def mask_bottom_k_global(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The same with one threshold for the whole matrix."""
-    tagged = cells.withColumn("_all", F.lit(0))
-    quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", _quota(pct, F.col("_n")).alias("k"))
-    one_row = pinned(_threshold(tagged, ["_all"], quota, rows_per_bucket))
-    return _zero_weak(tagged, one_row, ["_all"])
+    """The same with one threshold for the whole matrix, which is read once and becomes a literal."""
+    counts = cells.groupBy("importance").agg(F.count(F.lit(1)).alias("n"))
+    k = math.floor(pct / 100.0 * cells.count())
+    cum = running_totals(counts, [], "importance", ["n"], rows_per_bucket)
+    row = cum.filter((F.lit(k) > 0) & (F.col("cum_n") >= k) & (F.col("cum_n") - F.col("n") < k)).first()
+    threshold = F.lit(None if row is None else row["importance"]).cast(cells.schema["importance"].dataType)
+    return _zeroed(cells, F.col("importance") <= threshold)
 
 
 def mask_weak_columns(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -55,10 +61,8 @@ def mask_weak_columns(cells: DataFrame, pct: float, rows_per_bucket: int = ROWS_
     Equal norms are settled by the smaller column number.
     """
     norms = cells.groupBy("col").agg(F.sqrt(F.sum(F.col("importance") * F.col("importance"))).alias("norm"))
-    tagged = norms.withColumn("_all", F.lit(0))
-    quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", _quota(pct, F.col("_n")).alias("k"))
-    placed = positions(tagged, ["_all"], ["norm", "col"], rows_per_bucket=rows_per_bucket, cut_lineage=True).join(quota, "_all")
-    weak = placed.filter(F.col("position") <= F.col("k")).select("col", F.lit(True).alias("_weak"))
-    return cells.join(pinned(weak), "col", "left").select(
-        "row", "col", F.when(F.col("_weak"), F.lit(0.0)).otherwise(F.col("weight")).alias("weight")
-    )
+    norms = stored(norms, "norms")
+    n = norms.count()
+    placed = positions(norms, [], ["norm", "col"], rows_per_bucket=rows_per_bucket, size_bound=n)
+    weak = placed.filter(F.col("position") <= math.floor(pct / 100.0 * n)).select("col", F.lit(True).alias("_weak"))
+    return _zeroed(cells.join(pinned(weak), "col", "left"), F.col("_weak"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,17 @@ def subsample(df: DataFrame, fraction: float, seed: int, id_col: str = "id") ->
     """Exact-size seeded random subset: n - ceil((1-fraction)·n) rows; ids must be unique."""
     if fraction >= 1.0:
         return df
-    tagged = df.withColumn("_all", F.lit(0))
-    keep = F.col("_n") - F.ceil(F.lit(1.0 - fraction) * F.col("_n"))
-    quota = tagged.groupBy("_all").agg(F.count(F.lit(1)).alias("_n")).select("_all", keep.cast("bigint").alias("_quota"))
-    return _mark_lowest(tagged, quota, "_all", id_col, seed).filter("_taken").drop("_taken", "_all")
+    digest = seeded_digest(id_col, seed)
+    tagged = df.select(id_col, digest.alias("_d"), F.substring(digest, 1, PREFIX_DIGITS).alias("_p"))
+    cells = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # at most 65,536
+    n = sum(r["n"] for r in cells)
+    quota, before = n - math.ceil((1.0 - fraction) * n), 0
+    for cell in cells:
+        if before + cell["n"] >= quota > before:
+            edge = tagged.filter(F.col("_p") == cell["_p"]).orderBy("_d", id_col).limit(quota - before)
+            return df.filter(digest <= F.lit(edge.agg(F.max("_d").alias("last")).first()["last"]))
+        before += cell["n"]
+    return df.limit(0)
 
 
 def stratified_split(df: DataFrame, label: str, test_size: float, seed: int, id_col: str = "id") -> DataFrame:
@@ -212,16 +221,20 @@ def merge_batches(df: DataFrame, sample: str = "sample_id", rows_per_bucket: int
 
 
 def explode_generations(results: DataFrame, col: str = "generations", id_col: str = "id") -> DataFrame:
-    """One row (id, gen_id, text) per generation of a record."""
-    return results.select(id_col, F.posexplode(col).alias("gen_id", "text"))
+    """One row (id, gen_id, text) per generation of a record, or of a part that names its ``first``."""
+    place = F.col("_pos") + F.col("first") if "first" in results.columns else F.col("_pos")
+    kept = [id_col, "first"] if "first" in results.columns else [id_col]
+    rows = results.select(*kept, F.posexplode(col).alias("_pos", "text"))
+    return rows.select(id_col, place.cast("int").alias("gen_id"), "text")
 
 
 def collect_generations(rows: DataFrame, id_col: str = "id", part_size: int = 100_000) -> DataFrame:
-    """The inverse of ``explode_generations``: ordered arrays (id, part, generations).
+    """The inverse of ``explode_generations``: ordered arrays (id, first, generations).
 
-    A record of at most ``part_size`` generations is one row with part 0; a larger one
-    continues in further parts, so no array grows without bound.
+    A row holds the generations ``first``, ``first`` + 1, ...; at most ``part_size`` of them, so
+    no array grows without bound. ``explode_generations`` gives the same rows back for any
+    ``part_size``.
     """
-    part = F.floor(F.col("gen_id") / F.lit(part_size)).cast("int").alias("part")
+    first = (F.col("gen_id") - F.col("gen_id") % F.lit(part_size)).cast("bigint").alias("first")
     packed = F.array_sort(F.collect_list(F.struct("gen_id", "text")))
-    return rows.groupBy(id_col, part).agg(F.transform(packed, lambda s: s["text"]).alias("generations"))
+    return rows.groupBy(id_col, first).agg(F.transform(packed, lambda s: s["text"]).alias("generations"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.functions import dense
-from answerscope.functions.arrays import softmax_weighted_mean, vec_distance, vec_stride
+from answerscope.functions.arrays import let, log10_det, softmax_weighted_mean, vec_distance, vec_stride
 from answerscope.operators.groups import (
     GROUP_LIMIT,
     ROWS_PER_BUCKET,
@@ -46,6 +46,19 @@ def middle_layer(num_layers: int) -> int:
     return num_layers // 2
 
 
+LENGTHS = {"num_tokens", "last_step"}
+
+
+def with_lengths(hidden: DataFrame, counts: DataFrame) -> DataFrame:
+    """``hidden`` with ``num_tokens`` and ``last_step`` of its generation on every row.
+
+    For the job that writes the table, once: pooling then needs no join.
+    """
+    last = hidden.groupBy(SAMPLE, "gen_id").agg(F.max("token_pos").alias("last_step"))
+    lengths = last.join(counts.select(SAMPLE, "gen_id", "num_tokens"), [SAMPLE, "gen_id"])
+    return hidden.join(lengths, [SAMPLE, "gen_id"])
+
+
 def pool_last_token(
     hidden: DataFrame, counts: DataFrame, layers: list[int] | None = None, compat: bool = False
 ) -> DataFrame:
@@ -53,11 +66,16 @@ def pool_last_token(
 
     Steps are clamped to the positions a generation has; ``compat`` wraps step -1 to the
     last position instead of clamping it to 0. ``last_step`` tells how long the generation
-    was. Positions are resolved from the id columns alone; while the table of generations
-    is small enough it is broadcast, and vectors of other steps are dropped at the scan
-    instead of being shuffled.
+    was. A table written ``with_lengths`` carries both numbers, and the step is a filter at
+    the scan: nothing is shuffled. Otherwise positions are resolved from the id columns and
+    joined; beyond the broadcast bound that join moves the vectors.
     """
     rows = hidden if layers is None else hidden.filter(F.col("layer").isin(layers))
+    if LENGTHS <= set(hidden.columns):
+        step = F.col("num_tokens") - 2
+        low = F.when(step < 0, F.col("last_step") if compat else F.lit(0)).otherwise(step)
+        at_step = rows.filter(F.col("token_pos") == F.least(low, F.col("last_step")))
+        return at_step.select(SAMPLE, "gen_id", "layer", "last_step", F.col("vec").cast("array<double>").alias("vec"))
     last = rows.groupBy(SAMPLE, "gen_id").agg(F.max("token_pos").alias("last_step"))
     step = F.col("num_tokens") - 2
     low = F.when(step < 0, F.col("last_step") if compat else F.lit(0)).otherwise(step)
@@ -82,14 +100,15 @@ def pool_mean_tokens(
 ) -> DataFrame:
     """Mean over steps 1..num_tokens per generation and layer.
 
-    ``compat`` divides by num_tokens-1 instead of the number of steps summed.
+    ``compat`` divides by num_tokens-1 instead of the number of steps summed. Vectors of a
+    table written ``with_lengths`` are summed map-side before anything moves.
     """
     rows = hidden if layers is None else hidden.filter(F.col("layer").isin(layers))
-    inside = (
-        rows.filter(F.col("token_pos") >= 1)
-        .join(broadcast_narrow(counts.select(SAMPLE, "gen_id", "num_tokens"), counts.count()), [SAMPLE, "gen_id"])
-        .filter(F.col("token_pos") <= F.col("num_tokens"))
-    )
+    inside = rows.filter(F.col("token_pos") >= 1)
+    if not LENGTHS <= set(hidden.columns):
+        lengths = broadcast_narrow(counts.select(SAMPLE, "gen_id", "num_tokens"), counts.count())
+        inside = inside.join(lengths, [SAMPLE, "gen_id"])
+    inside = inside.filter(F.col("token_pos") <= F.col("num_tokens"))
     keys = [SAMPLE, "gen_id", "layer"]
     summed = sum_vector(
         inside, keys, "vec", "vec", F.count(F.lit(1)).alias("_terms"), F.first("num_tokens").alias("_tokens")
@@ -220,23 +239,63 @@ def with_short_samples(scores: DataFrame, hidden: DataFrame, score: str = "spect
 def gen_covariance(
     pooled: DataFrame, keys: list[str] | None = None, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Covariance between generations, as dense blocks.
+    """Covariance between generations: (sample, i, j, cov) with i <= j, each pair once.
 
-    One row per block: ``row_gens`` x ``col_gens`` and ``cov``. Samples within the limit
-    are a single block, the full K x K matrix; larger ones list each pair of blocks once.
+    Computed by tiles: one for a sample within the limit, one for each pair of blocks of a
+    larger one. The rows are the same either way.
     """
     keys = keys or [SAMPLE]
     rows = pooled.filter(F.col("vec").isNotNull())
     item = F.struct("gen_id", "vec")
     tiles = pair_tiles(rows, keys, item, F.col("gen_id"), limit, probe=pooled.select(*keys))
-    return tiles.select(
+    blocks = tiles.select(
         *keys,
-        F.transform("left_items", lambda s: s["gen_id"]).alias("row_gens"),
-        F.transform("right_items", lambda s: s["gen_id"]).alias("col_gens"),
+        (F.col("lo") == F.col("hi")).alias("same"),
+        F.transform("left_items", lambda s: s["gen_id"]).alias("a"),
+        F.transform("right_items", lambda s: s["gen_id"]).alias("b"),
         dense.cross_covariance()(
             F.transform("left_items", lambda s: s["vec"]), F.transform("right_items", lambda s: s["vec"])
         ).alias("cov"),
     )
+    lines = blocks.select(*keys, "same", "b", F.explode(F.arrays_zip("a", "cov")).alias("r"))
+    cells = lines.select(
+        *keys, "same", F.col("r.a").alias("a"), F.explode(F.arrays_zip("b", F.col("r.cov").alias("cov"))).alias("c")
+    )
+    # a block with itself holds every pair in both orders, two blocks each pair in one of them
+    once = cells.filter(~F.col("same") | (F.col("a") <= F.col("c.b")))
+    return once.select(
+        *keys, F.least("a", "c.b").alias("i"), F.greatest("a", "c.b").alias("j"), F.col("c.cov").alias("cov")
+    )
+
+
+def spectral_score_native(
+    pooled: DataFrame, keys: list[str] | None = None, ridge: float = RIDGE, limit: int = GROUP_LIMIT,
+    largest: int = GROUP_LIMIT,
+) -> DataFrame:
+    """``spectral_score`` from covariance rows and the JVM elimination alone.
+
+    A sample's matrix stands in one row, so samples of more than ``largest`` generations
+    are refused with an error; ``spectral_score`` has no such bound.
+    """
+    keys = keys or [SAMPLE]
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "cov")))
+    rows = gen_covariance(pooled, keys, limit).groupBy(*keys).agg(
+        F.count_if(F.col("i") == F.col("j")).cast("int").alias("k"), F.transform(cells, lambda c: c["cov"]).alias("flat")
+    )
+    fits = F.when(F.col("k") <= largest, F.col("k")).otherwise(
+        F.raise_error(F.lit(f"a sample has more than {largest} generations")).cast("int")
+    )
+    rows = rows.withColumn("k", fits)
+
+    def cell(r: Column, c: Column) -> Column:
+        """The upper triangle lies in ``flat`` row by row."""
+        lo, hi = F.least(r, c), F.greatest(r, c)
+        value = F.get(F.col("flat"), (lo * F.col("k") - (lo * (lo - 1) / 2).cast("int") + hi - lo).cast("int"))
+        return value + F.when(r == c, F.lit(ridge)).otherwise(F.lit(0.0))
+
+    places = F.sequence(F.lit(0), F.col("k") - 1)
+    matrix = F.transform(places, lambda r: F.transform(places, lambda c: cell(r, c)))
+    return rows.select(*keys, (let(matrix, log10_det) / F.col("k")).alias("spectral_score"))
 
 
 # --- scores over layers -------------------------------------------------------------

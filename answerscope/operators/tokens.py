@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from answerscope.functions.arrays import entropy, let, log_max_prob, logsumexp, max_prob
 from answerscope.functions.ids import num_tokens
 from answerscope.operators.groups import broadcast_narrow
-from answerscope.operators.vectors import mean_vector
+from answerscope.operators.vectors import sum_vector
 
 # Added to a probability before its logarithm.
 PROBABILITY_FLOOR = 1e-6
@@ -52,14 +52,17 @@ def length_normalized_entropy(
     """-mean over generations of (Σ_{t < num_tokens} ln max prob / num_tokens).
 
     ``scope='last_batch'`` restricts a sample to its last batch of generations.
-    ``counts``: sample, gen_id, num_tokens - one row per generation.
+    ``counts``: sample, gen_id, num_tokens - one row per generation. Logits become one number
+    a token before anything else happens.
     """
+    batch = ["batch_id"] if scope == "last_batch" else []
+    reduced = scores.select(sample, *batch, "gen_id", "token_pos", log_max_prob(F.col("logits")).alias("_lp"))
     if scope == "last_batch":
-        scores = last_batch(scores, sample)
-        counts = counts.join(scores.select(sample, "gen_id").distinct(), [sample, "gen_id"], "left_semi")
+        reduced = last_batch(reduced, sample).drop("batch_id")
+        ids = last_batch(scores.select(sample, "batch_id", "gen_id").distinct(), sample)
+        counts = counts.join(ids, [sample, "gen_id"], "left_semi")
     elif scope != "all":
         raise ValueError("scope is 'all' or 'last_batch'")
-    reduced = scores.select(sample, "gen_id", "token_pos", log_max_prob(F.col("logits")).alias("_lp"))
     lengths = broadcast_narrow(counts.select(sample, "gen_id", "num_tokens"), counts.count())
     inside = reduced.join(lengths, [sample, "gen_id"]).filter(F.col("token_pos") < F.col("num_tokens"))
     sums = inside.groupBy(sample).agg(F.sum(F.col("_lp") / F.col("num_tokens")).alias("_s"))
@@ -118,8 +121,14 @@ def likelihood_summary(scores: DataFrame, sample: str = "sample_id") -> DataFram
 
 
 def sequence_embedding(hidden: DataFrame, layer: int, keys: list[str]) -> DataFrame:
-    """Mean last-layer vector over a sequence's positions, the last position excluded."""
-    rows = hidden.filter(F.col("layer") == layer)
-    last = rows.groupBy(*keys).agg(F.max("token_pos").alias("_last"))
-    inner = rows.join(last, keys).filter(F.col("token_pos") < F.col("_last"))
-    return mean_vector(inner, keys, "vec", "embedding")
+    """Mean last-layer vector over a sequence's positions, the last position excluded.
+
+    One map-side pass: the sum of all vectors less the last one. A sequence of one position
+    has no row.
+    """
+    rows = hidden.filter(F.col("layer") == layer).withColumn("vec", F.col("vec").cast("array<double>"))
+    sums = sum_vector(
+        rows, keys, "vec", "_sum", F.max_by("vec", "token_pos").alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+    mean = F.zip_with("_sum", "_last", lambda s, x: (s - x) / (F.col("_n") - 1))
+    return sums.filter(F.col("_n") > 1).select(*keys, mean.alias("embedding"))

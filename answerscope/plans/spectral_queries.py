@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerscope.functions.arrays import cosine_similarity, let, log10_det, vec_dot, vec_norm, vec_stride
+from answerscope.functions.arrays import cosine_similarity, vec_dot, vec_norm, vec_stride
 from answerscope.operators import spectral as S
 from answerscope.operators.evaluate import auroc
 from answerscope.operators.sampling import merge_batches
@@ -217,11 +217,8 @@ def _merge(spark, sf):
 WITH RECURSIVE {log_det_ctes(V.SPECTRAL_SAMPLES, 'sample_id', 0.0)}
 SELECT sample_id, i, j, round(v, 6) + 0 AS cov FROM cov WHERE i <= j""")
 def _covariance(spark, sf):
-    blocks = S.gen_covariance(V.spectral_samples(spark, sf))
-    rows = blocks.select("sample_id", "col_gens", F.explode(F.arrays_zip("row_gens", "cov")).alias("r"))
-    cells = rows.select("sample_id", F.col("r.row_gens").alias("i"), F.explode(F.arrays_zip("col_gens", F.col("r.cov").alias("cov"))).alias("c"))
-    flat = cells.select("sample_id", "i", F.col("c.col_gens").alias("j"), F.col("c.cov").alias("cov"))
-    return flat.filter("i <= j").select("sample_id", "i", "j", r6(F.col("cov")).alias("cov"))
+    cells = S.gen_covariance(V.spectral_samples(spark, sf))
+    return cells.select("sample_id", "i", "j", r6(F.col("cov")).alias("cov"))
 
 
 @query("spectrum", f"""
@@ -249,13 +246,9 @@ def _output(spark, sf):
 
 @query("spectral_score_native", _score(V.SPECTRAL_SAMPLES))
 def _native(spark, sf):
-    """The same score from covariance blocks and the JVM elimination."""
-    blocks = S.gen_covariance(V.spectral_samples(spark, sf))
-    ridged = F.transform(
-        "cov", lambda row, i: F.transform(row, lambda x, j: x + F.when(i == j, F.lit(S.RIDGE)).otherwise(F.lit(0.0)))
-    )
-    value = let(ridged, lambda m: log10_det(m) / F.size(m))
-    return blocks.select("sample_id", r6(value).alias("spectral_score"))
+    """The same score from covariance rows and the JVM elimination."""
+    out = S.spectral_score_native(V.spectral_samples(spark, sf))
+    return out.select("sample_id", r6(F.col("spectral_score")).alias("spectral_score"))
 
 
 @query("spectral_score_last_token", _score(f"SELECT * FROM ({_LAST_STEP}) WHERE layer = {MID}"))

@@ -43,7 +43,7 @@ def _caseless(expr: str) -> str:
 
 @query("normalize_text", f"SELECT doc_id, {_normal('text')} AS normalized FROM documents")
 def _normalize(spark, sf):
-    return V.texts(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
+    return V.table(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query("exact_match", f"SELECT id, CAST({_normal('most_likely_generation')} = {_normal('answer')} AS INT) AS exact_match FROM ({V.RECORDS})")
@@ -72,12 +72,12 @@ def _cleaned(spark, sf):
 
 @query("rouge_tokens", f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents")
 def _tokens(spark, sf):
-    return V.texts(spark, sf, "documents").select("doc_id", F.array_join(X.rouge_tokens(F.col("text")), " ").alias("tokens"))
+    return V.table(spark, sf, "documents").select("doc_id", F.array_join(X.rouge_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("stem_vocabulary")
 def _stems(spark, sf):
-    return D.stem_vocabulary(V.texts(spark, sf, "documents"), "text")
+    return D.stem_vocabulary(V.table(spark, sf, "documents"), "text")
 
 
 _TOK = f"(SELECT id, {tokens('most_likely_generation')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}))"
@@ -91,7 +91,7 @@ def _rouge_l(spark, sf):
 @query("rouge_l_documents")
 def _rouge_l_docs(spark, sf):
     """Whole documents against the next document; the quadratic SQL is too slow for these."""
-    d = V.texts(spark, sf, "documents").select("doc_id", "text")
+    d = V.table(spark, sf, "documents").select("doc_id", "text")
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
     return d.join(after, "doc_id").select("doc_id", r6(O.rouge_l(F.col("text"), F.col("next_text"), stem=True)).alias("rouge_l"))
 
@@ -213,11 +213,14 @@ def _explode(spark, sf):
     return explode_generations(V.records(spark, sf))
 
 
-@query("collect_generations", f"""
-SELECT conv_id AS id, CAST(turn // 2 AS INT) AS part, array_to_string(list(text ORDER BY turn), '|') AS generations FROM conversations GROUP BY 1, 2""")
+@query("collect_generations", """
+SELECT conv_id AS id, CAST(turn // 2 * 2 AS BIGINT) AS first, CAST(turn AS INT) AS gen_id, text FROM conversations""")
 def _collect(spark, sf):
+    """Collected in parts of two and exploded again: every generation is back in its place."""
     rows = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("gen_id"), "text")
-    return collect_generations(rows, part_size=2).select("id", "part", F.array_join("generations", "|").alias("generations"))
+    parts = collect_generations(rows, part_size=2)
+    first = F.col("gen_id") - F.col("gen_id") % 2
+    return explode_generations(parts).select("id", first.cast("bigint").alias("first"), "gen_id", "text")
 
 
 # --- prompts ------------------------------------------------------------------------

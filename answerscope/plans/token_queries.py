@@ -173,9 +173,9 @@ def _completion(spark, sf):
 
 @query("pad_generations", f"""
 WITH r AS (SELECT id, list_transform(generations, lambda g: list_transform(string_split(g, ' '), lambda w: CAST(length(w) AS INT))) AS gens FROM ({V.RECORDS})),
-p AS (SELECT id, list_transform(gens, lambda g: g || list_transform(range(list_max(list_transform(gens, lambda h: len(h))) - len(g)), lambda q: 1::INT))[:3] AS gens FROM r)
+p AS (SELECT id, list_transform(gens, lambda g: g || list_transform(range(list_max(list_transform(gens, lambda h: len(h))) - len(g)), lambda q: 1::INT)) AS gens FROM r)
 SELECT id, array_to_string(list_transform(gens, lambda g: array_to_string(g, ',')), ';') AS ids FROM p""")
 def _pad(spark, sf):
     gens = F.transform("generations", lambda g: F.transform(F.split(g, " "), lambda w: F.length(w)))
-    padded = I.pad_generations(gens, 1, 3)
+    padded = I.pad_generations(gens, 1, F.size("generations"))
     return V.records(spark, sf).select("id", F.array_join(F.transform(padded, _joined), ";").alias("ids"))

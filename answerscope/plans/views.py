@@ -9,19 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.session import spread
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose texts go through CPU-heavy functions."""
-    keys = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}[name]
-    return spread(table(spark, sf, name), *keys)
-
-
 def _div(col: str, n: int):
     return F.expr(f"{col} div {n}")
 
@@ -44,10 +36,14 @@ FROM embeddings"""
 
 
 def hidden_states(spark, sf):
-    """5 generations x 5 layers x 4 steps per sample."""
-    e = table(spark, sf, "embeddings").select(
-        _div("vec_id", 100).alias("sample_id"), (F.col("vec_id") % 100).alias("r"), "embedding"
-    )
+    """5 generations x 5 layers x 4 steps per sample, written with the lengths of its generations.
+
+    Vectors are numbered without gaps; only the last generation can be short.
+    """
+    e = table(spark, sf, "embeddings")
+    last = e.agg(F.max("vec_id")).first()[0]
+    e = e.select(_div("vec_id", 100).alias("sample_id"), (F.col("vec_id") % 100).alias("r"), "vec_id", "embedding")
+    held = F.lit(last) - F.col("vec_id") + F.col("r") % 20  # place of the table's last vector in this generation
     return e.select(
         "sample_id",
         F.expr("cast(r div 40 as int)").alias("batch_id"),
@@ -55,6 +51,8 @@ def hidden_states(spark, sf):
         F.expr("cast(r % 20 div 4 as int)").alias("layer"),
         F.expr("cast(r % 4 as int)").alias("token_pos"),
         F.col("embedding").cast("array<double>").alias("vec"),
+        (F.lit(1) + (F.col("sample_id") + F.expr("r div 20")) % 5).cast("int").alias("num_tokens"),
+        F.least(F.lit(3), held).cast("int").alias("last_step"),
     )
 
 
@@ -69,9 +67,8 @@ NUM_LAYERS = 5
 def token_counts(spark, sf):
     return (
         hidden_states(spark, sf)
-        .select("sample_id", "gen_id")
+        .select("sample_id", "gen_id", "num_tokens")
         .distinct()
-        .withColumn("num_tokens", (F.lit(1) + (F.col("sample_id") + F.col("gen_id")) % 5).cast("int"))
     )
 
 
@@ -172,7 +169,7 @@ FROM embeddings"""
 
 def qa(spark, sf):
     """User turns with the assistant turn that follows directly."""
-    c = texts(spark, sf, "conversations")
+    c = table(spark, sf, "conversations")
     asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     told = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return asked.join(told, ["conv_id", "turn"]).select(
@@ -225,7 +222,7 @@ FROM (SELECT *, list_filter(list_transform(string_split_regex(answer, '[.\\n]'),
 
 def scored_docs(spark, sf):
     """Labelled documents with seven text-derived scores; whole texts."""
-    d = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     words = F.split("text", " ")
     n = F.length("text")
     return d.select(
@@ -256,7 +253,7 @@ FROM documents JOIN labels USING (doc_id)"""
 
 def conv_answers(spark, sf):
     """Every turn of a conversation as one answer of a sample, whole texts."""
-    return texts(spark, sf, "conversations").select(
+    return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("gen_id"), "text"
     )
 
@@ -266,7 +263,7 @@ CONV_ANSWERS = "SELECT conv_id AS sample_id, CAST(turn AS INT) AS gen_id, text F
 
 def doc_answers(spark, sf):
     """Documents in groups of five, whole texts."""
-    return texts(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         _div("doc_id", 5).alias("sample_id"), (F.col("doc_id") % 5).cast("int").alias("gen_id"), "text"
     )
 
@@ -295,7 +292,7 @@ FROM lineitem GROUP BY ALL"""
 
 def token_ids(spark, sf):
     """Word lengths of a turn stand in for its token ids."""
-    return texts(spark, sf, "conversations").select(
+    return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("gen_id"),
         F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"),
     )

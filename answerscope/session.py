@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -85,11 +86,17 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, *keys: str):
-    """At least one task per core for CPU-heavy steps over a handful of input files.
+def stored(df, name: str):
+    """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Tables of many files already have enough splits and are left alone. ``keys`` should be
-    unique, so that the rows spread evenly.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer finished the table below ``path``: its marker file can be read."""
+    try:
+        spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").isEmpty()
+    except AnalysisException:
+        return False
+    return True

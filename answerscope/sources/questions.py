@@ -7,12 +7,12 @@ comes from many files, as a single multi-line document cannot be split.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerscope.operators.groups import pinned
-from answerscope.operators.sampling import assert_unique, dedup_first
+from answerscope.operators.sampling import dedup_first
+from answerscope.session import is_complete, stored
 
 # Layouts of the source documents.
 TURN = "struct<input_text:string>"
@@ -90,20 +90,23 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines (value, row_idx) numbered by file name and place in the file; blank lines skipped.
 
     Splits are read in order, so a line's place inside its split is its distance from the
-    split's first line; only one row per split is ranked to find the splits' offsets, and
-    the lines themselves are neither sorted nor shuffled.
+    split's first line. The lines are written once with split and place, and both the splits'
+    offsets and the result come from that copy: splits that another read would cut elsewhere
+    cannot disagree. Only one row per split is ranked; lines are neither sorted nor shuffled.
     """
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     lines = lines.filter(F.trim("value") != "").select(
         "value", "file_path", "file_block_start", F.monotonically_increasing_id().alias("_seen")
     )
+    lines = stored(lines, "lines")
     split = ["file_path", "file_block_start"]
     before = Window.partitionBy(F.lit(0)).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy(*split).agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
     offsets = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return lines.join(pinned(offsets), split).select(
-        "value", (F.col("_seen") - F.col("_first") + F.col("_offset")).alias("row_idx")
-    )
+    found = lines.join(pinned(offsets), split, "left")
+    place = F.col("_seen") - F.col("_first") + F.col("_offset")
+    known = F.when(place.isNotNull(), place).otherwise(F.raise_error(F.lit("a line of an unknown split")))
+    return found.select("value", known.cast("bigint").alias("row_idx"))
 
 
 def read_nq_open(spark: SparkSession, path: str) -> DataFrame:
@@ -128,26 +131,18 @@ def triviaqa(rows: DataFrame, order: list[str]) -> DataFrame:
 def read_triviaqa(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:
     """JSON lines; duplicates of a question id keep the first by ``order``."""
     rows = spark.read.schema(TRIVIA_SCHEMA).json(path)
-    out = triviaqa(rows, order or ["question", "answer.value"])
-    return assert_unique(out, "id")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    return triviaqa(rows, order or ["question", "answer.value"])
 
 
 def save_qa(qa: DataFrame, path: str) -> None:
-    """Writes the normalised table unless it is already there."""
-    qa.write.mode("ignore").parquet(path)
+    """Writes the normalised table unless it is already there, completely."""
+    if not is_complete(qa.sparkSession, path):
+        qa.write.mode("overwrite").parquet(path)
 
 
 def load_qa(spark: SparkSession, path: str, build=None) -> DataFrame:
     """Reads the normalised table, building and saving it first when it is missing."""
-    if build is not None and not _exists(spark, path):
+    if build is not None and not is_complete(spark, path):
         save_qa(build(), path)
     return spark.read.parquet(path)
 
@@ -155,7 +150,3 @@ def load_qa(spark: SparkSession, path: str, build=None) -> DataFrame:
 def contexts(qa: DataFrame) -> DataFrame:
     return qa.select("id", "story")
 
-
-def id_questions(qa: DataFrame) -> DataFrame:
-    return qa.select("id", "question")
-

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerscope.session import is_complete
+
 RUN_COLUMNS = ["model", "dataset", "project", "shard_id", "run_id"]
 
 # Field names of foreign result files and the names used here.
@@ -26,12 +28,17 @@ RUN_PATH = r"/([^/_]+)_([^/]+?)_([^/_]+?)(?:_(\d+))?/(\d+)\.[^/]+(?:/[^/]*)?$"
 def write_results(
     df: DataFrame, base: str, model: str, dataset: str, project: str, run: int, shard: int = 0, num_shards: int = 1
 ) -> None:
-    """Stores a run under its identity; unsharded runs are shard 0."""
+    """Stores a run under its identity; unsharded runs are shard 0.
+
+    What stood under the same identity is replaced, so a job that runs again leaves one copy;
+    other runs stay.
+    """
     tagged = df
     values = (model, dataset, project, shard if num_shards > 1 else 0, run)
     for name, value in zip(RUN_COLUMNS, values):
         tagged = tagged.withColumn(name, F.lit(value))
-    tagged.write.mode("append").partitionBy(*RUN_COLUMNS).parquet(base)
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*RUN_COLUMNS).parquet(base)
 
 
 def rename_foreign(df: DataFrame) -> DataFrame:
@@ -39,9 +46,18 @@ def rename_foreign(df: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, base: str, **filters) -> DataFrame:
-    """Result records; filters on run columns prune partitions, names are normalised."""
-    df = rename_foreign(spark.read.option("mergeSchema", "true").parquet(base))
-    for name, value in filters.items():
+    """Result records; filters on run columns prune partitions, names are normalised.
+
+    Leading run columns that are given become part of the path, so only the footers below
+    it are read and merged.
+    """
+    path, given = base.rstrip("/"), dict(filters)
+    for name in RUN_COLUMNS:
+        if name not in given:
+            break
+        path += f"/{name}={given.pop(name)}"
+    df = rename_foreign(spark.read.option("mergeSchema", "true").option("basePath", base).parquet(path))
+    for name, value in given.items():
         df = df.filter(F.col(name) == value)
     return df
 
@@ -70,10 +86,10 @@ def merge_shards(
     """
     try:
         df = read_results(spark, base, model=model, dataset=dataset, project=project, run_id=run)
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no result run under {base}") from missing
-    df = df.filter(F.col("shard_id").isin(shards))
-    found = {r["shard_id"] for r in df.select("shard_id").distinct().collect()}  # at most len(shards) rows
+        df = df.filter(F.col("shard_id").isin(shards))
+        found = {r["shard_id"] for r in df.select("shard_id").distinct().collect()}  # at most len(shards) rows
+    except AnalysisException:  # nothing stored below that identity
+        found = set()
     for absent in sorted(set(shards) - found):
         warnings.warn(f"shard {absent} of {model}/{dataset}/{project} is missing", stacklevel=2)
     if not found:
@@ -81,9 +97,14 @@ def merge_shards(
     return df
 
 
+def _whole(results: DataFrame) -> DataFrame:
+    """Without partial runs; files that lack the mark are whole."""
+    return results.filter(~F.coalesce("partial", F.lit(False))) if "partial" in results.columns else results
+
+
 def finished_runs(results: DataFrame) -> DataFrame:
     """Number of finished runs per run family; partial runs carry ``partial = true``."""
-    rows = results.filter(~F.col("partial")) if "partial" in results.columns else results
+    rows = _whole(results)
     family = [c for c in RUN_COLUMNS if c != "run_id"]
     return rows.groupBy(*family).agg(F.count_distinct("run_id").alias("next_run_id"))
 
@@ -95,9 +116,7 @@ def next_run_id(results: DataFrame | None, overwrite: bool = False, **identity)
     df = results
     for name, value in identity.items():
         df = df.filter(F.col(name) == value)
-    if "partial" in df.columns:
-        df = df.filter(~F.col("partial"))
-    n = df.agg(F.count_distinct("run_id").alias("n")).first()["n"]
+    n = _whole(df).agg(F.count_distinct("run_id").alias("n")).first()["n"]
     return n if n == 0 or overwrite else None
 
 
@@ -203,8 +222,6 @@ def stage_cache(spark: SparkSession, base: str, key: str, build: Callable[[], Da
     A table without its completion marker (a writer died) is written again.
     """
     path = f"{base.rstrip('/')}/{key}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
+    if not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -168,3 +168,23 @@ def test_masks(spark, per_bucket):
     cut[:, weak] = 0.0
     assert (grid(J.mask_weak_columns(cells, 25.0, per_bucket)) == cut).all()
     assert (grid(J.mask_bottom_k_global(cells, 0.1, per_bucket)) == wt).all()  # k = 0 masks nothing
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 200])
+def test_pearson_of_a_constant_is_null(spark, partitions):
+    """However the partial aggregates are merged."""
+    df = spark.range(400).select(F.lit("m").alias("method"), (F.col("id") % 7 / 10).alias("similarity"), F.lit(0.1).alias("score"))
+    df = df.repartition(partitions)
+    assert H.pearson(df, ["method"]).first()["pcc"] is None
+    assert H.pearson(df, ["method"], x="score", y="similarity").first()["pcc"] is None
+
+
+def test_curves_without_keys_and_many_scores(spark):
+    """One global curve, its totals as literals, in a window and in pieces."""
+    df = spark.range(500).select(((F.col("id") * 37) % 251 / 10).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    want = H.separation(df, []).first()
+    got = H.separation(df, [], rows_per_bucket=20)
+    assert tuple(got.first()) == pytest.approx(tuple(want))
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert H.auroc(df, [], rows_per_bucket=20).first()[0] == pytest.approx(H.auroc(df.withColumn("k", F.lit(1)), ["k"]).first()["auroc"])
+    assert H.roc_curve(df, [], rows_per_bucket=20).count() == H.roc_curve(df, []).count()

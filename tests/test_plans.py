@@ -43,11 +43,65 @@ def test_logits_are_reduced_before_the_shuffle(spark, score):
     assert all("partial_avg" in line for line in exchanged(text))
 
 
-def test_vectors_of_other_steps_are_dropped_at_the_scan(spark):
+def shuffled_columns(df) -> list[set[str]]:
+    """The columns that go through each shuffle of rows; partial aggregates are named as such."""
+    out = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        if node.nodeName() == "Exchange":
+            below = node.child()
+            attributes = below.output()
+            partial = "Aggregate" in below.nodeName() and "partial_" in below.toString().splitlines()[0]
+            out.append({"partial"} if partial else {attributes.apply(i).name() for i in range(attributes.size())})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """As with tables far beyond every broadcast bound."""
+    from answerscope.operators import groups
+
+    monkeypatch.setattr(groups, "NARROW_BROADCAST_ROWS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_vectors_of_other_steps_are_dropped_at_the_scan(spark, no_broadcast):
     h, c = V.hidden_states(spark, SF), V.token_counts(spark, SF)
     text = plan(S.pool_last_token(h, c, [2]))
-    assert "BroadcastHashJoin [sample_id" in text
-    assert not any("vec#" in line or "embedding#" in line for line in exchanged(text))
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_no_vector_or_logit_is_shuffled(spark, no_broadcast):
+    h, c = V.hidden_states(spark, SF), V.token_counts(spark, SF)
+    t, n = V.token_scores(spark, SF), V.score_counts(spark, SF)
+    queries = [
+        S.pool_last_token(h, c), S.pool_mean_tokens(h, c), T.sequence_embedding(h, 4, ["sample_id", "gen_id"]),
+        T.length_normalized_entropy(t, n), T.length_normalized_entropy(t, n, scope="last_batch"),
+    ]
+    for df in queries:
+        for columns in shuffled_columns(df):
+            assert not columns & {"vec", "logits", "embedding"}, columns
+
+
+def test_lengths_carried_in_the_table_change_no_result(spark):
+    h, c = V.hidden_states(spark, SF), V.token_counts(spark, SF)
+    bare = h.drop("num_tokens", "last_step")
+    rows = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+    for pool in (S.pool_last_token, S.pool_mean_tokens):
+        for compat in (False, True):
+            kept = lambda df: df.select("sample_id", "gen_id", "layer", F.transform("vec", lambda x: F.round(x, 9) + 0.0))
+            want = rows(kept(pool(bare, c, [1, 2], compat)))
+            assert rows(kept(pool(h, c, [1, 2], compat))) == want
+            assert rows(kept(pool(S.with_lengths(bare, c), c, [1, 2], compat))) == want
 
 
 def test_counts_per_score_are_combined_before_the_shuffle(spark):

@@ -72,5 +72,8 @@ def test_generations_round_trip_and_features(spark):
     df = spark.createDataFrame([("x", ["c", "a", "b"]), ("y", ["z"])], "id string, generations array<string>")
     back = {r["id"]: r["generations"] for r in B.collect_generations(B.explode_generations(df)).collect()}
     assert back == {"x": ["c", "a", "b"], "y": ["z"]}
+    for part_size in (1, 2, 100):
+        parts = B.collect_generations(B.explode_generations(df), part_size=part_size)
+        assert sorted(map(tuple, B.explode_generations(parts).collect())) == sorted(map(tuple, B.explode_generations(df).collect()))
     f = spark.createDataFrame([(1, [1.0]), (2, []), (3, None)], "id int, layer_scores array<double>")
     assert [r["id"] for r in B.with_features(f).collect()] == [1]

@@ -160,3 +160,37 @@ def test_id_arrays(spark):
         I.split_completion(ids, F.lit(2)).alias("c"), I.split_completion(ids, F.lit(9)).alias("e"), I.pad_generations(F.col("gens"), 1, 2).alias("p"),
     ).first()
     assert (r["n"], r["s"], r["m"], r["c"], r["e"], r["p"]) == (3, [5, 9, 0], [5, -100, 9, 2, 0], [9, 2, 0], [], [[7, 8], [9, 1]])
+
+
+def test_a_run_written_twice_is_read_once(spark, tmp_path):
+    """A job that runs again replaces its own run and leaves the others."""
+    base = str(tmp_path / "runs")
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, spectral_score double")
+    for run in (0, 1, 1):
+        R.write_results(df, base, "m", "coqa", "p", run)
+    assert R.read_results(spark, base).count() == 4
+    assert R.read_results(spark, base, model="m", dataset="coqa", project="p", shard_id=0, run_id=1).count() == 2
+    assert {r["run_id"] for r in R.read_results(spark, base, run_id=1).collect()} == {1}
+
+
+def test_runs_without_the_partial_mark_count(spark):
+    rows = [("m", "d", "p", 0, 0, None), ("m", "d", "p", 0, 1, False), ("m", "d", "p", 0, 2, True)]
+    df = spark.createDataFrame(rows, "model string, dataset string, project string, shard_id int, run_id int, partial boolean")
+    assert R.finished_runs(df).first()["next_run_id"] == 2
+    assert R.next_run_id(df, overwrite=True) == 2 and R.run_exists(df)
+
+
+def test_an_unfinished_question_set_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "qa")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "qa" / "_SUCCESS").unlink()
+    (tmp_path / "qa" / "._SUCCESS.crc").unlink(missing_ok=True)
+    assert Q.load_qa(spark, path, lambda: spark.range(5)).count() == 5
+    assert Q.load_qa(spark, path, lambda: spark.range(9)).count() == 5
+
+
+def test_line_numbers_are_one_numbering(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("".join(f"{k}-{i}\n" + "\n" * (i % 2) for i in range(50)))
+    got = Q.number_lines(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [(r["value"], r["row_idx"]) for r in got] == [(f"{k}-{i}", k * 50 + i) for k in range(3) for i in range(50)]

@@ -46,14 +46,22 @@ def test_companion_ridge(pooled):
 
 
 @pytest.mark.parametrize("limit", [4, 1024])
-def test_covariance_blocks(pooled, limit):
+def test_covariance_rows(pooled, limit):
+    """The same rows in one tile or many: every pair once, i <= j."""
+    cells = {(r["sample_id"], r["i"], r["j"]): r["cov"] for r in S.gen_covariance(pooled, limit=limit).collect()}
+    assert S.gen_covariance(pooled, limit=limit).count() == len(cells) == sum(len(m) * (len(m) + 1) // 2 for m in DATA.values())
     for s, m in DATA.items():
-        got = np.full((len(m), len(m)), np.nan)
-        for r in S.gen_covariance(pooled.filter(F.col("sample_id") == s), limit=limit).collect():
-            block = np.array(r["cov"])
-            got[np.ix_(r["row_gens"], r["col_gens"])] = block
-            got[np.ix_(r["col_gens"], r["row_gens"])] = block.T
-        assert got == pytest.approx(np.atleast_2d(np.cov(m)))
+        want = np.atleast_2d(np.cov(m))
+        for i in range(len(m)):
+            assert [cells[s, i, j] for j in range(i, len(m))] == pytest.approx(want[i, i:])
+
+
+@pytest.mark.parametrize("limit", [4, 1024])
+def test_native_score_through_tiles(pooled, limit):
+    native, score = (values(f(pooled, limit=limit), "spectral_score") for f in (S.spectral_score_native, S.spectral_score))
+    assert native == pytest.approx(score, abs=1e-9)
+    with pytest.raises(Exception, match="more than 9 generations"):
+        S.spectral_score_native(pooled, largest=9).collect()
 
 
 @pytest.mark.parametrize("limit", [4, 1024])

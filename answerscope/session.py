@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", app: str = "answerscope", **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

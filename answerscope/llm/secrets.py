@@ -10,7 +10,8 @@ words, paths and numbers in order.
 
 False-discovery control, by encoding and length band (short strings prove little): the number
 of random strings is estimated from the p-values above one half; the p-value cutoff is the
-lowest at which the estimated share of others among the reported stays at ``FDR``. Distinct
+lowest at which the estimated share of others among the reported stays at ``FDR``; a cell
+with fewer than ``EVIDENCE`` such p-values reports nothing, for want of an estimate. Distinct
 strings count once, so copies neither make nor break a cutoff. Strings over it become spans of
 kind ``random`` unless they meet a base span, which always stays.
 
@@ -50,7 +51,7 @@ ENCODINGS = {
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 BANDS = (24, 32, 48, 64)  # upper ends of the length bands; the last one is open
-BINS, FDR = 100, 0.1
+BINS, FDR, EVIDENCE = 100, 0.1, 5
 
 
 def _found(pattern: str, rank: int, least_value: int = 0) -> Column:
@@ -115,10 +116,18 @@ def _battery(values: Column, size: Column) -> Column:
         step = lambda acc, x: F.struct((acc["s"] + F.coalesce(f(acc["x"], x), F.lit(0.0))).alias("s"), x.alias("x"))
         return F.aggregate(xs, begin, step, lambda acc: acc["s"])
 
-    squares = total(F.array_distinct(values), lambda v: F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), F.lit(2.0)))
-    df = size - 1
+    # symbols in stretches of the alphabet, so many that about five fall into each
+    cells = F.greatest(F.lit(2.0), F.least(size, F.floor(n / 5).cast("double")))
+
+    def deviation(cell: Column) -> Column:
+        low, high = F.ceil(cell * size / cells), F.ceil((cell + 1) * size / cells)
+        seen = F.size(F.filter(values, lambda v: (v >= low) & (v < high))).cast("double")
+        return seen * seen * size / (n * (high - low))
+
+    chi = total(F.sequence(F.lit(0), cells.cast("int") - 1), deviation) - n
+    df = cells - 1
     spread = F.lit(2.0) / (9 * df)
-    uniform = _upper_tail((F.cbrt((squares * size / n - n) / df) - (1 - spread)) / F.sqrt(spread))
+    uniform = _upper_tail((F.cbrt(chi / df) - (1 - spread)) / F.sqrt(spread))
 
     is_high = lambda v: (v >= size / 2).cast("double")
     turned = 1 + neighbours(values, lambda a, b: F.abs(is_high(a) - is_high(b)))
@@ -177,13 +186,14 @@ def cutoffs(found: DataFrame, fdr: float = FDR) -> dict[str, int]:
         cells.setdefault(row["cell"], [0] * BINS)[row["bin"]] = row["n"]
     out = {}
     for cell, counts in cells.items():
-        random = sum(counts[BINS // 2 :]) * 2
+        upper = sum(counts[BINS // 2 :])
+        random = 2 * upper
         told, lowest = 0, None
         for b in range(BINS - 1, -1, -1):
             told += counts[b]
             if told and told - random * (BINS - b) / BINS <= fdr * told:
                 lowest = b
-        if random and lowest is not None:
+        if upper >= EVIDENCE and lowest is not None:
             out[cell] = lowest
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from answerscope.llm import language, secrets, simhash, sketches
 from answerscope.llm.common import documents, id_back, query
+from answerscope.llm.secrets_sql import SQL as SECRETS_SQL
 
 
 @query("op6_simhash")
@@ -22,12 +23,12 @@ def _language(spark, sf):
     return language.identify(docs, language.learn(docs))
 
 
-@query("op1_secrets")
+@query("op1_secrets", SECRETS_SQL)
 def _secrets(spark, sf):
     found = secrets.secrets(documents(spark, sf).select("doc_id", "text"))
-    kinds = {f"n_{k}": F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long") for r, k in enumerate(secrets.KINDS[:3])}
+    of = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
-        "doc_id", *[c.alias(n) for n, c in kinds.items()],
+        "doc_id", *[of(rank).alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])],
         F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secrets.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerscope.functions.arrays import let
 from answerscope.functions.stemming import stem_token
+from answerscope.functions.text import rouge_tokens
 
 MEASURES = ("rouge1", "rouge2", "rougeL")
 _TOKEN = re.compile("[a-z0-9]+")
@@ -124,8 +126,34 @@ def rouge_l(prediction: Column, reference: Column, stem: bool = False) -> Column
 
 
 def rouge_n(prediction: Column, reference: Column, n: int, stem: bool = False) -> Column:
-    """Clipped n-gram overlap, n = 1 or 2."""
-    return _pair_udf(f"rouge{n}", stem)(prediction, reference)
+    """Clipped n-gram overlap, n = 1 or 2; array expressions unless words are stemmed.
+
+    Equal n-grams are told apart by their number of occurrence, so the clipped count is the
+    size of a set intersection.
+    """
+    if stem:
+        return _pair_udf(f"rouge{n}", stem)(prediction, reference)
+
+    def grams(text: Column) -> Column:
+        tokens = rouge_tokens(text)
+        if n == 1:
+            return tokens
+        first = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+        return F.transform(first, lambda x, i: F.concat(x, F.lit(" "), F.get(tokens, i + 1)))
+
+    def numbered(sorted_grams: Column) -> Column:
+        return F.transform(
+            sorted_grams, lambda x, i: F.struct(x.alias("g"), (i - F.array_position(sorted_grams, x)).alias("k"))
+        )
+
+    def score(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        common = F.size(F.array_intersect(numbered(a), numbered(b)))
+        p, r = common / F.size(a), common / F.size(b)
+        return F.when((common == 0) | (F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
+
+    both = F.struct(F.array_sort(grams(prediction)).alias("a"), F.array_sort(grams(reference)).alias("b"))
+    return F.when(prediction.isNotNull() & reference.isNotNull(), let(both, score))
 
 
 def best_rouge(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions.arrays import argmax, softmax
 from answerscope.operators.groups import GROUP_LIMIT, pair_tiles, split_by_size
-from answerscope.operators.prompts import nli_pair_text
+from answerscope.operators.prompts import nli_joined, nli_side
 from answerscope.operators.similarity import TEXT_TILE
 from answerscope.session import checkpointed
 
@@ -46,10 +46,14 @@ def answer_pairs(answers: DataFrame, ordered: bool = True, limit: int = TEXT_TIL
     )
 
 
-def nli_inputs(pairs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Judge input text per pair; ``questions``: sample_id, question."""
-    text = nli_pair_text(F.col("question"), F.col("text_i"), F.col("text_j"))
-    return pairs.join(questions, SAMPLE).select(SAMPLE, "i", "j", text.alias("nli_text"))
+def nli_inputs(answers: DataFrame, questions: DataFrame, ordered: bool = True) -> DataFrame:
+    """Judge input text per pair of numbered answers; ``questions``: sample_id, question.
+
+    Each answer gets its question before pairing: the join has a row for each answer, not
+    for each pair.
+    """
+    asked = answers.join(questions, SAMPLE).select(SAMPLE, "ans_id", nli_side(F.col("question"), F.col("text")).alias("text"))
+    return answer_pairs(asked, ordered).select(SAMPLE, "i", "j", nli_joined(F.col("text_i"), F.col("text_j")).alias("nli_text"))
 
 
 def similarity_tensor(pair_logits: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -60,16 +64,18 @@ def similarity_tensor(pair_logits: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     lines = sizes.select(SAMPLE, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     zero = F.array(*[F.lit(0.0)] * 3)
-    diagonal = lines.select(SAMPLE, F.col("i").cast("int").alias("i"), F.col("i").cast("int").alias("j"), zero.alias("logits"))
-    cells = pair_logits.select(SAMPLE, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "logits")
+    diagonal = lines.select(SAMPLE, F.col("i").cast("int").alias("i"), F.col("i").cast("int").alias("j"), zero.alias("logits"), "n")
+    cells = pair_logits.select(
+        SAMPLE, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "logits", F.lit(None).cast("int").alias("n")
+    )
     packed = F.array_sort(F.collect_list(F.struct("j", "logits")))
     rows = diagonal.unionByName(cells).groupBy(SAMPLE, "i").agg(
-        F.transform(packed, lambda s: s["logits"]).alias("cells")
+        F.transform(packed, lambda s: s["logits"]).alias("cells"), F.max("n").alias("n")  # the diagonal brings it
     )
     whole = F.when(F.size("cells") == F.col("n"), F.col("cells")).otherwise(
         F.raise_error(F.lit("a sample lacks the judgement of some answer pair"))
     )
-    return rows.join(sizes.select(SAMPLE, "n"), SAMPLE).select(SAMPLE, "i", whole.alias("cells"))
+    return rows.select(SAMPLE, "i", whole.alias("cells"))
 
 
 def pair_decision(pair_logits: DataFrame) -> DataFrame:
@@ -144,16 +150,24 @@ def semantic_sets(decisions: DataFrame, sizes: DataFrame, limit: int = GROUP_LIM
 
 
 def _resolve_roots(parents: DataFrame) -> DataFrame:
-    """Roots of parent chains by pointer doubling, one checkpoint per round."""
-    current = checkpointed(parents)
+    """Roots of parent chains by pointer doubling, one checkpoint per round.
+
+    Answers that have reached their root leave the loop, so a root with very many answers
+    below it is not joined again and again.
+    """
+    pointers = checkpointed(parents)
+    moving, done = pointers, None
     while True:
-        above = current.select(SAMPLE, F.col("ans_id").alias("parent"), F.col("parent").alias("_up"))
-        current = checkpointed(current.join(above, [SAMPLE, "parent"]).select(
+        above = pointers.select(SAMPLE, F.col("ans_id").alias("parent"), F.col("parent").alias("_up"))
+        stepped = checkpointed(moving.join(above, [SAMPLE, "parent"]).select(
             SAMPLE, "ans_id", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")
         ))
-        if current.filter("_moved").isEmpty():
-            return current.select(SAMPLE, "ans_id", F.col("parent").alias("set_id"))
-        current = current.drop("_moved")
+        settled = stepped.filter(~F.col("_moved")).drop("_moved")
+        done = settled if done is None else done.unionByName(settled)
+        moving = stepped.filter("_moved").drop("_moved")
+        if moving.isEmpty():
+            return done.select(SAMPLE, "ans_id", F.col("parent").alias("set_id"))
+        pointers = done.unionByName(moving)
 
 
 def pair_audit(decisions: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -101,14 +101,22 @@ def rating_prompt(question: Column, reference: Column, answer: Column, block: Co
     )
 
 
-def rating_prompts(records: DataFrame, ith: int, id_col: str = "id", dataset_col: str = "dataset") -> DataFrame:
+def rating_prompts(
+    records: DataFrame, ith: int | None = None, id_col: str = "id", dataset_col: str = "dataset"
+) -> DataFrame:
     """Judge prompt for the ``ith`` generation (0-based) of every record, NULL where absent.
 
+    Without ``ith`` every generation has its row (id, gen_id, prompt).
+
     Which examples are shown depends on the record's question set (three fixed rows).
     """
     block = F.lit(None).cast("string")
     for name in RATING_EXAMPLES:
         block = F.when(F.col(dataset_col) == name, F.lit(rating_block(name))).otherwise(block)
+    if ith is None:
+        rows = records.select("*", F.posexplode("generations").alias("gen_id", "_g"))
+        prompt = rating_prompt(F.col("question"), F.col("answer"), F.col("_g"), block)
+        return rows.select(id_col, "gen_id", prompt.alias("prompt"))
     answer = F.get(F.col("generations"), F.lit(ith))
     return records.select(
         id_col, rating_prompt(F.col("question"), F.col("answer"), answer, block).alias("prompt")
@@ -122,9 +130,16 @@ def parse_rating(response: Column) -> Column:
     return F.nullif(word, F.lit(""))
 
 
+def nli_side(question: Column, answer: Column) -> Column:
+    return F.concat(question, F.lit(" "), answer)
+
+
+def nli_joined(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(PAIR_SEPARATOR), b)
+
+
 def nli_pair_text(question: Column, a: Column, b: Column) -> Column:
-    sep = F.lit(" ")
-    return F.concat(question, sep, a, F.lit(PAIR_SEPARATOR), question, sep, b)
+    return nli_joined(nli_side(question, a), nli_side(question, b))
 
 
 def true_false_logits(logits: Column, true_id: int, false_id: int, log_probs: bool = False) -> Column:

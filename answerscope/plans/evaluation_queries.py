@@ -51,9 +51,9 @@ def _doc_scores(spark, sf):
 
 @query("correctness_rouge", f"""
 SELECT id, round({f_measure('l', 'len(p)', 'len(r)')}, 6) AS similarity, CAST({f_measure('l', 'len(p)', 'len(r)')} > 0.5 AS INT) AS label
-FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, {tokens('most_likely_generation')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS})))""")
+FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, {tokens('prediction')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS})))""")
 def _rouge(spark, sf):
-    out = H.correctness(V.records(spark, sf), "rouge", stem=False)
+    out = H.correctness(V.records(spark, sf), "rouge", stem=False, prediction="prediction")
     return out.select("id", r6(F.col("similarity")).alias("similarity"), "label")
 
 
@@ -209,8 +209,8 @@ def _compare(spark, sf):
 
 # --- layer weights ------------------------------------------------------------------
 
-# Fixed weights for the scoring queries: a smooth sign-changing profile over 33 layers.
-WEIGHTS = [((i * 7) % 11 - 5) / 4.0 if i % 3 else 0.0 for i in range(33)]
+# Fixed weights for the scoring queries: a smooth sign-changing profile over all entries.
+WEIGHTS = [((i * 7) % 11 - 5) / 4.0 if i % 3 else 0.0 for i in range(64)]
 _W = "[" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]"
 
 
@@ -225,10 +225,11 @@ def _with_features(spark, sf):
 @query("features_and_labels", f"""
 SELECT id, round(list_sum(list_transform(generations, lambda g: length(g)::DOUBLE)), 6) AS total, round({f_measure('l', 'len(p)', 'len(r)')}, 6) AS similarity,
        CAST({f_measure('l', 'len(p)', 'len(r)')} > 0.5 AS INT) AS label
-FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, generations, {tokens('most_likely_generation')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}) WHERE len(generations) > 0))""")
+FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, generations, {tokens('prediction')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}) WHERE len(generations) > 0))""")
 def _features_labels(spark, sf):
     lengths = F.transform("generations", lambda g: F.length(g).cast("double"))
-    out = I.features_and_labels(V.records(spark, sf).withColumn("layer_scores", lengths), stem=False)
+    r = V.records(spark, sf).withColumn("layer_scores", lengths).withColumn("most_likely_generation", F.col("prediction"))
+    out = I.features_and_labels(r, stem=False)
     return out.select("id", r6(F.aggregate("layer_scores", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(F.col("similarity")).alias("similarity"), "label")
 
 

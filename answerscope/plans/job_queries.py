@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.plans import jobs, token_queries  # noqa: F401 - its oracle SQL is reused
 from answerscope.plans import views as V
+from answerscope.operators.prompts import rating_block
 from answerscope.plans.registry import ORACLES, query, r6
 from answerscope.plans.spectral_queries import MID
-from answerscope.plans.text_queries import _bare, _caseless, _clean
+from answerscope.plans.text_queries import _bare, _caseless, _clean, _quote
 from answerscope.plans.sql import f_measure, lcs, tokens
 from answerscope.session import scratch_path
 
+def _rating_text(question: str, answer: str, text: str) -> str:
+    """A rating prompt of the first question set in SQL."""
+    stripped = f"regexp_replace(regexp_replace({text}, '^\\s+', ''), '\\s+$', '')"
+    return f"({_quote(rating_block('coqa'))} || chr(10) || 'Question: ' || {question} || chr(10) || 'Reference: ' || {answer} || chr(10) || 'Answer: ' || {stripped} || chr(10) || 'Rating:')"
+
+
 _PARTS = {
     "perplexity": "perplexity", "energy": "energy", "length_normalized_entropy": "entropy",
     "lexical_similarity": "lexical_similarity", "spectral_score_last_token": "spectral_score",
@@ -22,19 +32,22 @@ _JOINS = " ".join(f"LEFT JOIN ({ORACLES[q]}) USING (sample_id)" for q in _PARTS)
 
 @query("score_run", f"""
 SELECT sample_id, {", ".join(_PARTS.values())}, layers, layer_total
-FROM (SELECT DISTINCT sample_id FROM ({V.HIDDEN_STATES})) {_JOINS}
+FROM (SELECT sample_id FROM ({V.HIDDEN_STATES}) UNION SELECT sample_id FROM ({V.TOKEN_SCORES})
+      UNION SELECT sample_id FROM ({V.CONV_ANSWERS}) UNION SELECT sample_id FROM ({V.SPECTRAL_SAMPLES})) {_JOINS}
 LEFT JOIN (SELECT sample_id, CAST(count(*) AS INT) AS layers, round(sum(score), 4) AS layer_total FROM ({ORACLES['layer_spectral_scores']}) GROUP BY 1) USING (sample_id)""")
 def _score_run(spark, sf):
-    """All scores of every sample that has hidden states."""
+    """All scores of every sample that any of the inputs knows."""
     hidden, scores = V.hidden_states(spark, sf), V.token_scores(spark, sf)
+    inputs = (hidden, scores, V.conv_answers(spark, sf), V.spectral_samples(spark, sf))
+    known = reduce(DataFrame.unionByName, [df.select("sample_id") for df in inputs]).distinct()
     out = jobs.score_run(
-        hidden.select("sample_id").distinct(), scores, scores, V.score_counts(spark, sf), hidden, V.token_counts(spark, sf),
+        known, scores, scores, V.score_counts(spark, sf), hidden, V.token_counts(spark, sf),
         V.conv_answers(spark, sf), V.spectral_samples(spark, sf), MID, 0, V.NUM_LAYERS - 1, stem=False,
     )
     total = F.aggregate("layer_scores", F.lit(0.0), lambda a, x: a + F.round(x, 6))
     return out.select(
         "sample_id", *[r6(F.col(c)).alias(c) for c in _PARTS.values()],
-        F.size("layer_scores").alias("layers"), F.round(total, 4).alias("layer_total"),
+        F.when(F.col("layer_scores").isNotNull(), F.size("layer_scores")).alias("layers"), F.round(total, 4).alias("layer_total"),
     )
 
 
@@ -65,12 +78,34 @@ WITH g AS (SELECT id, {_clean('s')} AS text, gen_id, [answer] || additional_answ
            FROM (SELECT *, unnest(generations) AS s, generate_subscripts(generations, 1) - 1 AS gen_id FROM ({V.RECORDS}))),
 u AS (SELECT id, gen_id, {_caseless('text')} AS pred, unnest(list_distinct(list_transform(refs, lambda x: {_caseless('x')}))) AS ref FROM g),
 s AS (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT *, {tokens('pred')} AS p, {tokens('ref')} AS r FROM u)),
-best AS (SELECT id, gen_id, max(CAST({_bare('pred')} = {_bare('ref')} AS INT)) + 0.0::DOUBLE AS em, max({f_measure('l', 'len(p)', 'len(r)')}) AS f FROM s GROUP BY 1, 2)
-SELECT id, count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f), 6) AS "rougeL" FROM best GROUP BY 1""")
+best AS (SELECT id, gen_id, max(CAST({_bare('pred')} = {_bare('ref')} AS INT)) + 0.0::DOUBLE AS em, max({f_measure('l', 'len(p)', 'len(r)')}) AS f FROM s GROUP BY 1, 2),
+refs AS (SELECT id, count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f), 6) AS "rougeL" FROM best GROUP BY 1),
+k AS (SELECT id, gen_id, {tokens('text')} AS t FROM g),
+pr AS (SELECT a.id, a.t AS p, b.t AS r FROM k a JOIN k b ON a.id = b.id AND a.gen_id < b.gen_id),
+lex AS (SELECT id, round(avg({f_measure('l', 'len(p)', 'len(r)')}), 6) AS lexical FROM (SELECT *, {lcs('p', 'r')} AS l FROM pr) GROUP BY 1),
+q AS (SELECT g.id, g.gen_id, g.text, r.question, r.answer, count(DISTINCT g.text) OVER (PARTITION BY g.id) AS d FROM g JOIN ({V.RECORDS}) r USING (id)),
+nums AS (SELECT id, CAST(max(d) * (max(d) - 1) AS BIGINT) AS judged, CAST(sum(length({_rating_text('question', 'answer', 'text')})) AS BIGINT) AS rating_chars,
+                CAST(sum(length(text)) AS BIGINT) AS asked_chars FROM q GROUP BY 1),
+jud AS (SELECT a.id, CAST(sum(length(a.question) * 2 + length(a.text) + length(b.text) + 9) AS BIGINT) AS judge_chars
+        FROM (SELECT DISTINCT id, question, text FROM q) a JOIN (SELECT DISTINCT id, text FROM q) b ON a.id = b.id AND a.text <> b.text GROUP BY 1)
+SELECT id, n, exact_match, "rougeL", lexical, judged, coalesce(judge_chars, 0) AS judge_chars, rating_chars, asked_chars
+FROM refs JOIN nums USING (id) LEFT JOIN lex USING (id) LEFT JOIN jud USING (id)""")
 def _offline(spark, sf):
-    """Mean reference scores per record, read from the stored stages."""
+    """What every stored stage holds of each record."""
     records = V.records(spark, sf).withColumn("dataset", F.lit("coqa"))
     stages = jobs.offline_stages(spark, scratch_path(spark, "offline"), "m7_coqa_0", 0, records)
-    return stages["reference_scores"].groupBy("id").agg(
+    chars = lambda df, text, out, key="id": df.groupBy(F.col(key).alias("id")).agg(F.sum(F.length(text)).alias(out))
+    judged = stages["judge_inputs"].groupBy(F.col("sample_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("judged"), F.sum(F.length("nli_text")).alias("judge_chars")
+    )
+    scores = stages["reference_scores"].groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("exact_match")).alias("exact_match"), r6(F.avg("rougeL")).alias("rougeL")
     )
+    lexical = stages["lexical"].select(F.col("sample_id").alias("id"), r6(F.col("lexical_similarity")).alias("lexical"))
+    return (
+        scores.join(chars(stages["ratings"], "prompt", "rating_chars"), "id")
+        .join(chars(stages["self_evaluation"], "answer", "asked_chars"), "id")
+        .join(lexical, "id", "left")
+        .join(judged, "id", "left")
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("judged", "judge_chars")})
+    )

@@ -115,29 +115,85 @@ def clean_records(records: DataFrame) -> DataFrame:
 
 def offline_stages(
     spark: SparkSession, base: str, specs: str, run: int, records: DataFrame, pair_logits: DataFrame | None = None,
-    ratings: int = 1, clean: bool = True, stem: bool = False,
+    clean: bool = True, stem: bool = False,
 ) -> dict[str, DataFrame]:
     """Post-processing of a stored run, each stage computed once and kept under its key.
 
-    cleaned texts -> judge inputs and verdicts -> rating prompts for the first ``ratings``
-    generations -> lexical similarity -> reference scores. ``records`` has id, question,
+    cleaned texts -> judge inputs and verdicts -> rating prompts and true/false prompts for
+    every generation -> lexical similarity -> reference scores. ``records`` has id, question,
     answer, additional_answers, generations and dataset.
     """
 
-    def stage(name: str, build, ith: int | None = None) -> DataFrame:
-        return R.stage_cache(spark, base, f"{R.cache_key(specs, run, clean=clean, ith=ith)}_{name}", build)
+    def stage(name: str, build) -> DataFrame:
+        return R.stage_cache(spark, base, f"{R.cache_key(specs, run, clean=clean)}_{name}", build)
 
     cleaned = stage("texts", lambda: clean_records(records))
     used = cleaned.withColumn("generations", F.col("cleaned")) if clean else cleaned
     long = sampling.explode_generations(used).withColumnRenamed("id", SAMPLE)
     out = {"texts": cleaned}
     numbered = stage("answers", lambda: similarity.numbered_answers(long, SAMPLE, "text"))
-    questions = records.select(F.col("id").alias(SAMPLE), "question")
-    out["judge_inputs"] = stage("judge", lambda: pairs.nli_inputs(pairs.answer_pairs(numbered), questions))
+    questions = cleaned.select(F.col("id").alias(SAMPLE), "question")
+    out["judge_inputs"] = stage("judge", lambda: pairs.nli_inputs(numbered, questions))
     if pair_logits is not None:
         out["decisions"] = stage("decisions", lambda: pairs.pair_decision(pair_logits))
-    for ith in range(ratings):
-        out[f"rating_{ith}"] = stage("rating", lambda i=ith: prompts.rating_prompts(used, i), ith)
+    out["ratings"] = stage("ratings", lambda: prompts.rating_prompts(used))
+    out["self_evaluation"] = stage("self-evaluation", lambda: prompts.self_eval_prompts(used))
     out["lexical"] = stage("lexical", lambda: similarity.lexical_similarity(long, stem=stem))
     out["reference_scores"] = stage("rouge", lambda: similarity.score_generations(used, stem=stem))
     return out
+
+
+def continue_run(
+    spark: SparkSession, base: str, identity: dict, pending: DataFrame, process, id_col: str = "id"
+) -> int:
+    """Finishes a run: records found in earlier shards are taken over, the rest is processed.
+
+    ``identity`` names model, dataset and project; ``process`` maps pending records to result
+    records. The whole is stored as a new unsharded run, whose number is returned and whose
+    configuration is registered beside the results.
+    """
+    done = R.read_results(spark, base, **identity)
+    run = done.agg(F.max("run_id").alias("last")).first()["last"] + 1
+    slim = done.drop(*R.RUN_COLUMNS)
+    R.write_results(sampling.resume_union(pending, slim, process, id_col), base, *identity.values(), run)
+    R.register_run(spark, f"{base.rstrip('/')}-configurations", identity | {"shard_id": 0, "run_id": run})
+    return run
+
+
+def score_and_store(
+    spark: SparkSession, base: str, records: DataFrame, scores: DataFrame, model: str, dataset: str, project: str, num_shards: int = 1
+) -> DataFrame:
+    """Result records with their scores, stored shard by shard under the next run number and merged again.
+
+    ``records`` has id and the texts, ``scores`` id and the score columns.
+    """
+    full = records.join(scores, "id")
+    sharded = R.stage_cache(spark, base, f"scored_{model}_{dataset}", lambda: full)
+    results = f"{base.rstrip('/')}/results"
+    numbered = sampling.with_shard_id(sharded, num_shards, ["id"])
+    for shard in range(num_shards):
+        part = numbered.filter(F.col("shard_id") == shard).drop("shard_id")
+        R.write_results(part, results, model, dataset, project, 0, shard, num_shards)
+    return R.merge_shards(spark, results, model, dataset, project, list(range(num_shards)))
+
+
+def evaluate_stored(
+    spark: SparkSession, base: str, similarities: DataFrame, keys: tuple[str, ...] = ("dataset",), stem: bool = True, **identity
+) -> tuple[DataFrame, DataFrame]:
+    """(summary table, full report) of stored runs under both correctness measures.
+
+    Results are read once and labelled by text overlap and by ``similarities`` (id,
+    sim_score); both measures stand in one table of rows.
+    """
+    results = R.read_results(spark, base, **identity).join(similarities, "id")
+    scored = evaluate.correctness(results, "rouge", multi_reference=True, stem=stem)
+    measures = F.array(
+        F.struct(F.lit("rouge").alias("measure"), F.col("similarity").alias("similarity"), F.col("label").alias("label")),
+        F.struct(
+            F.lit("cosine").alias("measure"), F.col("sim_score").alias("similarity"),
+            (F.col("sim_score") > evaluate.COSINE_CUTOFF).cast("int").alias("label"),
+        ),
+    )
+    flat = scored.select(*keys, *evaluate.ORIENTATION, F.explode(measures).alias("m")).select(*keys, *evaluate.ORIENTATION, "m.*")
+    rows = R.stage_cache(spark, base.rstrip("/") + "-labelled", "_".join(map(str, identity.values())) or "all", lambda: flat)
+    return evaluate.paper_table(rows, list(keys)), evaluate.evaluate_run(rows, [*keys, "measure"])

@@ -6,16 +6,19 @@ folder, so the work grows with the tables.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from answerscope.functions.text import clean_answer
 from answerscope.operators import pairs as G
 from answerscope.operators import regress as I
 from answerscope.operators.sampling import stratified_split
+from answerscope.plans import jobs
 from answerscope.plans import views as V
 from answerscope.plans.evaluation_queries import WEIGHTS
 from answerscope.plans.registry import query, r6
-from answerscope.session import scratch_path
+from answerscope.session import scratch_path, stored
 from answerscope.sources import questions as Q
 from answerscope.sources import results as R
 
@@ -184,16 +187,41 @@ def _read_results(spark, sf):
     return out.select("id", "question", r6(F.col("spectral_score")).alias("spectral_score"), "model", "dataset", "shard_id", "run_id")
 
 
-@query("merge_shards", f"SELECT id, answer, CAST(conv_id % 3 AS INT) AS shard_id FROM ({V.RECORDS}) WHERE conv_id % 3 IN (0, 2)")
+@query("merge_shards", f"SELECT id, answer, CAST(conv_id % 3 AS INT) AS shard_id FROM ({V.RECORDS})")
 def _merge_shards(spark, sf):
-    return R.merge_shards(spark, _write_runs(spark, sf), "m7", "squad", "base", [0, 2]).select("id", "answer", "shard_id")
+    """All shards of a run, and the number of one that was never written."""
+    with warnings.catch_warnings(action="ignore"):
+        merged = R.merge_shards(spark, _write_runs(spark, sf), "m7", "squad", "base", [0, 1, 2, 7])
+    return merged.select("id", "answer", "shard_id")
 
 
 @query("next_run_id", """
-SELECT * FROM (VALUES ('m7', 'squad', 'base', 0::INT, 2::BIGINT), ('m7', 'squad', 'base', 1, 1), ('m7', 'squad', 'base', 2, 1), ('m13', 'coqa', 'base', 0, 1))
-  AS t(model, dataset, project, shard_id, next_run_id)""")
+SELECT 'm7' AS model, role AS dataset, CAST(conv_id AS VARCHAR) AS project, 0 AS shard_id, count(DISTINCT turn) AS next_run_id
+FROM conversations WHERE turn % 3 <> 1 GROUP BY ALL""")
 def _next_run(spark, sf):
-    return R.finished_runs(R.read_results(spark, _write_runs(spark, sf)))
+    """Turns are runs of their conversation: some partial, some without the mark, stored and read back."""
+    turns = V.table(spark, sf, "conversations").select(
+        F.lit("m7").alias("model"), F.col("role").alias("dataset"), F.col("conv_id").cast("string").alias("project"),
+        F.lit(0).alias("shard_id"), F.col("turn").cast("int").alias("run_id"), "text",
+        F.when(F.col("turn") % 3 == 1, True).when(F.col("turn") % 3 == 2, False).alias("partial"),
+    )
+    return R.finished_runs(stored(turns, "turn-runs"))
+
+
+@query("resume_run", f"""
+SELECT id, CASE WHEN conv_id % 3 = 1 THEN answer ELSE question END AS text, conv_id % 3 <> 1 AS reused FROM ({V.RECORDS})""")
+def _resume_run(spark, sf):
+    """Shard 1 of a run is missing: its records are processed, the finished ones taken over, the whole stored as the next run."""
+    base = scratch_path(spark, "resumed")
+    r = V.records(spark, sf).select("id", "conv_id", "question", "answer")
+    for shard in (0, 2):
+        part = r.filter(F.col("conv_id") % 3 == shard).select("id", F.col("question").alias("text"), F.lit(True).alias("reused"))
+        R.write_results(part, base, "m7", "squad", "base", 0, shard, 3)
+    identity = {"model": "m7", "dataset": "squad", "project": "base"}
+    run = jobs.continue_run(
+        spark, base, identity, r, lambda work: work.select("id", F.col("answer").alias("text"), F.lit(False).alias("reused"))
+    )
+    return R.read_results(spark, base, **identity, shard_id=0, run_id=run).select("id", "text", "reused")
 
 
 @query("weights_table", f"""
@@ -203,10 +231,17 @@ def _weights(spark, sf):
     """Weights of several runs in one table: per label the mean layer score."""
     path = scratch_path(spark, "weights")
     long = V.layer_features(spark, sf).select(F.col("label").cast("string").alias("dataset_name"), F.posexplode("layer_scores").alias("layer", "x"))
-    w = long.groupBy("dataset_name", "layer").agg(F.avg("x").alias("weight")).withColumn("model_name", F.lit("m7"))
-    R.append_registry(w, path)
-    out = R.read_registry(spark, path, model_name="m7")
-    return out.select(F.col("dataset_name").cast("string").alias("dataset_name"), "layer", r6(F.col("weight")).alias("weight"))
+    means = long.groupBy("dataset_name", "layer").agg(F.avg("x").alias("weight")).groupBy("dataset_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("layer", "weight"))), lambda s: s["weight"]).alias("weights")
+    )
+    for row in means.collect():  # one row a label: a model's weights
+        R.save_weights(spark, path, row["weights"], "m7", row["dataset_name"])
+    # through the exchange format, one document a model
+    labels = [r["dataset_name"] for r in R.read_registry(spark, path, model_name="m7").select(F.col("dataset_name").cast("string")).distinct().collect()]
+    docs = [(R.load_weights(spark, path, "m7", label), "m7", label) for label in sorted(labels)]
+    schema = "weights array<double>, model_name string, dataset_name string"
+    written = _json(spark.createDataFrame(docs, schema).repartition(len(docs)), "weight-documents", spark)
+    return R.read_weights_json(spark, written).select("dataset_name", "layer", r6(F.col("weight")).alias("weight"))
 
 
 @query("model_registry")
@@ -252,7 +287,7 @@ def _run_registry(spark, sf):
         F.lit("m7").alias("model"), F.lit("coqa").alias("dataset"), "project", F.lit(0).alias("shard_id"), F.lit(0).alias("run_id"),
         F.to_json(F.struct("last")).alias("config"),
     )
-    configs.write.mode("append").parquet(path)
+    R.register_runs(configs, path)
     known = R.run_config(spark, path, model="m7")
     return c.join(known.select("project", "config"), "project").groupBy("project").agg(F.count("config").alias("turns"))
 
@@ -288,7 +323,7 @@ t AS (SELECT *, ceil(sum(n) OVER () * 0.2::DOUBLE) AS test, sum(n) OVER () AS to
 f AS (SELECT s, floor(n * test / total) AS fl, n * test / total - floor(n * test / total) AS frac, test FROM t),
 q AS (SELECT s, fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, s) <= test - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM f),
 r AS (SELECT vec_id AS id, CAST(label >= 5 AS INT) AS label, embedding, row_number() OVER (PARTITION BY label >= 5 ORDER BY md5('42:' || vec_id)) AS rn FROM embeddings)
-SELECT id, label, round(list_sum(list_transform(embedding[1:33], lambda x: x::DOUBLE)), 6) + 0 AS total FROM r JOIN q ON r.label = q.s WHERE rn <= quota""")
+SELECT id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0 AS total FROM r JOIN q ON r.label = q.s WHERE rn <= quota""")
 def _test_split(spark, sf):
     path = scratch_path(spark, "test-split")
     R.save_test_split(stratified_split(V.layer_features(spark, sf), "label", 0.2, 42), path)

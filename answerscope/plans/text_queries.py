@@ -80,12 +80,12 @@ def _stems(spark, sf):
     return D.stem_vocabulary(V.table(spark, sf, "documents"), "text")
 
 
-_TOK = f"(SELECT id, {tokens('most_likely_generation')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}))"
+_TOK = f"(SELECT id, {tokens('prediction')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}))"
 
 
 @query("rouge_l", f"SELECT id, round({f_measure('l', 'len(p)', 'len(r)')}, 6) AS rouge_l FROM (SELECT *, {lcs('p', 'r')} AS l FROM {_TOK})")
 def _rouge_l(spark, sf):
-    return V.records(spark, sf).select("id", r6(O.rouge_l(F.col("most_likely_generation"), F.col("answer"))).alias("rouge_l"))
+    return V.records(spark, sf).select("id", r6(O.rouge_l(F.col("prediction"), F.col("answer"))).alias("rouge_l"))
 
 
 @query("rouge_l_documents")
@@ -112,12 +112,12 @@ FROM t LEFT JOIN m USING (id)"""
 
 @query("rouge_1", _overlap_sql(1))
 def _rouge_1(spark, sf):
-    return V.records(spark, sf).select("id", r6(O.rouge_n(F.col("most_likely_generation"), F.col("answer"), 1)).alias("rouge_1"))
+    return V.records(spark, sf).select("id", r6(O.rouge_n(F.col("prediction"), F.col("answer"), 1)).alias("rouge_1"))
 
 
 @query("rouge_2", _overlap_sql(2))
 def _rouge_2(spark, sf):
-    return V.records(spark, sf).select("id", r6(O.rouge_n(F.col("most_likely_generation"), F.col("answer"), 2)).alias("rouge_2"))
+    return V.records(spark, sf).select("id", r6(O.rouge_n(F.col("prediction"), F.col("answer"), 2)).alias("rouge_2"))
 
 
 @query("best_over_references", f"""
@@ -131,17 +131,27 @@ def _best(spark, sf):
     return V.records(spark, sf).select("id", r6(D.best_over_references(F.col("most_likely_generation"), refs, stem=False)).alias("best"))
 
 
+def _pairs(col: str) -> str:
+    """Neighbouring tokens as strings."""
+    return f"list_transform(range(1, len({col})), lambda i: {col}[i] || ' ' || {col}[i + 1])"
+
+
+def _common(a: str, b: str) -> str:
+    """Clipped number of common entries of two lists."""
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
+
+
 @query("score_generations", f"""
 WITH g AS (SELECT id, unnest(generations) AS text, generate_subscripts(generations, 1) - 1 AS gen_id, [answer] || additional_answers AS refs FROM ({V.RECORDS})),
 u AS (SELECT id, gen_id, {_caseless('text')} AS pred, unnest(list_distinct(list_transform(refs, lambda x: {_caseless('x')}))) AS ref FROM g),
 k AS (SELECT *, {tokens('pred')} AS p, {tokens('ref')} AS r FROM u),
-s AS (SELECT *, {lcs('p', 'r')} AS l, list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) AS c1 FROM k)
+s AS (SELECT *, {lcs('p', 'r')} AS l, {_common('p', 'r')} AS c1, {_common(_pairs('p'), _pairs('r'))} AS c2 FROM k)
 SELECT id, CAST(gen_id AS INT) AS gen_id, max(CAST({_bare('pred')} = {_bare('ref')} AS INT)) + 0.0::DOUBLE AS exact_match,
-       round(max({f_measure('coalesce(c1, 0)', 'len(p)', 'len(r)')}), 6) AS rouge1, round(max({f_measure('l', 'len(p)', 'len(r)')}), 6) AS "rougeL"
+       round(max({f_measure('c1', 'len(p)', 'len(r)')}), 6) AS rouge1, round(max({f_measure('c2', 'greatest(len(p) - 1, 0)', 'greatest(len(r) - 1, 0)')}), 6) AS rouge2, round(max({f_measure('l', 'len(p)', 'len(r)')}), 6) AS "rougeL"
 FROM s GROUP BY 1, 2""")
 def _score_generations(spark, sf):
     out = D.score_generations(V.records(spark, sf))
-    return out.select("id", "gen_id", "exact_match", r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rougeL")).alias("rougeL"))
+    return out.select("id", "gen_id", "exact_match", *[r6(F.col(m)).alias(m) for m in O.MEASURES])
 
 
 # --- similarity inside a sample -----------------------------------------------------
@@ -181,12 +191,13 @@ def _matrix(spark, sf):
 
 
 @query("syntactic_similarity", f"""
-WITH {_PAIRS}, u AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) AS c1 FROM sc WHERE ti <> tj)
-SELECT sample_id, round(avg({f_measure('coalesce(c1, 0)', 'len(p)', 'len(r)')}), 6) AS rouge1, round(avg(f), 6) AS "rougeL"
+WITH {_PAIRS}, u AS (SELECT *, {_common('p', 'r')} AS c1, {_common(_pairs('p'), _pairs('r'))} AS c2 FROM sc WHERE ti <> tj)
+SELECT sample_id, round(avg({f_measure('c1', 'len(p)', 'len(r)')}), 6) AS rouge1,
+       round(avg({f_measure('c2', 'greatest(len(p) - 1, 0)', 'greatest(len(r) - 1, 0)')}), 6) AS rouge2, round(avg(f), 6) AS "rougeL"
 FROM (SELECT DISTINCT sample_id FROM k) LEFT JOIN u USING (sample_id) GROUP BY 1""")
 def _syntactic(spark, sf):
     out = D.syntactic_similarity(V.conv_answers(spark, sf))
-    return out.select("sample_id", r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rougeL")).alias("rougeL"))
+    return out.select("sample_id", *[r6(F.col(m)).alias(m) for m in O.MEASURES])
 
 
 @query("answer_mapping", f"""
@@ -299,6 +310,13 @@ def _answer_pairs(spark, sf):
     return G.answer_pairs(D.numbered_answers(V.conv_answers(spark, sf), "sample_id", "text"))
 
 
+@query("answer_pairs_unordered", f"""
+WITH {_NUMBERED} SELECT a.sample_id, a.ans_id AS i, b.ans_id AS j, a.text AS text_i, b.text AS text_j
+FROM n a JOIN n b ON a.sample_id = b.sample_id AND a.ans_id < b.ans_id""")
+def _answer_pairs_once(spark, sf):
+    return G.answer_pairs(D.numbered_answers(V.conv_answers(spark, sf), "sample_id", "text"), ordered=False)
+
+
 @query("nli_pair_text", f"""
 WITH {_NUMBERED}, q AS (SELECT conv_id AS sample_id, min_by(text, turn) AS question FROM conversations GROUP BY 1)
 SELECT a.sample_id, a.ans_id AS i, b.ans_id AS j, question || ' ' || a.text || ' [SEP] ' || question || ' ' || b.text AS nli_text
@@ -306,7 +324,7 @@ FROM n a JOIN n b ON a.sample_id = b.sample_id AND a.ans_id <> b.ans_id JOIN q O
 def _nli(spark, sf):
     a = V.conv_answers(spark, sf)
     questions = a.groupBy("sample_id").agg(F.min_by("text", "gen_id").alias("question"))
-    return G.nli_inputs(G.answer_pairs(D.numbered_answers(a, "sample_id", "text")), questions)
+    return G.nli_inputs(D.numbered_answers(a, "sample_id", "text"), questions)
 
 
 # --- judged pairs -------------------------------------------------------------------

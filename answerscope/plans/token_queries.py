@@ -125,6 +125,13 @@ def _likelihood(spark, sf):
     )
 
 
+@query("token_likelihoods", f"SELECT sample_id, gen_id, token_pos, round({_NLL}, 6) AS nll, round({_ENT}, 6) AS token_entropy FROM {ROWS}")
+def _token_likelihoods(spark, sf):
+    """The token arrays behind the likelihood summary, one row a token."""
+    t = T.token_likelihoods(V.token_scores(spark, sf), ["sample_id", "gen_id", "token_pos"])
+    return t.select("sample_id", "gen_id", "token_pos", r6(F.col("nll")).alias("nll"), r6(F.col("token_entropy")).alias("token_entropy"))
+
+
 @query("true_false_logits", f"""
 SELECT sample_id, gen_id, token_pos, round(logits[4], 6) + 0 AS true_logit, round(logits[10], 6) + 0 AS false_logit,
        round(logits[4] - z, 6) + 0 AS true_logp, round(logits[10] - z, 6) + 0 AS false_logp FROM {ROWS}""")

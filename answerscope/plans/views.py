@@ -109,20 +109,25 @@ FROM ({TOKEN_SCORES})"""
 
 
 def pair_logits(spark, sf):
-    """Judgements of ordered answer pairs: three logits per pair of a sample's vectors."""
+    """Judgements of ordered answer pairs: three logits per pair, products of every third entry summed."""
     v = spectral_samples(spark, sf)
     a = v.select("sample_id", F.col("gen_id").alias("i"), F.col("vec").alias("x"))
     b = v.select("sample_id", F.col("gen_id").alias("j"), F.col("vec").alias("y"))
     both = a.join(b, "sample_id").filter("i <> j")
     return both.select(
         "sample_id", "i", "j",
-        F.expr("transform(sequence(1, 3), d -> element_at(x, d) * element_at(y, d) * 10 + (i - j) * 0.01D)").alias("logits"),
+        F.array(*[
+            F.expr(f"aggregate(zip_with(x, y, (a, b) -> a * b), named_struct('s', 0D, 'd', 1), "
+                   f"(t, v) -> named_struct('s', t.s + if(t.d % 3 = {k}, v, 0D), 'd', t.d + 1), t -> t.s) * 10 + (i - j) * 0.01D")
+            for k in (1, 2, 0)
+        ]).alias("logits"),
     )
 
 
 PAIR_LOGITS = f"""
 SELECT a.sample_id, a.gen_id AS i, b.gen_id AS j,
-       list_transform([1, 2, 3], lambda d: a.vec[d] * b.vec[d] * 10 + (a.gen_id - b.gen_id) * CAST(0.01 AS DOUBLE)) AS logits
+       list_transform([1, 2, 0], lambda k: list_sum(list_transform(range(1, len(a.vec) + 1), lambda d: CASE WHEN d % 3 = k THEN a.vec[d] * b.vec[d] ELSE 0 END)) * 10
+         + (a.gen_id - b.gen_id) * CAST(0.01 AS DOUBLE)) AS logits
 FROM ({SPECTRAL_SAMPLES}) a JOIN ({SPECTRAL_SAMPLES}) b ON a.sample_id = b.sample_id AND a.gen_id <> b.gen_id"""
 
 
@@ -131,16 +136,16 @@ def answer_sizes(spark, sf):
 
 
 def layer_features(spark, sf):
-    """One labelled sample per vector, with 33 layer scores."""
+    """One labelled sample per vector, every entry a layer score."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 33).alias("layer_scores"),
+        F.col("embedding").cast("array<double>").alias("layer_scores"),
         (F.col("label") >= 5).cast("int").alias("label"),
     )
 
 
 LAYER_FEATURES = """
-SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:33] AS layer_scores, CAST(label >= 5 AS INT) AS label
+SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS layer_scores, CAST(label >= 5 AS INT) AS label
 FROM embeddings"""
 
 
@@ -149,7 +154,7 @@ def measured_features(spark, sf):
     e = table(spark, sf, "embeddings")
     x = F.col("embedding").cast("array<double>")
     return e.select(
-        F.slice(x, 1, 33).alias("layer_scores"),
+        x.alias("layer_scores"),
         (F.col("label") / 10.0 + x[40]).alias("rouge_score"),
         (F.col("label") >= 5).cast("int").alias("y_rouge"),
         (F.col("label") / 10.0 + x[41]).alias("sim_score"),
@@ -158,7 +163,7 @@ def measured_features(spark, sf):
 
 
 MEASURED_FEATURES = """
-SELECT CAST(embedding AS DOUBLE[])[1:33] AS layer_scores,
+SELECT CAST(embedding AS DOUBLE[]) AS layer_scores,
        label / 10.0::DOUBLE + CAST(embedding[41] AS DOUBLE) AS rouge_score, CAST(label >= 5 AS INT) AS y_rouge,
        label / 10.0::DOUBLE + CAST(embedding[42] AS DOUBLE) AS sim_score, CAST(label >= 8 AS INT) AS y_sim
 FROM embeddings"""
@@ -189,7 +194,10 @@ SCORES = [
 
 
 def records(spark, sf):
-    """Result records: the answer's sentences are the generations, its first line the prediction."""
+    """Result records: the answer's sentences are the generations, its first line the most likely one.
+
+    ``prediction`` only overlaps with the answer: the question and the answer's last sentence.
+    """
     q = qa(spark, sf).withColumn("lines", F.split("answer", "\n"))
     sentences = F.filter(F.transform(F.split("answer", r"[.\n]"), lambda s: F.trim(s)), lambda s: s != "")
     a, n = F.length("answer"), F.length("question")
@@ -197,6 +205,7 @@ def records(spark, sf):
         "id", "conv_id", "question", "answer",
         F.slice(F.col("lines"), F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("additional_answers"),
         F.col("lines")[0].alias("most_likely_generation"),
+        F.concat_ws(" ", "question", F.try_element_at(sentences, F.lit(-1))).alias("prediction"),
         sentences.alias("generations"),
         (n / (a + 1.0)).alias("perplexity"),
         (-a / 100.0).alias("energy"),
@@ -210,7 +219,7 @@ def records(spark, sf):
 
 RECORDS = f"""
 SELECT id, conv_id, question, answer, string_split(answer, chr(10))[2:] AS additional_answers,
-       string_split(answer, chr(10))[1] AS most_likely_generation, generations,
+       string_split(answer, chr(10))[1] AS most_likely_generation, concat_ws(' ', question, generations[-1]) AS prediction, generations,
        length(question) / (length(answer) + 1.0::DOUBLE) AS perplexity, -length(answer) / 100.0::DOUBLE AS energy,
        1.0::DOUBLE / (len(generations) + 1) AS entropy,
        len(list_distinct(string_split(answer, ' '))) / len(string_split(answer, ' ')) AS lexical_similarity,

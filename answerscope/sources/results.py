@@ -142,7 +142,12 @@ def register_run(spark: SparkSession, path: str, config: dict) -> None:
     """Run configuration as one row: run columns plus the full configuration as JSON."""
     row = {c: config.get(c) for c in RUN_COLUMNS} | {"config": json.dumps(config, sort_keys=True)}
     schema = "model string, dataset string, project string, shard_id int, run_id int, config string"
-    spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+    register_runs(spark.createDataFrame([row], schema), path)
+
+
+def register_runs(configs: DataFrame, path: str) -> None:
+    """Many configurations at once: the run columns and ``config``."""
+    configs.select(*RUN_COLUMNS, "config").write.mode("append").parquet(path)
 
 
 def run_config(spark: SparkSession, path: str, **identity) -> DataFrame:

@@ -11,10 +11,12 @@ from answerscope.plans import jobs, token_queries  # noqa: F401 - its oracle SQL
 from answerscope.plans import views as V
 from answerscope.operators.prompts import rating_block
 from answerscope.plans.registry import ORACLES, query, r6
+from answerscope.plans.evaluation_queries import _PLACES, NAMES, _curve, _melt_sql, _pcc
 from answerscope.plans.spectral_queries import MID
 from answerscope.plans.text_queries import _bare, _caseless, _clean, _quote
 from answerscope.plans.sql import f_measure, lcs, tokens
 from answerscope.session import scratch_path
+from answerscope.sources import results as R
 
 def _rating_text(question: str, answer: str, text: str) -> str:
     """A rating prompt of the first question set in SQL."""
@@ -109,3 +111,60 @@ def _offline(spark, sf):
         .join(judged, "id", "left")
         .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("judged", "judge_chars")})
     )
+
+
+_BEST = f"""
+base AS (SELECT *, (length(question) % 11) / 10.0::DOUBLE AS sim_score FROM ({V.RECORDS})),
+refs AS (SELECT id, prediction, unnest(list_distinct([answer] || additional_answers)) AS ref FROM base),
+best AS (SELECT id, max({f_measure('l', 'len(p)', 'len(r)')}) AS sim
+         FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, {tokens('prediction')} AS p, {tokens('ref')} AS r FROM refs)) GROUP BY 1),
+labelled AS (SELECT 'rouge' AS measure, sim AS similarity, CAST(sim > 0.5 AS INT) AS label, {NAMES} FROM base JOIN best USING (id)
+             UNION ALL SELECT 'cosine', sim_score, CAST(sim_score > 0.9 AS INT), {NAMES} FROM base)"""
+
+
+def _stored_run(spark, sf):
+    base = scratch_path(spark, "evaluated")
+    records = V.records(spark, sf).withColumn("most_likely_generation", F.col("prediction"))
+    R.write_results(records.filter("conv_id % 2 = 0"), base, "m7", "squad", "base", 0, 0, 2)
+    R.write_results(records.filter("conv_id % 2 = 1"), base, "m7", "squad", "base", 0, 1, 2)
+    similar = records.select("id", (F.length("question") % 11 / 10.0).alias("sim_score"))
+    return base, similar
+
+
+@query("evaluate_stored", f"""
+WITH {_BEST}, {_curve(_melt_sql('SELECT * FROM labelled', 'measure, label, similarity'), 'measure, method')},
+acc AS (SELECT measure, method, avg(CASE WHEN (score >= round(threshold, 4)) = (label = 1) THEN 1.0::DOUBLE ELSE 0 END) AS a
+        FROM rows_ JOIN thr USING (measure, method) WHERE threshold IS NOT NULL GROUP BY 1, 2),
+pc AS (SELECT measure, method, {_pcc()} AS pcc FROM rows_ GROUP BY 1, 2)
+SELECT 'squad' AS dataset, measure, method, round(auroc, 6) AS auroc, round(threshold, 4) + 0 AS threshold, round(a, 6) AS detection_accuracy, round(pcc, 6) AS pcc
+FROM auc JOIN thr USING (measure, method) LEFT JOIN acc USING (measure, method) JOIN pc USING (measure, method)""")
+def _evaluate_stored(spark, sf):
+    """Both shards of a stored run under both correctness measures."""
+    base, similar = _stored_run(spark, sf)
+    report = jobs.evaluate_stored(spark, base, similar, stem=False, model="m7")[1]
+    return report.select(
+        F.col("dataset").cast("string").alias("dataset"), "measure", "method", r6(F.col("auroc")).alias("auroc"),
+        (F.col("threshold") + F.lit(0.0)).alias("threshold"), r6(F.col("detection_accuracy")).alias("detection_accuracy"), r6(F.col("pcc")).alias("pcc"),
+    )
+
+
+@query("evaluate_stored_table", f"""
+WITH {_BEST}, {_curve(_melt_sql('SELECT * FROM labelled', 'measure, label, similarity'), 'measure, method')},
+pc AS (SELECT measure, method, {_pcc()} AS pcc FROM rows_ GROUP BY ALL),
+piv AS (SELECT method, max(CASE WHEN measure = 'cosine' THEN auroc END) AS s, max(CASE WHEN measure = 'rouge' THEN auroc END) AS r,
+               max(CASE WHEN measure = 'cosine' THEN pcc END) AS p FROM auc JOIN pc USING (measure, method) GROUP BY ALL)
+SELECT place, printed AS method, round(s * 100, 1) AS auc_s, round(r * 100, 1) AS auc_r, round(p * 100, 1) + 0 AS pcc
+FROM piv JOIN (VALUES {_PLACES}) AS o(place, name, printed) ON piv.method = o.name""")
+def _evaluate_stored_table(spark, sf):
+    base, similar = _stored_run(spark, sf)
+    table = jobs.evaluate_stored(spark, base, similar, stem=False, model="m7", run_id=0)[0]
+    return table.drop("dataset").withColumn("pcc", F.col("pcc") + F.lit(0.0))
+
+
+@query("score_and_store", f"""
+SELECT id, answer, round(perplexity, 6) AS perplexity, CAST(least((row_number() OVER (ORDER BY id) - 1) // (count(*) OVER () // 3), 2) AS INT) AS shard_id FROM ({V.RECORDS})""")
+def _score_and_store(spark, sf):
+    """Texts and scores become result records in three shards, read back as one run."""
+    r = V.records(spark, sf)
+    merged = jobs.score_and_store(spark, scratch_path(spark, "scored"), r.select("id", "answer"), r.select("id", "perplexity"), "m7", "squad", "base", 3)
+    return merged.select("id", "answer", r6(F.col("perplexity")).alias("perplexity"), "shard_id")

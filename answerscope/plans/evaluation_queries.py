@@ -10,7 +10,7 @@ from answerscope.operators import regress as I
 from answerscope.operators.sampling import stratified_split, with_features
 from answerscope.plans import views as V
 from answerscope.plans.registry import query, r6
-from answerscope.plans.sql import f_measure, lcs, tokens
+from answerscope.plans.sql import f_measure, lcs, stem_ctes, stemmed, tokens
 from answerscope.plans.text_queries import _normal
 
 SIGNS = ", ".join(f"{'-' if s < 0 else ''}{c} AS {c}" for c, s in H.ORIENTATION.items())
@@ -57,6 +57,16 @@ def _rouge(spark, sf):
     return out.select("id", r6(F.col("similarity")).alias("similarity"), "label")
 
 
+@query("correctness_rouge_stemmed", f"""
+WITH {stem_ctes(f"SELECT DISTINCT unnest({tokens('prediction')} || {tokens('answer')}) AS token FROM ({V.RECORDS})")},
+k AS ({stemmed(f'({V.RECORDS})', 'id', ['prediction', 'answer'])}),
+s AS (SELECT id, {f_measure('l', 'len(p)', 'len(r)')} AS f FROM (SELECT *, {lcs('p', 'r')} AS l FROM (SELECT id, prediction_s AS p, answer_s AS r FROM k)))
+SELECT id, round(f, 6) AS similarity, CAST(f > 0.5 AS INT) AS label FROM s""")
+def _rouge_stemmed(spark, sf):
+    out = H.correctness(V.records(spark, sf), "rouge", prediction="prediction")
+    return out.select("id", r6(F.col("similarity")).alias("similarity"), "label")
+
+
 @query("correctness_exact", f"""
 WITH r AS (SELECT id, most_likely_generation AS p, unnest([answer] || additional_answers) AS ref FROM ({V.RECORDS}))
 SELECT id, max(CAST({_normal('p')} = {_normal('ref')} AS INT)) + 0.0::DOUBLE AS similarity, max(CAST({_normal('p')} = {_normal('ref')} AS INT)) AS label FROM r GROUP BY 1""")

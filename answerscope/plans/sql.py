@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from answerscope.functions.stemming import IRREGULAR, STEP2, STEP3, STEP4
+
 BIG = 1_000_000
 
 
@@ -58,3 +60,70 @@ def lcs(a: str, b: str) -> str:
 def f_measure(common: str, na: str, nb: str) -> str:
     p, r = f"({common} / ({na})::DOUBLE)", f"({common} / ({nb})::DOUBLE)"
     return f"CASE WHEN {common} = 0 OR {na} = 0 OR {nb} = 0 THEN 0::DOUBLE ELSE 2 * {p} * {r} / ({p} + {r}) END"
+
+
+def _shape(w: str) -> str:
+    """A word as c (consonant) and v (vowel); y is a vowel after a consonant. Runs of up to 9 y."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({w}, '[aeiou]', 'V', 'g'), '[^yV]', 'c', 'g'), 'V', 'v', 'g')"
+    out = f"regexp_replace({out}, '^y', 'c')"
+    for _ in range(4):
+        out = f"regexp_replace(regexp_replace({out}, 'cy', 'cv', 'g'), 'vy', 'vc', 'g')"
+    return out
+
+
+def stem_ctes(tokens_sql: str) -> str:
+    """CTEs ending in ``stems(token, stem)`` from a SELECT of distinct lower-case tokens.
+
+    The Porter steps as one CTE each over (token, w, s): the word so far and its shape. The shape
+    of a prefix is the prefix of the shape, so a suffix's measure needs no new shape.
+    """
+    cut = lambda n: f"left(w, length(w) - {n})"
+    measure = lambda n: f"len(regexp_extract_all(left(s, length(w) - {n}), 'v+c+'))"
+    cvc = lambda w, s: f"CASE WHEN length({w}) = 2 THEN {s} = 'vc' ELSE right({s}, 3) = 'cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y') END"
+
+    def table(rules) -> str:
+        return "CASE " + " ".join(
+            f"WHEN w LIKE '%{a}' THEN CASE WHEN {measure(len(a))} > 0 THEN {cut(len(a))} || '{b}' ELSE w END" for a, b in rules
+        ) + " ELSE w END"
+
+    def step(name: str, source: str, value: str) -> str:
+        return f"{name} AS (SELECT token, w, {_shape('w')} AS s FROM (SELECT token, {value} AS w FROM {source}))"
+
+    short = f"CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END"
+    plural = f"CASE WHEN w LIKE '%ies' THEN {short} WHEN w LIKE '%sses' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END"
+    rest = f"""CASE WHEN w LIKE '%ied' OR w LIKE '%eed' THEN NULL
+  WHEN w LIKE '%ed' AND contains(left(s, length(w) - 2), 'v') THEN {cut(2)} WHEN w LIKE '%ing' AND contains(left(s, length(w) - 3), 'v') THEN {cut(3)} END"""
+    mended = f"""CASE WHEN b LIKE '%at' OR b LIKE '%bl' OR b LIKE '%iz' THEN b || 'e'
+  WHEN length(b) > 1 AND right(b, 1) = left(right(b, 2), 1) AND right(bs, 1) = 'c' THEN CASE WHEN right(b, 1) IN ('l', 's', 'z') THEN b ELSE left(b, length(b) - 1) END
+  WHEN len(regexp_extract_all(bs, 'v+c+')) = 1 AND {cvc('b', 'bs')} THEN b || 'e' ELSE b END"""
+    past = f"CASE WHEN b IS NOT NULL THEN {mended} WHEN w LIKE '%ied' THEN {short} WHEN w LIKE '%eed' AND {measure(3)} > 0 THEN {cut(1)} ELSE w END"
+    final_y = f"CASE WHEN w LIKE '%y' AND length(w) > 2 AND right(left(s, length(w) - 1), 1) = 'c' THEN {cut(1)} || 'i' ELSE w END"
+    alli = f"CASE WHEN w LIKE '%alli' AND {measure(4)} > 0 THEN {cut(2)} ELSE w END"
+    logi = f"CASE WHEN w LIKE '%logi' THEN CASE WHEN {measure(3)} > 0 THEN {cut(1)} ELSE w END ELSE {table(STEP2)} END"
+    drop = "CASE " + " ".join(
+        f"WHEN w LIKE '%{a}' THEN CASE WHEN {measure(len(a))} > 1" + (f" AND right({cut(3)}, 1) IN ('s', 't')" if a == "ion" else "") + f" THEN {cut(len(a))} ELSE w END"
+        for a in STEP4
+    ) + " ELSE w END"
+    final_e = f"CASE WHEN w LIKE '%e' AND ({measure(1)} > 1 OR {measure(1)} = 1 AND NOT ({cvc(cut(1), 'left(s, length(w) - 1)')})) THEN {cut(1)} ELSE w END"
+    final_l = f"CASE WHEN w LIKE '%ll' AND {measure(1)} > 1 THEN {cut(1)} ELSE w END"
+    listed = "CASE token " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items()) + " END"
+    return f"""
+vocabulary AS ({tokens_sql}),
+{step('st0', '(SELECT token, token AS w FROM vocabulary WHERE length(token) > 3)', 'w')},
+{step('st1', 'st0', plural)},
+{step('st2', f'(SELECT *, left(s, length(b)) AS bs FROM (SELECT *, {rest} AS b FROM st1))', past)},
+{step('st3', 'st2', final_y)}, {step('st4', 'st3', alli)}, {step('st5', 'st4', logi)}, {step('st6', 'st5', table(STEP3))},
+{step('st7', 'st6', drop)}, {step('st8', 'st7', final_e)}, {step('st9', 'st8', final_l)},
+stems AS (SELECT v.token, CASE WHEN length(v.token) <= 3 THEN v.token ELSE coalesce({listed.replace('token', 'v.token')}, w) END AS stem
+          FROM vocabulary v LEFT JOIN st9 ON v.token = st9.token)"""
+
+
+def stemmed(source: str, keys: str, cols: list[str]) -> str:
+    """SELECT of ``keys`` and the stemmed token list of each text column in ``cols``, from a table or CTE; needs ``stems``."""
+    parts = [
+        f"(SELECT {keys}, list(coalesce(stem, t) ORDER BY pos) FILTER (t IS NOT NULL) AS {c}_s FROM (SELECT {keys}, unnest(tok) AS t, generate_subscripts(tok, 1) AS pos "
+        f"FROM (SELECT {keys}, {tokens(c)} AS tok FROM {source})) LEFT JOIN stems ON stems.token = t GROUP BY {keys})"
+        for c in cols
+    ]
+    joined = f"(SELECT {keys} FROM {source})" + "".join(f" LEFT JOIN {p} USING ({keys})" for p in parts)
+    return f"SELECT {keys}, " + ", ".join(f"coalesce({c}_s, []) AS {c}_s" for c in cols) + f" FROM {joined}"

@@ -12,7 +12,7 @@ from answerscope.operators import similarity as D
 from answerscope.operators.sampling import collect_generations, explode_generations, few_shot_block
 from answerscope.plans import views as V
 from answerscope.plans.registry import query, r6
-from answerscope.plans.sql import f_measure, lcs, tokens
+from answerscope.plans.sql import f_measure, lcs, stem_ctes, stemmed, tokens
 
 
 def _quote(s: str) -> str:
@@ -75,7 +75,7 @@ def _tokens(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.array_join(X.rouge_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("stem_vocabulary")
+@query("stem_vocabulary", f"WITH {stem_ctes(f'SELECT DISTINCT unnest({tokens("text")}) AS token FROM documents')} SELECT token, stem FROM stems")
 def _stems(spark, sf):
     return D.stem_vocabulary(V.table(spark, sf, "documents"), "text")
 
@@ -170,6 +170,17 @@ def _lexical(spark, sf):
     return out.select("sample_id", r6(F.col("lexical_similarity")).alias("lexical_similarity"))
 
 
+@query("lexical_similarity_stemmed", f"""
+WITH {stem_ctes(f'SELECT DISTINCT unnest({tokens("text")}) AS token FROM ({V.CONV_ANSWERS})')},
+k AS ({stemmed(f'({V.CONV_ANSWERS})', 'sample_id, gen_id', ['text'])}),
+pr AS (SELECT a.sample_id, a.text_s AS p, b.text_s AS r FROM k a JOIN k b ON a.sample_id = b.sample_id AND a.gen_id < b.gen_id),
+sc AS (SELECT sample_id, {f_measure('l', 'len(p)', 'len(r)')} AS f FROM (SELECT *, {lcs('p', 'r')} AS l FROM pr))
+SELECT sample_id, round(avg(f), 6) AS lexical_similarity FROM (SELECT DISTINCT sample_id FROM k) LEFT JOIN sc USING (sample_id) GROUP BY 1""")
+def _lexical_stemmed(spark, sf):
+    out = D.lexical_similarity(V.conv_answers(spark, sf))
+    return out.select("sample_id", r6(F.col("lexical_similarity")).alias("lexical_similarity"))
+
+
 @query("lexical_similarity_documents")
 def _lexical_docs(spark, sf):
     out = D.lexical_similarity(V.doc_answers(spark, sf), stem=True)

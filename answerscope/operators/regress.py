@@ -54,7 +54,7 @@ def fit_layer_weights(
     n = rows.count()
     estimator = LogisticRegression(
         featuresCol="x", labelCol="y", regParam=1.0 / (C * n), elasticNetParam=mix,
-        standardization=False, maxIter=max_iter, tol=1e-6, fitIntercept=True,
+        standardization=False, maxIter=max_iter, tol=1e-12, fitIntercept=True,
     )
     try:
         return estimator.fit(rows)

@@ -10,7 +10,7 @@ from answerscope.operators import regress as I
 from answerscope.operators.sampling import stratified_split, with_features
 from answerscope.plans import views as V
 from answerscope.plans.registry import query, r6
-from answerscope.plans.sql import f_measure, lcs, stem_ctes, stemmed, tokens
+from answerscope.plans.sql import f_measure, lcs, logistic_ctes, stem_ctes, stemmed, tokens
 from answerscope.plans.text_queries import _normal
 
 SIGNS = ", ".join(f"{'-' if s < 0 else ''}{c} AS {c}" for c, s in H.ORIENTATION.items())
@@ -282,21 +282,56 @@ def _weighted_vs_mean(spark, sf):
     return out.select("measure", *[r6(F.col(c)).alias(c) for c in out.columns if c != "measure"])
 
 
-@query("fit_layer_weights")
-def _fit(spark, sf):
-    """Fitted weights in long form; iterative, so no SQL twin."""
+def split_ctes(source: str) -> str:
+    """CTEs ending in ``parted``: ``source`` (id, label, ...) with its 80:20 split."""
+    return f"""
+split_n AS (SELECT label AS s, count(*) AS n FROM ({source}) GROUP BY 1),
+split_t AS (SELECT *, ceil(sum(n) OVER () * 0.2::DOUBLE) AS test, sum(n) OVER () AS total FROM split_n),
+split_f AS (SELECT s, floor(n * test / total) AS fl, n * test / total - floor(n * test / total) AS frac, test FROM split_t),
+split_q AS (SELECT s, fl + CASE WHEN row_number() OVER (ORDER BY frac DESC, s) <= test - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM split_f),
+split_r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS rn FROM ({source})),
+parted AS (SELECT r.*, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM split_r r JOIN split_q q ON r.label = q.s)"""
+
+
+SPLIT = split_ctes(V.LAYER_FEATURES)
+_TRAIN = "SELECT * FROM parted WHERE split = 'train'"
+
+
+def metrics_ctes(name: str, out: str) -> str:
+    """CTEs ending in ``out(split, accuracy, n, auroc)`` of a fitted model ``name``."""
+    rows = f"SELECT split, label, 1 / (1 + exp(-(list_dot_product(layer_scores, w) + b))) AS score FROM parted, {name}"
+    return f"""
+{out}_rows AS ({rows}),
+{out} AS (SELECT * FROM (SELECT split, avg(CAST((score > 0.5) = (label = 1) AS INT)) AS accuracy, count(*) AS n FROM {out}_rows GROUP BY 1)
+  JOIN (SELECT p.split, avg(CASE WHEN p.score > q.score THEN 1.0::DOUBLE WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auroc
+        FROM {out}_rows p JOIN {out}_rows q ON p.split = q.split AND p.label = 1 AND q.label = 0 GROUP BY 1) USING (split))"""
+
+
+def _fitted(spark, sf, penalty):
     df = stratified_split(V.layer_features(spark, sf), "label", 0.2, 42)
-    model = I.fit_layer_weights(df.filter("split = 'train'"), C=10.0)
-    return spark.createDataFrame(
-        [(i, w) for i, w in enumerate(I.weights_of(model))], "layer int, weight double"
-    )
+    return df, I.fit_layer_weights(df.filter("split = 'train'"), penalty, C=10.0)
 
 
-@query("fit_metrics")
+@query("fit_layer_weights", f"""
+WITH RECURSIVE {SPLIT}, {logistic_ctes(_TRAIN, 64, 10.0, 0.5, 'net')}, {logistic_ctes(_TRAIN, 64, 10.0, 0.0, 'ridge')}
+SELECT 'elasticnet' AS penalty, CAST(generate_subscripts(w, 1) - 1 AS INT) AS layer, round(unnest(w), 3) + 0 AS weight FROM net
+UNION ALL SELECT 'l2', CAST(generate_subscripts(w, 1) - 1 AS INT), round(unnest(w), 3) + 0 FROM ridge""")
+def _fit(spark, sf):
+    """Fitted weights in long form, for two penalties."""
+    rows = []
+    for penalty in ("elasticnet", "l2"):
+        rows += [(penalty, i, w) for i, w in enumerate(I.weights_of(_fitted(spark, sf, penalty)[1]))]
+    out = spark.createDataFrame(rows, "penalty string, layer int, weight double")
+    return out.select("penalty", "layer", (F.round("weight", 3) + F.lit(0.0)).alias("weight"))
+
+
+@query("fit_metrics", f"""
+WITH RECURSIVE {SPLIT}, {logistic_ctes(_TRAIN, 64, 10.0, 0.5, 'net')}, {metrics_ctes('net', 'm')}
+SELECT split, round(accuracy, 6) AS accuracy, n, round(auroc, 3) AS auroc FROM m""")
 def _fit_metrics(spark, sf):
-    df = stratified_split(V.layer_features(spark, sf), "label", 0.2, 42)
-    model = I.fit_layer_weights(df.filter("split = 'train'"), C=10.0)
-    return I.fit_metrics(model, df)
+    df, model = _fitted(spark, sf, "elasticnet")
+    out = I.fit_metrics(model, df)
+    return out.select("split", r6(F.col("accuracy")).alias("accuracy"), "n", F.round("auroc", 3).alias("auroc"))
 
 
 # --- masks --------------------------------------------------------------------------

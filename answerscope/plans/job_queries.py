@@ -11,10 +11,10 @@ from answerscope.plans import jobs, token_queries  # noqa: F401 - its oracle SQL
 from answerscope.plans import views as V
 from answerscope.operators.prompts import rating_block
 from answerscope.plans.registry import ORACLES, query, r6
-from answerscope.plans.evaluation_queries import _PLACES, NAMES, _curve, _melt_sql, _pcc
+from answerscope.plans.evaluation_queries import _PLACES, _TRAIN, NAMES, _curve, _melt_sql, _pcc, split_ctes
 from answerscope.plans.spectral_queries import MID
 from answerscope.plans.text_queries import _bare, _caseless, _clean, _quote
-from answerscope.plans.sql import f_measure, lcs, tokens
+from answerscope.plans.sql import f_measure, lcs, logistic_ctes, tokens
 from answerscope.session import scratch_path
 from answerscope.sources import results as R
 
@@ -53,17 +53,43 @@ def _score_run(spark, sf):
     )
 
 
-@query("learn_and_compare")
+def _auc(score: str, label: str) -> str:
+    return f"(SELECT round(avg(CASE WHEN p.{score} > n.{score} THEN 1.0::DOUBLE WHEN p.{score} = n.{score} THEN 0.5 ELSE 0 END), 3) FROM held p JOIN held n ON p.{label} = 1 AND n.{label} = 0)"
+
+
+def _corr(score: str, x: str) -> str:
+    return f"(SELECT round({_pcc(x, score)}, 3) FROM held)"
+
+
+_COMPARED = {
+    f"{value}_{short}_{kind}": make(kind, column)
+    for short, label, x in (("r", "label", "similarity"), ("s", "y_sim", "sim_score"))
+    for kind in ("weighted", "baseline")
+    for value, make, column in (("auc", _auc, label), ("pcc", _corr, x))
+}
+
+
+@query("learn_and_compare", f"""
+WITH RECURSIVE src AS (
+  SELECT id, [perplexity, entropy, lexical_similarity, output_spectral_score, spectral_score / 10] AS layer_scores, f AS similarity, CAST(f > 0.5 AS INT) AS label, sim_score
+  FROM (SELECT *, {f_measure('l', 'len(p)', 'len(r)')} AS f FROM (SELECT *, {lcs('p', 'r')} AS l
+        FROM (SELECT *, 0.8::DOUBLE + lexical_similarity * 0.2 AS sim_score, {tokens('prediction')} AS p, {tokens('answer')} AS r FROM ({V.RECORDS}))))),
+{split_ctes('SELECT * FROM src')}, {logistic_ctes(_TRAIN, 5, 1.0, 0.5)},
+held AS (SELECT list_dot_product(layer_scores, w) AS weighted, list_avg(layer_scores) AS baseline, similarity, label, sim_score, CAST(sim_score > 0.9 AS INT) AS y_sim
+         FROM parted, fit WHERE split = 'test')
+SELECT 'm7' AS model_name, 'squad' AS dataset_name, {", ".join(f"{sql} AS {name}" for name, sql in _COMPARED.items())}""")
 def _learn(spark, sf):
-    """Fit on labelled records and compare on held-out ones; iterative, so no SQL twin."""
+    """Fit on labelled records, stored, and compared on held-out ones with the stored weights."""
     base = scratch_path(spark, "learn")
-    records = V.records(spark, sf)
+    records = V.records(spark, sf).withColumn("most_likely_generation", F.col("prediction"))
     scores = F.array(*[F.col(c) for c in ("perplexity", "entropy", "lexical_similarity", "output_spectral_score")], F.col("spectral_score") / 10)
     records = records.withColumn("layer_scores", scores)
     jobs.learn_layer_weights(spark, records, base, "m7", "squad", C=1.0, stem=False)
     test = spark.read.parquet(f"{base}/m7_squad/test")
     sims = records.select("id", (F.lit(0.8) + F.col("lexical_similarity") * 0.2).alias("sim_score"))
-    return jobs.compare_scores(spark, test, sims, base, "m7", "squad")
+    out = jobs.compare_scores(spark, test, sims, base, "m7", "squad")
+    names = [F.col(c).cast("string").alias(c) for c in ("model_name", "dataset_name")]
+    return out.select(*names, *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in _COMPARED])
 
 
 @query("clean_generations", f"""

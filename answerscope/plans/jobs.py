@@ -81,8 +81,8 @@ def learn_layer_weights(
     metrics = {r["split"]: (r["accuracy"], r["auroc"], r["n"]) for r in regress.fit_metrics(model, split).collect()}
     R.save_weights(spark, f"{path}/weights", weights, model_name, dataset)
     record = R.model_record(model_name, dataset, penalty, C, l1_ratio, metrics, len(weights))
-    R.append_registry(spark.createDataFrame([record]), f"{base.rstrip('/')}/models")
-    return spark.createDataFrame([(s, *map(float, m[:2]), int(m[2])) for s, m in metrics.items()], "split string, accuracy double, auroc double, n bigint")
+    R.append_registry(spark.createDataFrame([record], R.MODEL_SCHEMA), f"{base.rstrip('/')}/models")
+    return spark.createDataFrame([(s, *m) for s, m in metrics.items()], "split string, accuracy double, auroc double, n bigint")
 
 
 def compare_scores(

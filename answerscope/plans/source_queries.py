@@ -16,8 +16,9 @@ from answerscope.operators import regress as I
 from answerscope.operators.sampling import stratified_split
 from answerscope.plans import jobs
 from answerscope.plans import views as V
-from answerscope.plans.evaluation_queries import WEIGHTS
+from answerscope.plans.evaluation_queries import _TRAIN, SPLIT, WEIGHTS, metrics_ctes
 from answerscope.plans.registry import query, r6
+from answerscope.plans.sql import logistic_ctes
 from answerscope.session import scratch_path, stored
 from answerscope.sources import questions as Q
 from answerscope.sources import results as R
@@ -244,17 +245,29 @@ def _weights(spark, sf):
     return R.read_weights_json(spark, written).select("dataset_name", "layer", r6(F.col("weight")).alias("weight"))
 
 
-@query("model_registry")
+def _registered(name: str, penalty: str) -> str:
+    of = lambda split, col: f"max(CASE WHEN split = '{split}' THEN {col} END)"
+    return f"""SELECT 'm7' AS model_name, 'coqa' AS dataset_name, '{penalty}' AS penalty, 10.0::DOUBLE AS "C", 0.5::DOUBLE AS l1_ratio,
+  round({of('train', 'accuracy')}, 6) AS train_acc, round({of('train', 'auroc')}, 3) AS train_auc, round({of('test', 'accuracy')}, 6) AS test_acc,
+  round({of('test', 'auroc')}, 3) AS test_auc, 64::BIGINT AS num_features, CAST({of('train', 'n')} AS BIGINT) AS num_train, CAST({of('test', 'n')} AS BIGINT) AS num_test FROM {name}"""
+
+
+@query("model_registry", f"""
+WITH RECURSIVE {SPLIT}, {logistic_ctes(_TRAIN, 64, 10.0, 0.0, 'ridge')}, {logistic_ctes(_TRAIN, 64, 10.0, 0.5, 'net')},
+{metrics_ctes('ridge', 'rm')}, {metrics_ctes('net', 'nm')}
+{_registered('rm', 'l2')} UNION ALL {_registered('nm', 'elasticnet')}""")
 def _model_registry(spark, sf):
-    """One row per fitted run; the fit is iterative, so there is no SQL twin."""
+    """One row per fitted run."""
     path = scratch_path(spark, "models")
     df = stratified_split(V.layer_features(spark, sf), "label", 0.2, 42)
     for penalty in ("l2", "elasticnet"):
         model = I.fit_layer_weights(df.filter("split = 'train'"), penalty, C=10.0)
         metrics = {r["split"]: (r["accuracy"], r["auroc"], r["n"]) for r in I.fit_metrics(model, df).collect()}
         record = R.model_record("m7", "coqa", penalty, 10.0, 0.5, metrics, len(I.weights_of(model)))
-        R.append_registry(spark.createDataFrame([record]), path)
-    return R.read_registry(spark, path, dataset_name="coqa")
+        R.append_registry(spark.createDataFrame([record], R.MODEL_SCHEMA), path)
+    out = R.read_registry(spark, path, dataset_name="coqa")
+    names = {c: F.col(c).cast("string") for c in ("model_name", "dataset_name")}
+    return out.withColumns(names | {c: r6(F.col(c)) for c in ("train_acc", "test_acc")} | {c: F.round(c, 3) for c in ("train_auc", "test_auc")})
 
 
 _CMP = f"""

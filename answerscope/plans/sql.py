@@ -127,3 +127,26 @@ def stemmed(source: str, keys: str, cols: list[str]) -> str:
     ]
     joined = f"(SELECT {keys} FROM {source})" + "".join(f" LEFT JOIN {p} USING ({keys})" for p in parts)
     return f"SELECT {keys}, " + ", ".join(f"coalesce({c}_s, []) AS {c}_s" for c in cols) + f" FROM {joined}"
+
+
+def logistic_ctes(train: str, features: int, C: float, l1_ratio: float, name: str = "fit", rounds: int = 3000) -> str:
+    """CTEs ending in ``{name}(w, b)``: logistic regression with an elastic net on (id, layer_scores, label).
+
+    Accelerated proximal gradient on the mean loss with penalty weight 1 / (C n); the step is 1 over
+    the bound (mean squared norm + 1) / 4 of the curvature, momentum restarts every 300 rounds.
+    """
+    soft = "sign(v) * greatest(abs(v) - step * l1, 0)"
+    return f"""
+{name}_data AS (SELECT x, y, n, list_transform(range(1, {features} + 1), lambda d: list_transform(x, lambda r: r[d])) AS xt,
+         4 / (list_avg(list_transform(x, lambda r: list_dot_product(r, r))) + 1) AS step, {l1_ratio} / ({C}::DOUBLE * n) AS l1, (1 - {l1_ratio}) / ({C}::DOUBLE * n) AS l2
+  FROM (SELECT list(layer_scores ORDER BY id) AS x, list(label::DOUBLE ORDER BY id) AS y, count(*) AS n FROM ({train}))),
+{name}_walk AS (
+  SELECT 0 AS k, list_transform(range({features}), lambda d: 0::DOUBLE) AS w, 0::DOUBLE AS b, list_transform(range({features}), lambda d: 0::DOUBLE) AS zw, 0::DOUBLE AS zb
+  UNION ALL
+  SELECT k + 1, nw, nb, list_transform(list_zip(nw, w), lambda p: p[1] + m * (p[1] - p[2])), nb + m * (nb - b)
+  FROM (SELECT k, w, b, k % 300 / (k % 300 + 3.0::DOUBLE) AS m, zb - step * list_sum(r) / n AS nb,
+               list_transform(list_transform(list_zip(zw, xt), lambda p: p[1] - step * (list_dot_product(p[2], r) / n + l2 * p[1])), lambda v: {soft}) AS nw
+        FROM (SELECT s.*, d.xt, d.n, d.step, d.l1, d.l2,
+                     list_transform(list_zip(d.x, d.y), lambda p: 1 / (1 + exp(-(list_dot_product(p[1], s.zw) + s.zb))) - p[2]) AS r
+              FROM {name}_walk s, {name}_data d WHERE s.k < {rounds}))),
+{name} AS (SELECT w, b FROM {name}_walk WHERE k = {rounds})"""

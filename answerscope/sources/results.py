@@ -173,6 +173,12 @@ def read_weights_json(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("model_name", "dataset_name", F.posexplode("weights").alias("layer", "weight"))
 
 
+MODEL_SCHEMA = (
+    "model_name string, dataset_name string, penalty string, C double, l1_ratio double, train_acc double, train_auc double, "
+    "test_acc double, test_auc double, num_features bigint, num_train bigint, num_test bigint"
+)
+
+
 def model_record(model, dataset, penalty, c, l1_ratio, metrics, num_features) -> dict:
     """One row of the model registry; ``metrics`` maps split to (accuracy, auroc, n)."""
     train, test = metrics["train"], metrics["test"]

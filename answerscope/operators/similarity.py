@@ -13,11 +13,14 @@ from answerscope.functions import overlap
 from answerscope.functions.arrays import let
 from answerscope.functions.overlap import MEASURES, pair_score, tokens_of
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
-from answerscope.operators.groups import ROWS_PER_BUCKET, pair_tiles, positions
+from answerscope.operators.groups import pair_tiles, positions
 
 # Texts per side of a comparison tile: at most 64·64 comparisons of whole texts per task step.
 TEXT_TILE = 64
 
+# Whole texts sorted by one task at most, and the characters by which the tasks are told apart.
+TEXTS_PER_BUCKET, STEERING_CHARS = 20_000, 64
+
 
 def stem_vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, stem) for the distinct tokens of a text column: one stemming per word."""
@@ -165,12 +168,16 @@ def syntactic_similarity(
 
 
 def numbered_answers(
-    df: DataFrame, sample: str, text: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, sample: str, text: str, rows_per_bucket: int = TEXTS_PER_BUCKET
 ) -> DataFrame:
-    """Distinct answers of a sample, numbered from 0 in sorted order (``ans_id``)."""
+    """Distinct answers of a sample, numbered from 0 in sorted order (``ans_id``).
+
+    Large samples are sorted in pieces of whole texts, drawn by the texts' first characters.
+    """
     distinct = df.select(sample, text).distinct()
     placed = positions(
-        distinct, [sample], [text], rows_per_bucket=rows_per_bucket, probe=df.select(sample), cut_lineage=True
+        distinct, [sample], [text], rows_per_bucket=rows_per_bucket, probe=df.select(sample),
+        steer=F.substring(text, 1, STEERING_CHARS),
     )
     return placed.withColumn("ans_id", (F.col("position") - 1).cast("int")).drop("position")
 

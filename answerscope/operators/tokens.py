@@ -29,6 +29,14 @@ def energy(scores: DataFrame, sample: str = "sample_id") -> DataFrame:
     return scores.groupBy(sample).agg((-F.avg(logsumexp(F.col("logits")))).alias("energy"))
 
 
+def greedy_scores(scores: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """``perplexity`` and ``energy`` of the greedy answer from one pass."""
+    x = F.col("logits")
+    return scores.groupBy(sample).agg(
+        (-F.avg(log_max_prob(x)) + F.lit(0.0)).alias("perplexity"), (-F.avg(logsumexp(x))).alias("energy")
+    )
+
+
 def predictive_entropy(scores: DataFrame, sample: str = "sample_id") -> DataFrame:
     """-Σ ln(max prob + 1e-6) over all positions and generations / number of generations."""
     lp = F.ln(max_prob(F.col("logits")) + F.lit(PROBABILITY_FLOOR))

@@ -172,14 +172,14 @@ def _evaluate_run(spark, sf):
 
 
 def _measures(spark, sf):
-    """Both correctness measures of every document, one row each."""
+    """Both correctness measures of every document, one row each; documents are read and scored once."""
     d = V.scored_docs(spark, sf)
     scores = V.SCORES
-    rouge = d.select(F.lit("rouge").alias("measure"), "lang", "similarity", "label", *scores)
-    cosine = d.select(
-        F.lit("cosine").alias("measure"), "lang", F.col("other_similarity").alias("similarity"), F.col("other_label").alias("label"), *scores
+    row = lambda name, similarity, label: F.struct(
+        F.lit(name).alias("measure"), F.col(similarity).alias("similarity"), F.col(label).cast("int").alias("label")
     )
-    return rouge.unionByName(cosine)
+    both = F.explode(F.array(row("rouge", "similarity", "label"), row("cosine", "other_similarity", "other_label")))
+    return d.select("lang", *scores, both.alias("m")).select("m.measure", "lang", "m.similarity", "m.label", *scores)
 
 
 _MEASURES = f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answerscope.functions.text import clean_answer
 from answerscope.operators import evaluate, pairs, prompts, regress, sampling, similarity, spectral, tokens
+from answerscope.session import stored
 from answerscope.sources import results as R
 
 SAMPLE = "sample_id"
@@ -33,14 +34,18 @@ def score_run(
     sample, whose scores are a few numbers wide. ``scope='last_batch'`` restricts entropy
     and the single-layer score to the last batch of generations.
     """
-    chosen = hidden if scope == "all" else tokens.last_batch(hidden)
-    last = spectral.pool_last_token(chosen, counts, [layer])
-    single = spectral.with_short_samples(spectral.spectral_score(last, probe=counts.select(SAMPLE)), hidden)
-    layers = spectral.layer_score_array(spectral.layer_score_rows(hidden, counts, lo, hi))
+    rows = stored(spectral.layer_score_rows(hidden, counts, lo, hi), "layer-scores")
+    if scope == "all" and lo <= layer <= hi:
+        score = rows.filter(F.col("layer") == layer).select(SAMPLE, "spectral_score")
+    else:
+        chosen = hidden if scope == "all" else tokens.last_batch(hidden)
+        last = spectral.pool_last_token(chosen, counts, [layer])
+        score = spectral.spectral_score(last, probe=counts.select(SAMPLE))
+    single = spectral.with_short_samples(score, hidden)
+    layers = spectral.layer_score_array(rows)
     output = spectral.spectral_score(answer_vectors).withColumnRenamed("spectral_score", "output_spectral_score")
     parts = [
-        tokens.perplexity(greedy_scores),
-        tokens.energy(greedy_scores),
+        tokens.greedy_scores(greedy_scores),
         tokens.length_normalized_entropy(sampled_scores, score_counts, scope=scope),
         similarity.lexical_similarity(answers, stem=stem),
         single,

@@ -148,3 +148,29 @@ def test_shared_folder_comes_from_the_session(tmp_path):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", CONFIGURED, str(folder), repo], check=True, timeout=120)
     assert any(p.is_file() for p in folder.rglob("*"))
+
+
+def test_pairs_are_not_joined_by_sample(spark, no_broadcast):
+    """A sample with a third of all answers has most of all pairs: questions and sizes come before pairing."""
+    from answerscope.operators import pairs as G
+
+    answers = spark.range(30).select(F.when(F.col("id") < 10, 0).otherwise(F.col("id")).cast("int").alias("sample_id"), F.col("id").cast("int").alias("ans_id"), F.lit("x").alias("text"))
+    questions = answers.select("sample_id").distinct().withColumn("question", F.lit("q"))
+    text = plan(G.nli_inputs(answers, questions))
+    joins = [k for k, line in enumerate(text.splitlines()) if "Join" in line]
+    generators = [k for k, line in enumerate(text.splitlines()) if "Generate" in line]
+    assert joins and min(joins) > max(generators)  # children are printed below their parents
+    logits = spark.range(4).select(F.lit(0).alias("sample_id"), (F.col("id") % 2).alias("i"), (1 - F.col("id") % 2).alias("j"), F.array(F.lit(0.0)).alias("logits"))
+    sizes = spark.createDataFrame([(0, 2)], "sample_id int, n int")
+    assert "Join" not in plan(G.similarity_tensor(logits, sizes))
+
+
+def test_a_sample_of_many_texts_is_numbered_in_pieces(spark):
+    """Texts that agree in their first characters included."""
+    texts = spark.range(600).select(
+        F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 5).alias("sample_id"),
+        F.concat(F.repeat(F.lit("same "), 20), ((F.col("id") * 7919) % 601).cast("string")).alias("text"),
+    )
+    whole = {(r["sample_id"], r["text"]): r["ans_id"] for r in D.numbered_answers(texts, "sample_id", "text").collect()}
+    cut = {(r["sample_id"], r["text"]): r["ans_id"] for r in D.numbered_answers(texts, "sample_id", "text", rows_per_bucket=40).collect()}
+    assert cut == whole

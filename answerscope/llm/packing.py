@@ -43,18 +43,22 @@ END_ID = 2
 CACHED_PIECES, CACHED_WORDS = 400_000, 800_000
 #: Fixed value: the pre-token pattern that the tokenizer's file names, for its lower-case letters.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The characters that stand for bytes in the tokenizer's vocabulary: printable Latin-1 bytes stand
+#: for themselves, the others for the characters from 256 on, in order.
+PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PLAIN_BYTES)}
 LATIN_END = "ɐ"  # below it lower case and letter classes do not depend on the context or Unicode's version
 
 
 class _Words(dict):
-    """Pre-token -> its ids as little-endian bytes."""
+    """Normalised pre-token -> its ids as little-endian bytes, from the tokenizer's merge model."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
         out = np.asarray(ids, dtype="<u4").tobytes()
         if len(self) >= CACHED_WORDS:
             self.clear()

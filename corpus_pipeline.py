@@ -7,7 +7,6 @@ the documents table, every stage's result written to the shared folder and read
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in pieces of full context windows."""
+    import public_tokenizers
+
     return packing.packed_pieces(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -35,7 +35,7 @@ SLOTS = GROUPS * IN_GROUP
 BUCKETS = 256  # slots for tokens outside the vocabulary
 BATCH, RATE = 8192, 0.1
 STRETCH = 1 << 12  # parameters averaged by one group
-CACHED = 500_000
+CACHED = 100_000
 
 
 def tokens_of(text: str) -> list[str]:
@@ -59,21 +59,26 @@ def _bucketed(batches):
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket_of(t) for t in batch.column("token").to_pylist()], pa.int32()), "n": batch.column("n")})
 
 
-class Vocabulary(dict):
-    """Token -> slot; others fall in the slot of their bucket. Known others are kept, within a bound."""
+class _Endings(dict):
+    """Last letters of a token -> bucket; there are few, and their number is bounded all the same."""
+
+    def __missing__(self, ending: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        bucket = self[ending] = bucket_of(ending)
+        return bucket
 
-    def __init__(self, words: list[str]):
-        super().__init__({w: BUCKETS + k for k, w in enumerate(words)})
-        self.words = len(self)
 
-    def __missing__(self, token: str) -> int:
-        slot = bucket_of(token)
-        if len(self) < self.words + CACHED:
-            self[token] = slot
-        return slot
+class Vocabulary:
+    """Token -> slot; tokens that are no words of the vocabulary fall in the slot of their bucket."""
+
+    def __init__(self, words: list[str]):
+        self.words = {w: BUCKETS + k for k, w in enumerate(words)}
+        self.endings = _Endings()
 
     def slots(self, text: str) -> list[int]:
-        return list(map(self.__getitem__, tokens_of(text)))
+        known, endings = self.words.get, self.endings
+        return [endings[t[-3:]] if (slot := known(t)) is None else slot for t in tokens_of(text)]
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> tuple[list[str], list[int]]:
@@ -132,8 +137,9 @@ class Network:
 
     def _by_group(self, target: np.ndarray):
         """Token numbers of each group of slots that occurs."""
-        order = np.argsort(target // IN_GROUP, kind="stable")
-        cut = np.searchsorted((target // IN_GROUP)[order], np.arange(GROUPS + 1))
+        group = (target // IN_GROUP).astype(np.uint8)  # short integers are sorted in linear time
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
         return [(g, order[cut[g] : cut[g + 1]]) for g in range(GROUPS) if cut[g] < cut[g + 1]]
 
     @staticmethod
@@ -168,7 +174,7 @@ class Network:
             dh[own] += d @ self.slot[g].T
         dh *= 1 - h * h
         out.bias[...] = dh.sum(axis=0)
-        order = np.argsort(near, axis=None, kind="stable")
+        order = np.argsort(near.astype(np.uint16), axis=None, kind="stable")
         row = near.ravel()[order]
         cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         out.embed[row[cut]] = np.add.reduceat(dh[order // near.shape[1]], cut, axis=0)

@@ -10,7 +10,8 @@ probability over that number. The network adds position-wise embeddings, applies
 predicts in two softmax steps, a group of slots and a slot in the group. It is trained in
 numpy inside Spark tasks: each task takes one pass of mini-batch gradient steps over all
 windows of its partition from a common start, and the models, weighted by their tokens, are
-averaged in Spark by stretches of parameters, so nothing but one model reaches the driver.
+averaged in Spark by stretches of parameters and in a tree of ``FAN`` branches, so no task holds
+many models and nothing but one reaches the driver.
 
 Defined cases: null or empty text has no token, score 0 and a null mean; repeated rows get equal
 scores (and weigh in training as often as they come); an empty table gives an empty result.
@@ -35,6 +36,7 @@ SLOTS = GROUPS * IN_GROUP
 BUCKETS = 256  # slots for tokens outside the vocabulary
 BATCH, RATE = 8192, 0.1
 STRETCH = 1 << 12  # parameters averaged by one group
+FAN = 256  # models averaged by one group
 CACHED = 100_000
 
 
@@ -219,11 +221,21 @@ def _trained(model):
     return run
 
 
+MODELS = "stretch int, part long, seen long, values array<float>"
+
+
 def _averaged(table: pa.Table) -> pa.Table:
+    """The mean of some models' stretch, weighted by tokens, with the number of their group."""
     table = table.sort_by("part")
-    seen = table.column("seen").to_numpy().astype(float)
-    total = sum(n * np.asarray(v.as_py(), np.float64) for n, v in zip(seen, table.column("values")))
-    return pa.table({"stretch": table.column("stretch")[:1], "values": pa.array([(total / seen.sum()).astype(np.float32)], pa.list_(pa.float32()))})
+    seen = table.column("seen").to_numpy()
+    total = sum(float(n) * np.asarray(v.as_py(), np.float64) for n, v in zip(seen, table.column("values")))
+    mean = (total / seen.sum()).astype(np.float32)
+    return pa.table(
+        {
+            "stretch": table.column("stretch")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int64()),
+            "seen": pa.array([int(seen.sum())], pa.int64()), "values": pa.array([mean], pa.list_(pa.float32())),
+        }
+    )
 
 
 def train(docs: DataFrame, words: list[str], text: str = "text", rounds: int = 1) -> np.ndarray:
@@ -232,8 +244,10 @@ def train(docs: DataFrame, words: list[str], text: str = "text", rounds: int = 1
     flat = Network().flat
     for _ in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((words, flat))  # of fixed size
-        models = rows.mapInArrow(_trained(sent), "stretch int, part long, seen long, values array<float>")
-        mean = models.groupBy("stretch").applyInArrow(_averaged, "stretch int, values array<float>").toArrow().sort_by("stretch")
+        models = rows.mapInArrow(_trained(sent), MODELS)
+        for _ in range(2):  # a task averages FAN models at most, whatever the number of partitions
+            models = models.groupBy("stretch", F.floor(F.col("part") / FAN)).applyInArrow(_averaged, MODELS)
+        mean = models.groupBy("stretch").applyInArrow(_averaged, MODELS).toArrow().sort_by("stretch")
         if mean.num_rows:
             flat = np.concatenate([np.asarray(v.as_py(), np.float32) for v in mean.column("values")])
     return flat

@@ -181,11 +181,15 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str = "lang") -> DataFrame:
-    """The rows that pass, all columns as they were; texts are measured where they are read."""
+    """The rows that pass, all columns as they were.
+
+    Texts are measured where they are read, once for the holdout and once for the verdict: only
+    ids and scores are joined with the labels, and no text is shuffled.
+    """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(doc_id).cast("long").alias("id"), stratum(by).alias("stratum"), plain_text(text).alias("text"),
     )
-    marked = rows.drop("row").withColumn("th", F.xxhash64("text")).join(labels.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_semi")
-    cutoffs = certify(holdout(stored(measured(marked), "holdout"), labels))
+    scores = measured(rows.drop("row").withColumn("th", F.xxhash64("text"))).select("id", "stratum", "th", "score")
+    cutoffs = certify(holdout(stored(scores, "holdout"), labels))
     return measured(rows).filter(kept(cutoffs)).select("row.*")

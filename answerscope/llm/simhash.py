@@ -64,7 +64,8 @@ def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
             prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "fp": pa.array(prints, pa.int64())})
+            kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            yield pa.RecordBatch.from_pydict(kept | {"fp": pa.array(prints, pa.int64())})
 
     return run
 
@@ -225,21 +226,37 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE, limit: int =
     return out.repartition("trie").mapInArrow(_links(distance), "a long, b long")
 
 
+def _named(first: DataFrame, distance: int, limit: int) -> DataFrame:
+    """The distinct fingerprints with ``component``, the smallest fingerprint each reaches."""
+    parts = components(fingerprint_links(first, distance, limit)).withColumnRenamed("node", "fp")
+    return first.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = TRIE_LIMIT
 ) -> DataFrame:
     """(id, fp, component) of every row: its fingerprint and the smallest id it reaches."""
     rows = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    parts = components(fingerprint_links(first, distance, limit)).withColumnRenamed("node", "fp")
-    named = first.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _named(first, distance, limit)
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     found = named.join(least, "component").select("fp", F.col("least").alias("component"))
     return rows.join(found, "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest id, all columns as they were."""
-    best = near_duplicates(docs, doc_id, text, shingle, distance).select(F.col("component").alias("id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("id"))
-    return rows.join(best, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, limit: int = TRIE_LIMIT
+) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id, all columns as they were.
+
+    Ids name no row: null ids and repeated ones hold different texts. A row is known by its id
+    and its text's hash, which have one group; of equal ids in a group the smallest hash stays.
+    """
+    marked = docs.select(id_key(doc_id).alias("id"), plain_text(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+    prints = marked.mapInArrow(_fingerprints(shingle), "id long, mark long, fp long")
+    first = stored(prints.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")), "distinct")
+    best = _named(first, distance, limit).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("id"), F.xxhash64(plain_text(text)).alias("mark")
+    )
+    return rows.join(best, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).select("row.*")

@@ -204,6 +204,43 @@ def test_one_of_each(odd, empty):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [-8, 1, 4, 5, 7, 9, 10]
 
 
+def test_one_of_each_where_ids_are_null_or_repeat(spark):
+    """Ids that several texts share: each group keeps one row, and no group is lost."""
+    alone = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(30)]
+    rows = [(None, t) for t in alone[:10]] + [(None, t) for t in alone[:3]] + [(7, t) for t in alone[10:20]]
+    rows += [(3, alone[20]), (7, alone[20]), (None, alone[20]), (4, alone[21]), (4, alone[21]), (None, alone[10]), (8, alone[0]), (None, None), (None, "")]
+    groups = defaultdict(set)
+    for i, t in rows:  # the texts are equal or far apart
+        mark = xxhash.xxh64_intdigest(t or "", 42)
+        groups[brute_fingerprint(t)].add((math.inf if i is None else i, mark - (1 << 64) if mark >> 63 else mark, i, t or ""))
+    want = sorted([min(g)[2:] for g in groups.values()], key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for table in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+        assert sorted([(r["doc_id"], r["text"] or "") for r in simhash.one_of_each(table).collect()], key=str) == want
+
+
+def test_one_of_each_by_brute_force(spark):
+    """Near copies too, with few ids for many texts."""
+    rng = np.random.default_rng(3)
+    base = [[f"t{k}w{i}" for i in range(300)] for k in range(25)]
+    rows = []
+    for _ in range(120):
+        words = list(base[rng.integers(25)])
+        for _ in range(rng.integers(3)):
+            words[rng.integers(300)] = "x"
+        i = int(rng.integers(6))
+        rows.append((i or None, " ".join(words)))
+    prints = sorted({brute_fingerprint(t) for _, t in rows})
+    number = {p: c for (_, p, c) in brute_components(list(enumerate(prints)))}
+    groups = defaultdict(set)
+    for i, t in rows:
+        mark = xxhash.xxh64_intdigest(t, 42)
+        groups[number[brute_fingerprint(t)]].add((math.inf if i is None else i, mark - (1 << 64) if mark >> 63 else mark, i, t))
+    assert 25 <= len(groups) < len(set(t for _, t in rows))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([min(g)[2:] for g in groups.values()], key=str)
+
+
 # mixing
 
 

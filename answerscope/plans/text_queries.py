@@ -292,15 +292,27 @@ def _rating_sql(name: str) -> str:
     return _quote(C.rating_block(name))
 
 
+def _rated(spark, sf):
+    """Records with the question set that picks the examples."""
+    names = F.array(F.lit("coqa"), F.lit("triviaqa"), F.lit("nq_open"))
+    return V.records(spark, sf).withColumn("dataset", F.get(names, (F.col("conv_id") % 3).cast("int")))
+
+
 @query("rating_prompt", f"""
 SELECT id, CASE conv_id % 3 WHEN 0 THEN {_rating_sql('coqa')} WHEN 1 THEN {_rating_sql('triviaqa')} ELSE {_rating_sql('nq_open')} END
   || chr(10) || 'Question: ' || question || chr(10) || 'Reference: ' || answer || chr(10) || 'Answer: ' || regexp_replace(regexp_replace(generations[2], '^\\s+', ''), '\\s+$', '') || chr(10) || 'Rating:' AS prompt
 FROM ({V.RECORDS})""")
 def _rating(spark, sf):
-    r = V.records(spark, sf)
-    names = F.array(F.lit("coqa"), F.lit("triviaqa"), F.lit("nq_open"))
-    kind = F.get(names, (F.col("conv_id") % 3).cast("int"))
-    return C.rating_prompts(r.withColumn("dataset", kind), 1)
+    return C.rating_prompts(_rated(spark, sf), 1)
+
+
+@query("rating_prompts", f"""
+WITH g AS (SELECT id, conv_id, question, answer, unnest(generations) AS g, CAST(generate_subscripts(generations, 1) - 1 AS INT) AS gen_id FROM ({V.RECORDS}))
+SELECT id, gen_id, CASE conv_id % 3 WHEN 0 THEN {_rating_sql('coqa')} WHEN 1 THEN {_rating_sql('triviaqa')} ELSE {_rating_sql('nq_open')} END
+  || chr(10) || 'Question: ' || question || chr(10) || 'Reference: ' || answer || chr(10) || 'Answer: ' || regexp_replace(regexp_replace(g, '^\\s+', ''), '\\s+$', '') || chr(10) || 'Rating:' AS prompt
+FROM g""")
+def _ratings(spark, sf):
+    return C.rating_prompts(_rated(spark, sf))
 
 
 @query("parse_rating", """

@@ -49,3 +49,33 @@ def id_back(name: str = "id") -> Column:
 
 def plain_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def segments(raw: bytes, size: int = 1 << 20):
+    """``raw`` in pieces of about ``size`` bytes, cut at spaces only."""
+    at = 0
+    while len(raw) - at > size:
+        cut = raw.rfind(b" ", at, at + size)
+        cut = cut if cut >= 0 else raw.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield raw[at:cut]
+        at = cut + 1
+    yield raw[at:]
+
+
+def slices(batches, text: str, size: int = 8 << 20):
+    """The rows of Arrow batches in slices of about ``size`` bytes of the column ``text``.
+
+    Spark sends batches of up to 64 MB; what a task makes of one at a time stays a fraction of it.
+    """
+    for batch in batches:
+        column = batch.column(text)
+        if column.nbytes <= size:
+            if batch.num_rows:
+                yield batch
+            continue
+        rows, at = max(1, batch.num_rows * size // column.nbytes), 0
+        while at < batch.num_rows:
+            yield batch.slice(at, rows)
+            at += rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from answerscope.llm import queries_a, queries_b, queries_c  # noqa: F401
+from answerscope.llm import queries_a, queries_b, queries_c, queries_d  # noqa: F401
 from answerscope.llm.common import ORACLES, QUERIES, query
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -7,18 +7,20 @@ Method, level-wise doubling: short windows first, and only those that repeat are
 twice their length. Lengths come from halving ``window`` (13: 4, 7, 13). Level one looks at seeds,
 the windows of 4 words whose hash is the (leftmost) smallest among all those inside some window
 of full length: equal windows have equal seeds at equal places, and two documents that share a
-window share its seed. A seed found in two documents grows to 7 words, forwards and backwards; a
-full window is looked at only if its seed and every grown seed inside it still repeat. The
-levels end when no candidate survives or the full length is reached, where what
-repeats is told from first occurrences exactly.
+window share its seed. Neighbouring full windows with one seed form its stretch. A seed in one
+document alone ends there. If all stretches of a seed are equal, they repeat or not as a whole and
+are decided as one. Otherwise the seed grows to 7 words, forwards and backwards, and a full window is
+looked at only if its seed and every grown seed inside it still repeat. The levels end when no candidate
+survives or the full length is reached, where what repeats is told from first occurrences exactly.
 
 Scale: a level is one read of the texts and one sum by hash with map-side combine (smallest and
 largest id); about one word in five is a seed, later levels hold candidates only. The
-hashes that repeat go back to the tasks as a bitmap of bounded size, whose mistakes only let
-candidates through to the next level. Full windows (128-bit hashes) are range-partitioned and sorted by (hash,
-document, position), so a passage of a third of all documents spreads over many ranges; one pass
-over each streams first occurrences, and the others come back as compressed bitmaps for 4,096 positions
-each. Texts are shuffled once, against these bitmaps. Documents of any length are read in slices that overlap by a window.
+hashes that repeat go back to the tasks as bitmaps of bounded size, whose mistakes only let
+candidates through to the next level. Full windows and stretches (128-bit hashes) are range-partitioned and
+sorted by (hash, document, position), so a passage of a third of all documents spreads over many
+ranges; one pass over each streams first occurrences, and the others come back as compressed bitmaps for
+4,096 positions each. Texts are shuffled once, against these bitmaps. Documents of any length are
+read in slices that overlap by a window.
 
 Defined cases: null or empty text has no words; null ids are one document after all others;
 rows that repeat an id belong to one document and lose what it loses, each row by its own text;
@@ -35,9 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.llm.bitmaps import bitmap
+from answerscope.llm.bitmaps import bitmap, bitmaps
 from answerscope.llm.common import id_key, plain_text, segments, slices, stored
-from answerscope.llm.line_dedup import DROPPED, HEAD, OPEN, _stream
 
 WINDOW, SEED = 13, 4
 SLICE = 1 << 18  # words hashed at a time
@@ -130,62 +131,131 @@ def _side_by_side(held, owners, bases, batch):
     return np.concatenate(held), each(owners), place, each(ends), batch
 
 
-def _candidates(words, ends, window: int, filters):
-    """(start, seed, offset) of the windows whose seed and grown seeds all may repeat."""
-    sizes = lengths(window)
+def _seeds(words, ends, window: int):
+    """(start, seed) of all full windows, and the hashes of the seeds' length."""
+    size = lengths(window)[0]
     start = np.flatnonzero(np.arange(len(words)) + window <= ends)
-    seeds = window_hashes(words, sizes[0])
-    among = np.lib.stride_tricks.sliding_window_view(seeds, window - sizes[0] + 1)
-    offset = among.argmin(axis=1)[start]
-    seed = start + offset
-    if filters:
-        may = filters[0].has(seeds)[seed]
-        start, offset, seed = start[may], offset[may], seed[may]
-    for size, known in zip(sizes[1:], filters[1:]):
+    seeds = window_hashes(words, size)
+    among = np.lib.stride_tricks.sliding_window_view(seeds, window - size + 1)
+    return start, start + among.argmin(axis=1)[start], seeds
+
+
+def _candidates(words, start, seed, window: int, filters):
+    """(start, seed) of the windows whose grown seeds all may repeat."""
+    sizes = lengths(window)
+    for size, known in zip(sizes[1:], filters):
         grown = known.has(window_hashes(words, size))
         back = np.maximum(seed + sizes[0] - size, 0)
-        may = grown[np.minimum(seed, len(grown) - 1)] | (offset > window - size)
-        may &= grown[np.minimum(back, len(grown) - 1)] | (offset < size - sizes[0])
-        start, offset, seed = start[may], offset[may], seed[may]
-    return start, seed, offset
+        may = grown[np.minimum(seed, len(grown) - 1)] | (seed - start > window - size)
+        may &= grown[np.minimum(back, len(grown) - 1)] | (seed - start < size - sizes[0])
+        start, seed = start[may], seed[may]
+    return start, seed
 
 
-def _level(window: int, filters):
-    """The hashes of one level's candidates: (h, id), each once for a row at most a slice."""
+def _stretches(start, seed):
+    """(first start, last start, seed) of the runs of windows with one seed."""
+    head = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1]))) if len(seed) else np.empty(0, int)
+    last = np.append(head[1:], len(seed)) - 1 if len(seed) else head
+    return start[head], start[last], seed[head]
+
+
+def _stretch_hash(words, first, last, window: int, half: int) -> np.ndarray:
+    whole = window_hashes(words, window, half)
+    return _both(_both(whole[first], whole[last], half), (last - first).astype(np.uint64), half)
+
+
+def _first_level(window: int):
+    """The seeds: (h, id, stretch), a row for each stretch."""
 
     def run(batches):
-        told = [f.value for f in filters]
-        sizes = lengths(window)
-        size = sizes[len(told)]
         for words, row, _, ends, batch in _chunks(batches, window):
-            start, seed, offset = _candidates(words, ends, window, told)
-            if told:
-                seed = np.concatenate((seed[offset <= window - size], (seed + sizes[0] - size)[offset >= size - sizes[0]]))
-            seed = np.unique(seed)
+            start, seed, hashes = _seeds(words, ends, window)
+            first, last, seed = _stretches(start, seed)
+            stretch = _both(_stretch_hash(words, first, last, window, 0), (seed - first).astype(np.uint64))
             ids = batch.column("id").to_numpy()[row[seed]]
-            yield pa.RecordBatch.from_pydict({"h": window_hashes(words, size)[seed].view(np.int64), "id": ids})
+            yield pa.RecordBatch.from_pydict({"h": hashes[seed].view(np.int64), "id": ids, "stretch": stretch.view(np.int64)})
 
     return run
 
 
-def _windows(window: int, filters):
-    """The full windows that may repeat: (h1, h2, id, pos, th)."""
+def _level(window: int, mixed, filters):
+    """The hashes of one level's candidates: (h, id), each once for a row at most a slice."""
+
+    def run(batches):
+        sizes, told = lengths(window), [f.value for f in filters]
+        size = sizes[len(told) + 1]
+        for words, row, _, ends, batch in _chunks(batches, window):
+            start, seed, hashes = _seeds(words, ends, window)
+            use = mixed.value.has(hashes)[seed]
+            start, seed = _candidates(words, start[use], seed[use], window, told)
+            offset = seed - start
+            at = np.unique(np.concatenate((seed[offset <= window - size], (seed + sizes[0] - size)[offset >= size - sizes[0]])))
+            ids = batch.column("id").to_numpy()[row[at]]
+            yield pa.RecordBatch.from_pydict({"h": window_hashes(words, size)[at].view(np.int64), "id": ids})
+
+    return run
+
+
+def _windows(window: int, same, mixed, filters):
+    """What may repeat: (h1, h2, id, pos, more, th), a full window and the ``more`` windows after it."""
 
     def run(batches):
         told = [f.value for f in filters]
         for words, row, place, ends, batch in _chunks(batches, window):
-            start, _, _ = _candidates(words, ends, window, told)
-            of = row[start]
+            start, seed, hashes = _seeds(words, ends, window)
+            use = mixed.value.has(hashes)[seed] if mixed else np.ones(len(seed), bool)
+            single, _ = _candidates(words, start[use], seed[use], window, told)
+            first, last, seed = _stretches(start[~use], seed[~use])
+            use = same.value.has(hashes)[seed] if same else np.zeros(len(seed), bool)
+            first, last = first[use], last[use]
+            both = np.concatenate((single, first))
+            whole = [np.concatenate((window_hashes(words, window, half)[single], _stretch_hash(words, first, last, window, half))).view(np.int64) for half in (0, 1)]
+            more = np.concatenate((np.zeros(len(single), np.int32), (last - first).astype(np.int32)))
+            of = row[both]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h1": window_hashes(words, window)[start].view(np.int64), "h2": window_hashes(words, window, 1)[start].view(np.int64),
-                    "id": batch.column("id").to_numpy()[of], "pos": place[start].astype(np.int32), "th": batch.column("th").to_numpy()[of],
+                    "h1": whole[0], "h2": whole[1], "id": batch.column("id").to_numpy()[of], "pos": place[both].astype(np.int32),
+                    "more": more, "th": batch.column("th").to_numpy()[of],
                 }
             )
 
     return run
 
 
+AGAIN, OPEN, HEAD = 0, 1, 2
+STREAMED = "kind int, h1 long, h2 long, id long, pos int, more int, th long"
+
+
+def _firsts(batches):
+    """One sorted range: AGAIN rows, whose hash an earlier document of the range holds; OPEN rows, those of the
+    first hash, which may have begun before the range; HEAD, the smallest id of the first and the last hash."""
+    last, holder, opened = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        h1, h2, ids = cols["h1"], cols["h2"], cols["id"]
+        new = np.concatenate(([last != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        head = np.flatnonzero(new)
+        run = np.cumsum(new)  # 0: goes on from the batch before
+        holders = np.concatenate(([holder], ids[head]))[run]
+        if opened is None:
+            opened = (h1[0], h2[0])
+            yield _head_row(*opened, ids[0])
+        open_ = (h1 == opened[0]) & (h2 == opened[1])
+        told = open_ | (ids != holders)
+        kind = np.where(open_, OPEN, AGAIN).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"kind": kind[told]} | {c: v[told] for c, v in cols.items()})
+        last, holder = (h1[-1], h2[-1]), holders[-1]
+    if last is not None and last != opened:
+        yield _head_row(*last, holder)
+
+
+def _head_row(h1, h2, holder) -> pa.RecordBatch:
+    row = {"kind": HEAD, "h1": int(h1), "h2": int(h2), "id": int(holder), "pos": 0, "more": 0, "th": 0}
+    return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("kind", "pos", "more") else pa.int64()) for k, v in row.items()})
+
+
 def _repeated(batches):
     """One bitmap for each 4,096 positions: (id, th, block, starts)."""
     for batch in batches:
@@ -206,24 +276,28 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = docs.select(id_key(doc_id).alias("id"), plain_text(text).alias("text"))
     sc = docs.sparkSession.sparkContext
+    same = mixed = None
     filters = []
-    for _ in lengths(window)[:-1]:
-        ends = rows.mapInArrow(_level(window, filters), "h long, id long").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        again = stored(ends.filter("a < b").select("h"), "repeated")
-        found = bitmap(again, F.col("h"))
-        filters = [*filters, sc.broadcast(found)]
-        if not found.words.any():  # no candidate survives
-            break
-    windows = rows.withColumn("th", F.xxhash64("text")).mapInArrow(_windows(window, filters), "h1 long, h2 long, id long, pos int, th long")
+    if len(lengths(window)) > 1:
+        ends = rows.mapInArrow(_first_level(window), "h long, id long, stretch long").groupBy("h").agg(
+            F.min("id").alias("a"), F.max("id").alias("b"), F.min("stretch").alias("c"), F.max("stretch").alias("d")
+        )
+        again = stored(ends.filter("a < b").select("h", (F.col("c") < F.col("d")).cast("int").alias("mixed")), "repeated")
+        same, mixed = (sc.broadcast(x) for x in bitmaps(again, F.col("h"), F.col("mixed"), 2))
+        for _ in lengths(window)[1:-1]:
+            ends = rows.mapInArrow(_level(window, mixed, filters), "h long, id long").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+            found = bitmap(stored(ends.filter("a < b").select("h"), "repeated"), F.col("h"))
+            filters = [*filters, sc.broadcast(found)]
+            if not found.words.any():  # no candidate survives
+                break
+    hashed = rows.withColumn("th", F.xxhash64("text"))
+    windows = stored(hashed.mapInArrow(_windows(window, same, mixed, filters), "h1 long, h2 long, id long, pos int, more int, th long"), "windows")
     order = ["h1", "h2", "id", "pos"]
-    told = stored(
-        stored(windows, "windows").repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_stream, "kind int, h1 long, h2 long, id long, pos int, th long"),
-        "repeats",
-    )
+    told = stored(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_firsts, STREAMED), "repeats")
     heads = told.filter(F.col("kind") == HEAD).groupBy("h1", "h2").agg(F.min("id").alias("holder"))  # two for each range at most
     late = told.filter(F.col("kind") == OPEN).join(F.broadcast(heads), ["h1", "h2"]).filter("id > holder")
-    starts = told.filter(F.col("kind") == DROPPED).select("id", "th", "pos").unionByName(late.select("id", "th", "pos"))
+    found = told.filter(F.col("kind") == AGAIN).select("id", "th", "pos", "more").unionByName(late.select("id", "th", "pos", "more"))
+    starts = found.select("id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("more"))).alias("pos"))
     block, place = F.shiftright("pos", 12).alias("block"), F.col("pos").bitwiseAND(PLACES - 1)
     blocks = starts.groupBy("id", "th", block).agg(F.collect_set(place).alias("places"))
     maps = blocks.mapInArrow(_repeated, "id long, th long, block int, starts binary")

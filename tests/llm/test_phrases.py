@@ -166,12 +166,16 @@ def test_slices_of_long_texts_change_nothing(monkeypatch):
     def rows(fn):
         return sorted({tuple(r.values()) for b in fn([batch]) for r in b.to_pylist()})
 
-    run = lambda: (rows(passages._windows(13, [])), rows(passages._level(13, [])))
-    windows, seeds = run()
-    assert len(windows) == 2988 + 1 + 688 and 0.15 < len(seeds) / 3700 < 0.25
+    everything = SimpleNamespace(value=bitmaps.Bitmap(np.full(1024, 2**64 - 1, np.uint64)))
+    run = lambda: (rows(passages._windows(13, None, None, [])), rows(passages._level(13, everything, [])))
+    windows, grown = run()
+    seeds = rows(passages._first_level(13))
+    stretches = rows(passages._windows(13, everything, SimpleNamespace(value=bitmaps.Bitmap(np.zeros(1024, np.uint64))), []))
+    assert len(windows) == 2988 + 1 + 688 and 0.15 < len(seeds) / 3700 < 0.25 and len(grown) < 2 * len(seeds)
+    assert len(stretches) == len(seeds) and sum(r[4] + 1 for r in stretches) == len(windows)
     monkeypatch.setattr(passages, "SLICE", 100)
     monkeypatch.setattr(passages, "segments", lambda raw: segments(raw, 90))
-    assert run() == (windows, seeds)
+    assert run() == (windows, grown)
 
 
 def test_levels_leave_few_candidates(spark):

@@ -45,7 +45,7 @@ from answerscope.llm.common import plain_text, segments, slices, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
-CHUNK = 2_000_000  # words counted at a time
+CHUNK = 1_000_000  # words counted at a time
 DISTINCT = 500_000  # words held by a task's first count
 SHARDS = 256  # of a language, when its best are found
 
@@ -122,7 +122,7 @@ def _grams(ids: np.ndarray, first: int, stop: int, names: list[bytes], lang: str
         at, key = at[use], gram[use] * size + following[use]
         if not len(at):
             return
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key = at[order], key[order]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.diff(np.append(head, len(key)))

@@ -251,6 +251,20 @@ def _firsts(batches):
         yield _head_row(*last, holder)
 
 
+def _settled(holders: dict):
+    """The rows whose hash an earlier document holds: OPEN ones ask for the smallest id of all ranges."""
+
+    def run(batches):
+        for batch in batches:
+            kind, h1, h2, ids = (batch.column(c).to_numpy() for c in ("kind", "h1", "h2", "id"))
+            told = np.ones(len(ids), bool)
+            at = np.flatnonzero(kind == OPEN)
+            told[at] = ids[at] > np.array([holders[key] for key in zip(h1[at].tolist(), h2[at].tolist())], np.int64)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(told)) for c in ("id", "th", "pos", "more")})
+
+    return run
+
+
 def _head_row(h1, h2, holder) -> pa.RecordBatch:
     row = {"kind": HEAD, "h1": int(h1), "h2": int(h2), "id": int(holder), "pos": 0, "more": 0, "th": 0}
     return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("kind", "pos", "more") else pa.int64()) for k, v in row.items()})
@@ -294,9 +308,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     windows = stored(hashed.mapInArrow(_windows(window, same, mixed, filters), "h1 long, h2 long, id long, pos int, more int, th long"), "windows")
     order = ["h1", "h2", "id", "pos"]
     told = stored(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_firsts, STREAMED), "repeats")
-    heads = told.filter(F.col("kind") == HEAD).groupBy("h1", "h2").agg(F.min("id").alias("holder"))  # two for each range at most
-    late = told.filter(F.col("kind") == OPEN).join(F.broadcast(heads), ["h1", "h2"]).filter("id > holder")
-    found = told.filter(F.col("kind") == AGAIN).select("id", "th", "pos", "more").unionByName(late.select("id", "th", "pos", "more"))
+    heads = told.filter(F.col("kind") == HEAD).groupBy("h1", "h2").agg(F.min("id").alias("holder")).collect()  # two for each range at most
+    holders = {(r["h1"], r["h2"]): r["holder"] for r in heads}
+    found = told.filter(F.col("kind") != HEAD).mapInArrow(_settled(holders), "id long, th long, pos int, more int")
     starts = found.select("id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("more"))).alias("pos"))
     block, place = F.shiftright("pos", 12).alias("block"), F.col("pos").bitwiseAND(PLACES - 1)
     blocks = starts.groupBy("id", "th", block).agg(F.collect_set(place).alias("places"))

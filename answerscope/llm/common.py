@@ -64,13 +64,13 @@ def segments(raw: bytes, size: int = 1 << 20):
     yield raw[at:]
 
 
-def slices(batches, text: str, size: int = 8 << 20):
-    """The rows of Arrow batches in slices of about ``size`` bytes of the column ``text``.
+def slices(batches, text: str | None = None, size: int = 8 << 20):
+    """The rows of Arrow batches in slices of about ``size`` bytes of the column ``text`` (none: of all).
 
     Spark sends batches of up to 64 MB; what a task makes of one at a time stays a fraction of it.
     """
     for batch in batches:
-        column = batch.column(text)
+        column = batch if text is None else batch.column(text)
         if column.nbytes <= size:
             if batch.num_rows:
                 yield batch
@@ -79,3 +79,9 @@ def slices(batches, text: str, size: int = 8 << 20):
         while at < batch.num_rows:
             yield batch.slice(at, rows)
             at += rows
+
+
+def texts_in(batch, inside: int | None) -> list[str]:
+    """The texts of a batch: its column ``text``, or that field of its column ``row``; null is empty."""
+    column = batch.column("text") if inside is None else batch.column("row").field(inside)
+    return [t or "" for t in column.to_pylist()]

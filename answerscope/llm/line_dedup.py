@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import id_back, id_key, plain_text, stored
+from answerscope.llm.common import id_key, plain_text, slices, stored, texts_in
 
 BLANK = b" \t\n\v\f\r"
 
@@ -38,7 +38,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 def _hashed(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, texts, hashes = batch.column("id").to_numpy(), batch.column("th").to_numpy(), []
             rows, places = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
@@ -135,29 +135,33 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return places.mapInArrow(_bitmaps, "id long, th long, keep binary")
 
 
-def _kept(batches):
-    for batch in batches:
-        texts, lines, lost = [], [], []
-        for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
-            parts = text.split("\n")
-            left = parts
-            if bitmap is not None:
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), "u1")).tolist()
-                left = [p for p, b in zip(parts, bits) if b] + parts[len(bits) :]
-            texts.append("\n".join(left))
-            lines.append(len(parts))
-            lost.append(len(parts) - len(left))
-        yield pa.RecordBatch.from_pydict(
-            {"row": batch.column("row"), "kept": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(lost, pa.int64())}
-        )
+def _kept(inside: int):
+    def run(batches):
+        for batch in slices(batches):
+            texts, lines, lost = [], [], []
+            for text, bitmap in zip(texts_in(batch, inside), batch.column("keep").to_pylist()):
+                parts = text.split("\n")
+                left = parts
+                if bitmap is not None:
+                    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), "u1")).tolist()
+                    left = [p for p, b in zip(parts, bits) if b] + parts[len(bits) :]
+                texts.append("\n".join(left))
+                lines.append(len(parts))
+                lost.append(len(parts) - len(left))
+            yield pa.RecordBatch.from_pydict(
+                {"row": batch.column("row"), "kept": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(lost, pa.int64())}
+            )
+
+    return run
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """(row, kept, n_lines, n_dropped) for every input row; ``row`` is a struct of its columns."""
     maps = keep_bitmaps(docs, doc_id, text, min_chars)
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("id"), plain_text(text).alias("text")
-    ).withColumn("th", F.xxhash64("text"))
-    joined = whole.join(maps, ["id", "th"], "left").select("row", "text", "keep")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("id"), F.xxhash64(plain_text(text)).alias("th")
+    )
+    # bitmaps are the small side of every partition: rows with their texts, held once, need no sort
+    joined = whole.join(maps.hint("shuffle_hash"), ["id", "th"], "left").select("row", "keep")
     schema = joined.select("row").schema.add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
-    return joined.mapInArrow(_kept, schema)
+    return joined.mapInArrow(_kept(docs.columns.index(text)), schema)

@@ -165,7 +165,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         id_key(doc_id).alias("id"), source_key(source).alias("sk"), size_of(text).alias("size"),
     )
-    chosen = rows.join(taken, ["id", "sk", "size"])
+    chosen = rows.join(taken.hint("shuffle_hash"), ["id", "sk", "size"])  # texts need no sort
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import plain_text, stored
+from answerscope.llm.common import plain_text, slices, stored, texts_in
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -67,21 +67,23 @@ def measure(text: str) -> tuple[int, int, int, int, int, float]:
     return n, chars, symbols, dup, repeated, max(values[k] / unit for k, unit in UNITS.items())
 
 
-def _measured(batches):
-    for batch in batches:
-        found = [measure(t) for t in batch.column("text").to_pylist()]
-        columns = list(zip(*found)) if found else [()] * 6
-        out = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-        out |= {c: pa.array(v, pa.int64()) for c, v in zip(COUNTS, columns)}
-        yield pa.RecordBatch.from_pydict(out | {"score": pa.array(columns[5], pa.float64())})
+def _measured(inside: int | None):
+    def run(batches):
+        for batch in slices(batches):
+            columns = list(zip(*[measure(t) for t in texts_in(batch, inside)]))
+            out = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            out |= {c: pa.array(v, pa.int64()) for c, v in zip(COUNTS, columns)}
+            yield pa.RecordBatch.from_pydict(out | {"score": pa.array(columns[5], pa.float64())})
 
+    return run
 
-def measured(df: DataFrame) -> DataFrame:
-    """``df`` with its column ``text`` replaced by the base counts and the score."""
+
+def measured(df: DataFrame, inside: int | None = None) -> DataFrame:
+    """``df`` with the base counts and the score of its column ``text``, which goes, or of that field of ``row``."""
     schema = df.drop("text").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
-    return df.mapInArrow(_measured, schema.add("score", "double")).withColumn(
+    return df.mapInArrow(_measured(inside), schema.add("score", "double")).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
 
@@ -186,10 +188,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     Texts are measured where they are read, once for the holdout and once for the verdict: only
     ids and scores are joined with the labels, and no text is shuffled.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(doc_id).cast("long").alias("id"), stratum(by).alias("stratum"), plain_text(text).alias("text"),
-    )
-    scores = measured(rows.drop("row").withColumn("th", F.xxhash64("text"))).select("id", "stratum", "th", "score")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), stratum(by).alias("stratum"), plain_text(text).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), stratum(by).alias("stratum"))
+    scores = measured(texts.withColumn("th", F.xxhash64("text"))).select("id", "stratum", "th", "score")
     cutoffs = certify(holdout(stored(scores, "holdout"), labels))
-    return measured(rows).filter(kept(cutoffs)).select("row.*")
+    return measured(rows, docs.columns.index(text)).filter(kept(cutoffs)).select("row.*")

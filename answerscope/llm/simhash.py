@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import id_back, id_key, plain_text, stored
+from answerscope.llm.common import id_back, id_key, plain_text, slices, stored
 from answerscope.llm.components import components
 
 BITS, SEED = 64, 42
@@ -62,7 +62,7 @@ def _signed(value: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
             kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             yield pa.RecordBatch.from_pydict(kept | {"fp": pa.array(prints, pa.int64())})
@@ -249,14 +249,18 @@ def one_of_each(
 ) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id, all columns as they were.
 
-    Ids name no row: null ids and repeated ones hold different texts. A row is known by its id
-    and its text's hash, which have one group; of equal ids in a group the smallest hash stays.
+    Ids name no row: null ids and repeated ones hold different texts. Of equal ids in a group the
+    row with the smallest hash of its text, then of all its columns (maps aside), stays; rows
+    alike in all of them are one.
     """
-    marked = docs.select(id_key(doc_id).alias("id"), plain_text(text).alias("text")).withColumn("mark", F.xxhash64("text"))
-    prints = marked.mapInArrow(_fingerprints(shingle), "id long, mark long, fp long")
-    first = stored(prints.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")), "distinct")
-    best = _named(first, distance, limit).groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(doc_id).alias("id"), F.xxhash64(plain_text(text)).alias("mark")
-    )
-    return rows.join(best, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).select("row.*")
+    other = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    key = [id_key(doc_id).alias("id"), F.xxhash64(plain_text(text)).alias("mark"), F.xxhash64(*other).alias("rest")]
+    prints = docs.select(*key, plain_text(text).alias("text")).mapInArrow(_fingerprints(shingle), "id long, mark long, rest long, fp long")
+    counted = prints.groupBy("fp", "id", "mark", "rest").agg(F.count(F.lit(1)).alias("times"))
+    first = stored(counted.groupBy("fp").agg(F.min(F.struct("id", "mark", "rest", "times")).alias("first")), "distinct")
+    best = stored(_named(first, distance, limit).groupBy("component").agg(F.min("first").alias("first")).select("first.*"), "best")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    names = ["id", "mark", "rest"]
+    chosen = lambda some: rows.join(best.filter(some).select(*names).hint("shuffle_hash"), names)
+    # only rows that come several times are sorted to leave one
+    return chosen("times = 1").select("row.*").unionByName(chosen("times > 1").dropDuplicates(names).select("row.*"))

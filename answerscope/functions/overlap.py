@@ -10,13 +10,13 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from answerscope.functions.arrays import let
+from answerscope.functions.aligned import Tokens, scores
 from answerscope.functions.stemming import stem_token
-from answerscope.functions.text import rouge_tokens
 
 MEASURES = ("rouge1", "rouge2", "rougeL")
 _TOKEN = re.compile("[a-z0-9]+")
@@ -66,32 +66,57 @@ def pair_score(a: list[str], b: list[str], measure: str) -> float:
 def _pair_udf(measure: str, stem: bool):
     @F.arrow_udf("double")
     def score(prediction: pa.Array, reference: pa.Array) -> pa.Array:
-        def one(p, r):
-            if p is None or r is None:
-                return None
-            return pair_score(tokens_of(p, stem), tokens_of(r, stem), measure)
-
-        return pa.array(
-            [one(p, r) for p, r in zip(prediction.to_pylist(), reference.to_pylist())], pa.float64()
-        )
+        tokens = Tokens(stem)
+        both = list(zip(prediction.to_pylist(), reference.to_pylist()))
+        told = np.array([p is not None and r is not None for p, r in both], bool)
+        out = np.zeros(len(both))
+        known = [both[i] for i in np.flatnonzero(told)]
+        out[told] = scores([tokens(p) for p, _ in known], [tokens(r) for _, r in known], measure)
+        return pa.array(out, pa.float64(), mask=~told)
 
     return score
 
 
+def _best(predictions: list[list], references: list, measures, stem: bool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For every prediction of every row the best score over the row's references, and whether there is one.
+
+    Equal predictions of a row are compared once.
+    """
+    tokens = Tokens(stem)
+    left, right, count, at = [], [], [], []
+    for preds, refs in zip(predictions, references):
+        texts = [tokens(r) for r in refs or () if r is not None]
+        first: dict = {None: -1}
+        for p in preds:
+            if p not in first:
+                first[p] = len(count)
+                left += [tokens(p)] * len(texts)
+                right += texts
+                count.append(len(texts))
+            at.append(first[p])
+    count, at = np.array(count, np.int64), np.array(at, np.int64)
+    some = np.flatnonzero(count)
+    start = (np.cumsum(count) - count)[some]
+    told = np.zeros(len(count) + 1, bool)  # the last one: no prediction
+    told[some] = True
+    out = {}
+    for m in measures:
+        value = np.zeros(len(count) + 1)
+        if len(some):
+            value[some] = np.maximum.reduceat(scores(left, right, m), start)
+        out[m] = value[at], told[at]
+    return out
+
+
+def _struct(best: dict) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=~told) for v, told in best.values()], names=list(best))
+
+
 @lru_cache(maxsize=None)
 def _best_udf(measures: tuple[str, ...], stem: bool):
     @F.arrow_udf("struct<" + ",".join(f"{m}:double" for m in measures) + ">")
     def best(prediction: pa.Array, references: pa.Array) -> pa.Array:
-        out: dict[str, list] = {m: [] for m in measures}
-        for p, refs in zip(prediction.to_pylist(), references.to_pylist()):
-            token_lists = [tokens_of(r, stem) for r in refs or () if r is not None]
-            mine = tokens_of(p, stem) if p is not None else None
-            for m in measures:
-                scored = mine is not None and token_lists
-                out[m].append(max(pair_score(mine, t, m) for t in token_lists) if scored else None)
-        return pa.StructArray.from_arrays(
-            [pa.array(out[m], pa.float64()) for m in measures], names=list(measures)
-        )
+        return _struct(_best([[p] for p in prediction.to_pylist()], references.to_pylist(), measures, stem))
 
     return best
 
@@ -100,14 +125,9 @@ def _best_udf(measures: tuple[str, ...], stem: bool):
 def _best_each_udf(measures: tuple[str, ...], stem: bool):
     @F.arrow_udf("array<struct<" + ",".join(f"{m}:double" for m in measures) + ">>")
     def best(predictions: pa.Array, references: pa.Array) -> pa.Array:
-        out = []
-        for preds, refs in zip(predictions.to_pylist(), references.to_pylist()):
-            token_lists = [tokens_of(r, stem) for r in refs or () if r is not None]
-            mine = [tokens_of(p, stem) for p in preds or ()]
-            out.append(
-                [{m: max((pair_score(p, t, m) for t in token_lists), default=None) for m in measures} for p in mine]
-            )
-        return pa.array(out, pa.list_(pa.struct([(m, pa.float64()) for m in measures])))
+        lists = [x or [] for x in predictions.to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), _struct(_best(lists, references.to_pylist(), measures, stem)))
 
     return best
 
@@ -126,34 +146,8 @@ def rouge_l(prediction: Column, reference: Column, stem: bool = False) -> Column
 
 
 def rouge_n(prediction: Column, reference: Column, n: int, stem: bool = False) -> Column:
-    """Clipped n-gram overlap, n = 1 or 2; array expressions unless words are stemmed.
-
-    Equal n-grams are told apart by their number of occurrence, so the clipped count is the
-    size of a set intersection.
-    """
-    if stem:
-        return _pair_udf(f"rouge{n}", stem)(prediction, reference)
-
-    def grams(text: Column) -> Column:
-        tokens = rouge_tokens(text)
-        if n == 1:
-            return tokens
-        first = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
-        return F.transform(first, lambda x, i: F.concat(x, F.lit(" "), F.get(tokens, i + 1)))
-
-    def numbered(sorted_grams: Column) -> Column:
-        return F.transform(
-            sorted_grams, lambda x, i: F.struct(x.alias("g"), (i - F.array_position(sorted_grams, x)).alias("k"))
-        )
-
-    def score(pair: Column) -> Column:
-        a, b = pair["a"], pair["b"]
-        common = F.size(F.array_intersect(numbered(a), numbered(b)))
-        p, r = common / F.size(a), common / F.size(b)
-        return F.when((common == 0) | (F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
-
-    both = F.struct(F.array_sort(grams(prediction)).alias("a"), F.array_sort(grams(reference)).alias("b"))
-    return F.when(prediction.isNotNull() & reference.isNotNull(), let(both, score))
+    """Clipped n-gram overlap, n = 1 or 2, linear in the texts."""
+    return _pair_udf(f"rouge{n}", stem)(prediction, reference)
 
 
 def best_rouge(
@@ -170,7 +164,7 @@ def best_rouge(
 def best_rouge_each(
     predictions: Column, references: Column, measures: tuple[str, ...] = MEASURES, stem: bool = False
 ) -> Column:
-    """``best_rouge`` for every entry of an array of predictions."""
+    """``best_rouge`` for every entry of an array of predictions; equal ones are compared once."""
     return _best_each_udf(tuple(measures), stem)(predictions, references)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.functions import overlap
+from answerscope.functions.aligned import Tokens, scores
 from answerscope.functions.arrays import let
-from answerscope.functions.overlap import MEASURES, pair_score, tokens_of
+from answerscope.functions.overlap import MEASURES
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
 from answerscope.operators.groups import pair_tiles, positions
 
@@ -54,27 +55,14 @@ def score_generations(records: DataFrame, id_col: str = "id", stem: bool = False
         F.array_distinct(
             F.transform(reference_array(F.col("answer"), F.col("additional_answers")), caseless)
         ).alias("_refs"),
-    ).withColumn("_uniq", F.array_distinct("_preds"))
-    bare_refs = F.transform("_refs", drop_punctuation)
-    exact = let(
-        bare_refs,
-        lambda refs: F.transform("_uniq", lambda p: F.array_contains(refs, drop_punctuation(p)).cast("double")),
-    )
-    scored = rows.select(
-        id_col, "_preds", "_uniq", exact.alias("_exact"),
-        overlap.best_rouge_each(F.col("_uniq"), F.col("_refs"), MEASURES, stem).alias("_best"),
     )
-
-    def place(p: Column) -> Column:
-        return (F.array_position("_uniq", p) - 1).cast("int")
-
-    each = F.transform(
-        "_preds",
-        lambda p: F.struct(
-            F.get(F.col("_exact"), place(p)).alias("exact_match"), F.get(F.col("_best"), place(p)).alias("r")
-        ),
+    exact = let(
+        F.transform("_refs", drop_punctuation),
+        lambda refs: F.transform("_preds", lambda p: F.array_contains(refs, drop_punctuation(p)).cast("double")),
     )
-    return scored.select(id_col, F.posexplode(each).alias("gen_id", "_s")).select(
+    best = overlap.best_rouge_each(F.col("_preds"), F.col("_refs"), MEASURES, stem)
+    each = F.arrays_zip(exact.alias("exact_match"), best.alias("r"))
+    return rows.select(id_col, F.posexplode(each).alias("gen_id", "_s")).select(
         id_col, "gen_id", F.col("_s.exact_match").alias("exact_match"), *[F.col(f"_s.r.{m}").alias(m) for m in MEASURES]
     )
 
@@ -87,6 +75,13 @@ def distinct_answers(df: DataFrame, sample: str, text: str) -> DataFrame:
     return df.groupBy(sample, text).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _tile_pairs(diagonal: bool, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts of a tile meet: each with the later ones, or left with right."""
+    if diagonal:
+        return np.triu_indices(n_a, 1)
+    return np.repeat(np.arange(n_a), n_b), np.tile(np.arange(n_b), n_a)
+
+
 @lru_cache(maxsize=None)
 def _tile_sums(measures: tuple[str, ...], stem: bool):
     """Sum over a tile's pairs of score·copies·copies, for each measure.
@@ -97,17 +92,20 @@ def _tile_sums(measures: tuple[str, ...], stem: bool):
 
     @F.arrow_udf("struct<" + ",".join(f"{m}:double" for m in measures) + ">")
     def run(same: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        out: dict[str, list[float]] = {m: [] for m in measures}
-        for diagonal, a, b in zip(same.to_pylist(), left.to_pylist(), right.to_pylist()):
-            left_tokens = [(tokens_of(x["text"], stem), x["copies"]) for x in a]
-            right_tokens = left_tokens if diagonal else [(tokens_of(x["text"], stem), x["copies"]) for x in b]
-            for m in measures:
-                total = 0.0
-                for i, (ta, ca) in enumerate(left_tokens):
-                    for tb, cb in right_tokens[i + 1 :] if diagonal else right_tokens:
-                        total += pair_score(ta, tb, m) * (ca * cb)
-                out[m].append(total)
-        return pa.StructArray.from_arrays([pa.array(out[m], pa.float64()) for m in measures], names=list(measures))
+        tokens = Tokens(stem)
+        ta, tb, weight, tile = [], [], [], []
+        for k, (diagonal, a, b) in enumerate(zip(same.to_pylist(), left.to_pylist(), right.to_pylist())):
+            texts_a, texts_b = ([tokens(x["text"]) for x in side] for side in (a, b))
+            i, j = _tile_pairs(diagonal, len(a), len(b))
+            ta += [texts_a[x] for x in i]
+            tb += [(texts_a if diagonal else texts_b)[x] for x in j]
+            copies = lambda side: np.array([x["copies"] for x in side], np.float64)
+            weight.append(copies(a)[i] * copies(a if diagonal else b)[j])
+            tile.append(np.full(len(i), k))
+        n = len(same)
+        of, weight = (np.concatenate(x) if x else np.empty(0) for x in (tile, weight))
+        sums = {m: np.bincount(of.astype(np.int64), scores(ta, tb, m) * weight, n) for m in measures}
+        return pa.StructArray.from_arrays([pa.array(sums[m], pa.float64()) for m in measures], names=list(measures))
 
     return run
 
@@ -194,16 +192,14 @@ def _tile_matrix(stem: bool):
 
     @F.arrow_udf(f"array<{row}>")
     def run(same: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
+        out, tokens = [], Tokens(stem)
         for diagonal, a, b in zip(same.to_pylist(), left.to_pylist(), right.to_pylist()):
-            ta = [tokens_of(x["text"], stem) for x in a]
-            tb = ta if diagonal else [tokens_of(x["text"], stem) for x in b]
+            ta, tb = ([tokens(x["text"]) for x in side] for side in (a, a if diagonal else b))
+            i, j = _tile_pairs(diagonal, len(ta), len(tb))
             m = np.eye(len(ta)) if diagonal else np.zeros((len(ta), len(tb)))
-            for i in range(len(ta)):
-                for j in range(i + 1 if diagonal else 0, len(tb)):
-                    m[i, j] = pair_score(ta[i], tb[j], "rougeL")
-                    if diagonal:
-                        m[j, i] = m[i, j]
+            m[i, j] = scores([ta[x] for x in i], [tb[x] for x in j], "rougeL")
+            if diagonal:
+                m[j, i] = m[i, j]
             ids_a = [x["ans_id"] for x in a]
             ids_b = ids_a if diagonal else [x["ans_id"] for x in b]
             rows = [(ids_a, ids_b, m)] if diagonal else [(ids_a, ids_b, m), (ids_b, ids_a, m.T)]

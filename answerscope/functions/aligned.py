@@ -2,9 +2,9 @@
 
 A batch numbers its tokens and tokenises each distinct text once. N-gram overlaps are counts
 over sorted (pair, gram) keys, linear in the texts but for the sort. Longest common subsequences
-advance side by side: bit-parallel rows of 64-bit words, one step of all pairs for each token
-of their longer texts. Pairs whose shorter text exceeds ``WORDS`` words of bits run one by one on
-big integers, which are faster there.
+advance side by side among pairs of like lengths: bit-parallel rows of 64-bit words, one step of
+all pairs for each token of their longer texts. Few pairs, and those whose shorter text exceeds
+``WORDS`` words of bits, run one by one on big integers, which are faster there.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import numpy as np
 from answerscope.functions.stemming import stem_token
 
 WORDS = 8  # 64-bit words of a row in lockstep
-WORK = 1 << 20  # tokens of pairs held at a time
+WORTH = 32  # pairs of like lengths, for each word of bits, from which lockstep is faster
+WORK = 1 << 22  # tokens of pairs held at a time
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -115,14 +116,14 @@ def _lockstep(short: list[np.ndarray], long: list[np.ndarray], words: int) -> np
 
 def lcs_lengths(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(a), np.int64)
-    groups: dict[int, list[int]] = {}
+    groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
-        least = min(len(x), len(y))
+        least, most = sorted((len(x), len(y)))
         if least:
-            groups.setdefault(-(-least // 64), []).append(i)
-    for words, members in groups.items():
+            groups.setdefault((-(-least // 64), most.bit_length()), []).append(i)
+    for (words, _), members in groups.items():
         pairs = [(a[i], b[i]) if len(a[i]) <= len(b[i]) else (b[i], a[i]) for i in members]
-        if words > WORDS:
+        if words > WORDS or len(pairs) < WORTH * words:
             out[members] = [_lcs_alone(x.tolist(), y.tolist()) for x, y in pairs]
         else:
             out[members] = _lockstep([x for x, _ in pairs], [y for _, y in pairs], words)

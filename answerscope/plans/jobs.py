@@ -122,15 +122,17 @@ def offline_stages(
     spark: SparkSession, base: str, specs: str, run: int, records: DataFrame, pair_logits: DataFrame | None = None,
     clean: bool = True, stem: bool = False,
 ) -> dict[str, DataFrame]:
-    """Post-processing of a stored run, each stage computed once and kept under its key.
+    """Post-processing of a stored run, each stage computed once and kept under its key and the inputs' content.
 
     cleaned texts -> judge inputs and verdicts -> rating prompts and true/false prompts for
     every generation -> lexical similarity -> reference scores. ``records`` has id, question,
     answer, additional_answers, generations and dataset.
     """
 
+    content = R.content_key(records, stem, *([] if pair_logits is None else [pair_logits]))
+
     def stage(name: str, build) -> DataFrame:
-        return R.stage_cache(spark, base, f"{R.cache_key(specs, run, clean=clean)}_{name}", build)
+        return R.stage_cache(spark, base, f"{R.cache_key(specs, run, clean=clean)}_{content}_{name}", build)
 
     cleaned = stage("texts", lambda: clean_records(records))
     used = cleaned.withColumn("generations", F.col("cleaned")) if clean else cleaned
@@ -151,16 +153,20 @@ def offline_stages(
 def continue_run(
     spark: SparkSession, base: str, identity: dict, pending: DataFrame, process, id_col: str = "id"
 ) -> int:
-    """Finishes a run: records found in earlier shards are taken over, the rest is processed.
+    """Finishes a run: records found in earlier whole runs are taken over, the rest is processed.
 
     ``identity`` names model, dataset and project; ``process`` maps pending records to result
-    records. The whole is stored as a new unsharded run, whose number is returned and whose
+    records. Of an id stored several times the newest record counts; with nothing stored,
+    all is processed. The whole is stored as a new unsharded run, whose claimed number is returned and whose
     configuration is registered beside the results.
     """
-    done = R.read_results(spark, base, **identity)
-    run = done.agg(F.max("run_id").alias("last")).first()["last"] + 1
-    slim = done.drop(*R.RUN_COLUMNS)
-    R.write_results(sampling.resume_union(pending, slim, process, id_col), base, *identity.values(), run)
+    done = R.stored_results(spark, base, **identity)
+    run = R.claim_run(spark, base, **identity)
+    if done is None:
+        records = process(pending)
+    else:
+        records = sampling.resume_union(pending, R.latest_records(done, id_col).drop(*R.RUN_COLUMNS, "partial"), process, id_col)
+    R.write_results(records, base, *identity.values(), run)
     R.register_run(spark, f"{base.rstrip('/')}-configurations", identity | {"shard_id": 0, "run_id": run})
     return run
 
@@ -170,16 +176,18 @@ def score_and_store(
 ) -> DataFrame:
     """Result records with their scores, stored shard by shard under the next run number and merged again.
 
-    ``records`` has id and the texts, ``scores`` id and the score columns.
+    ``records`` has id and the texts, ``scores`` id and the score columns. Every call is a run of
+    its own, whose configuration is registered beside the results.
     """
-    full = records.join(scores, "id")
-    sharded = R.stage_cache(spark, base, f"scored_{model}_{dataset}", lambda: full)
     results = f"{base.rstrip('/')}/results"
-    numbered = sampling.with_shard_id(sharded, num_shards, ["id"])
+    run = R.claim_run(spark, results, model, dataset, project)
+    numbered = sampling.with_shard_id(stored(records.join(scores, "id"), "scored"), num_shards, ["id"])
     for shard in range(num_shards):
         part = numbered.filter(F.col("shard_id") == shard).drop("shard_id")
-        R.write_results(part, results, model, dataset, project, 0, shard, num_shards)
-    return R.merge_shards(spark, results, model, dataset, project, list(range(num_shards)))
+        R.write_results(part, results, model, dataset, project, run, shard, num_shards)
+    config = {"model": model, "dataset": dataset, "project": project, "shard_id": 0, "run_id": run, "num_shards": num_shards}
+    R.register_run(spark, f"{base.rstrip('/')}/configurations", config)
+    return R.merge_shards(spark, results, model, dataset, project, list(range(num_shards)), run)
 
 
 def evaluate_stored(
@@ -187,8 +195,9 @@ def evaluate_stored(
 ) -> tuple[DataFrame, DataFrame]:
     """(summary table, full report) of stored runs under both correctness measures.
 
-    Results are read once and labelled by text overlap and by ``similarities`` (id,
-    sim_score); both measures stand in one table of rows.
+    Results are labelled by text overlap and by ``similarities`` (id, sim_score); both measures
+    stand in one table of rows, kept under the content of both: new runs, other similarities or
+    another ``stem`` are labelled anew, unchanged ones are not.
     """
     results = R.read_results(spark, base, **identity).join(similarities, "id")
     scored = evaluate.correctness(results, "rouge", multi_reference=True, stem=stem)
@@ -200,5 +209,6 @@ def evaluate_stored(
         ),
     )
     flat = scored.select(*keys, *evaluate.ORIENTATION, F.explode(measures).alias("m")).select(*keys, *evaluate.ORIENTATION, "m.*")
-    rows = R.stage_cache(spark, base.rstrip("/") + "-labelled", "_".join(map(str, identity.values())) or "all", lambda: flat)
+    name = "_".join(map(str, identity.values())) or "all"
+    rows = R.stage_cache(spark, base.rstrip("/") + "-labelled", name, lambda: flat, (results, keys, stem))
     return evaluate.paper_table(rows, list(keys)), evaluate.evaluate_run(rows, [*keys, "measure"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import warnings
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ FOREIGN_NAMES = {
     "layer_eigen_scores": "layer_scores",
 }
 
+# Registry partitions: the digest of a record.
+RECORD = "record"
+
 # How runs are named in foreign folder layouts.
 RUN_PATH = r"/([^/_]+)_([^/]+?)_([^/_]+?)(?:_(\d+))?/(\d+)\.[^/]+(?:/[^/]*)?$"
 
@@ -120,6 +125,49 @@ def next_run_id(results: DataFrame | None, overwrite: bool = False, **identity)
     return n if n == 0 or overwrite else None
 
 
+def stored_results(spark: SparkSession, base: str, **filters) -> DataFrame | None:
+    """``read_results``, or None where nothing is stored yet."""
+    try:
+        return read_results(spark, base, **filters)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def latest_records(results: DataFrame, id_col: str = "id") -> DataFrame:
+    """The newest record of every id, of whole runs only: highest run number, then lowest shard."""
+    rows = _whole(results)
+    newest = F.max(F.struct("run_id", (-F.col("shard_id")).alias("last"))).alias("_n")
+    chosen = rows.groupBy(id_col).agg(newest).select(id_col, F.col("_n.run_id").alias("run_id"), (-F.col("_n.last")).alias("shard_id"))
+    return rows.join(chosen, [id_col, "run_id", "shard_id"], "left_semi")
+
+
+def claim_run(spark: SparkSession, base: str, model: str, dataset: str, project: str) -> int:
+    """The next run number of a family, claimed by creating a marker file that must not exist.
+
+    Writers that ask at the same time get different numbers on file systems that create files
+    atomically. Numbers go on from the largest stored or claimed one; a run that fails leaves a gap.
+    """
+    stored = stored_results(spark, base, model=model, dataset=dataset, project=project)
+    last = None if stored is None else stored.agg(F.max("run_id")).first()[0]
+    number = 0 if last is None else last + 1
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}-claims/model={model}/dataset={dataset}/project={project}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    claimed = [int(f.getPath().getName()) for f in fs.listStatus(folder)]
+    number = max([number, *(c + 1 for c in claimed)])
+    while True:
+        try:
+            if fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, str(number))):
+                return number
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+        number += 1
+
+
 def run_exists(results: DataFrame | None, **identity) -> bool:
     return next_run_id(results, **identity) is None
 
@@ -128,14 +176,25 @@ def run_exists(results: DataFrame | None, **identity) -> bool:
 
 
 def append_registry(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    df.write.mode("append").partitionBy(*(partition_by or ["model_name", "dataset_name"])).parquet(path)
+    """Adds records; each is kept under its key and a digest of its content.
+
+    A record written again, by a retry or by another writer, replaces itself, so it is read once.
+    """
+    keys = ["model_name", "dataset_name"] if partition_by is None else partition_by
+    marked = df.withColumn(RECORD, F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+    _replace_partitions(marked, path, [*keys, RECORD])
+
+
+def _replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes the partitions that ``df`` has rows for in place of those that stood there."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_registry(spark: SparkSession, path: str, **filters) -> DataFrame:
     df = spark.read.option("mergeSchema", "true").parquet(path)
     for name, value in filters.items():
         df = df.filter(F.col(name) == value)
-    return df
+    return df.drop(RECORD)
 
 
 def register_run(spark: SparkSession, path: str, config: dict) -> None:
@@ -146,8 +205,12 @@ def register_run(spark: SparkSession, path: str, config: dict) -> None:
 
 
 def register_runs(configs: DataFrame, path: str) -> None:
-    """Many configurations at once: the run columns and ``config``."""
-    configs.select(*RUN_COLUMNS, "config").write.mode("append").parquet(path)
+    """Many configurations at once: the run columns and ``config``.
+
+    One file folder for each batch, named by its content: the same batch again replaces itself.
+    """
+    rows = configs.select(*RUN_COLUMNS, "config")
+    _replace_partitions(rows.withColumn(RECORD, F.lit(content_key(rows))), path, [RECORD])
 
 
 def run_config(spark: SparkSession, path: str, **identity) -> DataFrame:
@@ -155,10 +218,10 @@ def run_config(spark: SparkSession, path: str, **identity) -> DataFrame:
 
 
 def save_weights(spark: SparkSession, path: str, weights: list[float], model: str, dataset: str) -> None:
-    """Appends one row per layer: (layer, weight) under (model_name, dataset_name)."""
+    """One row per layer: (layer, weight) under (model_name, dataset_name), in place of earlier weights."""
     rows = [(i, float(w), model, dataset) for i, w in enumerate(weights)]
     df = spark.createDataFrame(rows, "layer int, weight double, model_name string, dataset_name string")
-    append_registry(df, path)
+    _replace_partitions(df, path, ["model_name", "dataset_name"])
 
 
 def load_weights(spark: SparkSession, path: str, model: str, dataset: str) -> list[float]:
@@ -227,12 +290,34 @@ def cache_key(specs: str, run: int, model: str | None = None, clean: bool = Fals
     return key + "_cleaned" if clean else key
 
 
-def stage_cache(spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+def content_key(*inputs) -> str:
+    """A digest of what a stage reads: tables by their schema and rows in any order, other values by their text.
+
+    Rows are hashed where they lie and summed; one row a table comes to the driver.
+    """
+    told = []
+    for x in inputs:
+        if isinstance(x, DataFrame):
+            # maps have no hash of their own
+            cols = [F.to_json(F.col(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in x.dtypes]
+            one, two = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+            sums = x.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.sum(two.cast("decimal(38,0)"))).first()
+            told.append((x.dtypes, [str(v) for v in sums]))
+        else:
+            told.append(repr(x))
+    return hashlib.sha256(repr(told).encode()).hexdigest()[:32]
+
+
+def stage_cache(
+    spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame], inputs: tuple = ()
+) -> DataFrame:
     """The table stored under ``key``, computed and written when it is not there.
 
-    A table without its completion marker (a writer died) is written again.
+    With ``inputs`` (tables and parameters of the stage) the key goes on with their content, so
+    other inputs give another table and equal ones the stored one. A table without its completion marker
+    (a writer died) is written again.
     """
-    path = f"{base.rstrip('/')}/{key}"
+    path = f"{base.rstrip('/')}/{key}" + (f"_{content_key(*inputs)}" if inputs else "")
     if not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -18,8 +18,9 @@ def test_scores(measure, longest, vocabulary, monkeypatch):
     tokens = aligned.Tokens(False)
     i, j = rng.integers(0, len(texts), (2, 150))
     want = [overlap.pair_score(overlap.tokens_of(texts[x], False), overlap.tokens_of(texts[y], False), measure) for x, y in zip(i, j)]
-    for work in (1, 500, 1 << 20):
+    for work, worth in ((1, 0), (500, 0), (1 << 20, 0), (1 << 20, 10), (1 << 20, 1 << 20)):
         monkeypatch.setattr(aligned, "WORK", work)
+        monkeypatch.setattr(aligned, "WORTH", worth)
         got = aligned.scores([tokens(texts[x]) for x in i], [tokens(texts[y]) for y in j], measure)
         assert got.tolist() == want
     assert aligned.scores([], [], measure).tolist() == []

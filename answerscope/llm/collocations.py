@@ -22,7 +22,7 @@ of the neighbours are summed along with the counts.
 Scale: a wave is one read of the texts; tasks count grams in numpy over chunks of ``CHUNK`` words, Spark
 sums them with map-side combine, so hot words and phrases weigh nothing. Which nodes to
 expand reaches the tasks as bitmaps of bounded size, whose mistakes only add rows that are dropped
-later. Counts, frontier and scores are tables; the best of a language are found in two steps, so
+later; the frequent words themselves go along while they are at most ``DICTIONARY``. Counts, frontier and scores are tables; the best of a language are found in two steps, so
 none is sorted in one task. Scores use decimals of 36 digits.
 
 Defined cases: null or empty texts have no words, a null language is ``und``; repeated rows count
@@ -32,6 +32,7 @@ each; texts of any length are read in pieces; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ from answerscope.llm.common import plain_text, segments, slices, stored
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 CHUNK = 1_000_000  # words counted at a time
+DICTIONARY = 500_000  # frequent words sent to the tasks as such; beyond, each chunk numbers its own
 DISTINCT = 500_000  # words held by a task's first count
 SHARDS = 256  # of a language, when its best are found
 
@@ -81,23 +83,32 @@ def _words(batches):
 
 
 class _Names(dict):
-    """Numbers for the words of a chunk; 0 is the break."""
+    """Numbers for the words of a chunk; 0 is the break, and with a fixed list every word outside it.
 
-    def __init__(self):
-        super().__init__({_BREAK: 0})
-        self.list = [_BREAK]
+    No phrase holds a rare word, and rare neighbours are never all the same: they may pass for breaks.
+    """
+
+    def __init__(self, fixed: list[bytes] | None = None):
+        self.list = [_BREAK, *(fixed or ())]
+        self.fixed = fixed is not None
+        super().__init__((w, i) for i, w in enumerate(self.list))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.list)
         self.list.append(word)
         return number
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = map(self.get, words, repeat(0)) if self.fixed else map(self.__getitem__, words)
+        return np.fromiter(found, np.int32, len(words))
+
 
 class Wave:
     """What a wave counts: extensions of ``grow``, phrases ``asked`` for by name; ``via`` holds their beginnings."""
 
-    def __init__(self, grow, via, asked, words, lengths: set[int], longest: int):
-        self.grow, self.via, self.asked, self.words, self.lengths, self.longest = grow, via, asked, words, lengths, longest
+    def __init__(self, grow, via, asked, words, lengths: set[int], longest: int, dictionary: dict[str, list[bytes]] | None = None):
+        """``words``: the frequent ones; ``dictionary``: the same as lists by language, if they are few."""
+        self.grow, self.via, self.asked, self.words, self.lengths, self.longest, self.dictionary = grow, via, asked, words, lengths, longest, dictionary
 
 
 def _grams(ids: np.ndarray, first: int, stop: int, names: list[bytes], lang: str, wave: Wave):
@@ -155,7 +166,7 @@ def _counts(broadcast):
 
     def run(batches):
         wave = broadcast.value
-        names: dict[str, _Names] = defaultdict(_Names)
+        names: dict[str, _Names] = {}
         held: dict[str, list] = defaultdict(list)
         context: dict[str, int] = defaultdict(int)
         count = 0
@@ -168,13 +179,17 @@ def _counts(broadcast):
                     stop = len(ids) - wave.longest
                     rest = [own[i] for i in ids[stop - 1 :].tolist()]
                 yield from _grams(ids, first, stop, own, lang, wave)
-                del held[lang], names[lang], context[lang]
+                del held[lang], context[lang]
+                if not names[lang].fixed:
+                    del names[lang]
                 if rest:
                     put(lang, rest)
                     context[lang] = 1
 
         def put(lang: str, words: list[bytes]) -> None:
-            held[lang].append(np.fromiter(map(names[lang].__getitem__, words), np.int32, len(words)))
+            if lang not in names:
+                names[lang] = _Names(None if wave.dictionary is None else wave.dictionary.get(lang, []))
+            held[lang].append(names[lang].numbers(words))
 
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -250,7 +265,8 @@ def _judged(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP,
+    most_words: int = DICTIONARY,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``top`` phrases of each language."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), plain_text(text).alias("text"))
@@ -260,6 +276,11 @@ def collocations(
     words = stored(counts.filter(F.col("f") >= least).join(total, "lang").withColumn("bound", F.expr("1000 * n div f")).withColumn("m", F.lit(1)), "nodes")
     key = F.xxhash64("lang", "phrase")
     frequent = bitmap(words, key)
+    dictionary = None
+    if words.count() <= most_words:
+        dictionary = {}
+        for r in words.select("lang", "phrase").collect():
+            dictionary.setdefault(r["lang"], []).append(r["phrase"].encode())
     known = words.select("lang", "phrase", "f")
     firsts = words.select("lang", F.col("phrase").alias("first"), "n", "bound")
     node = ["lang", "phrase", "m", "bound"]
@@ -272,7 +293,7 @@ def collocations(
         deepest = wanted.agg(F.max("m")).first()[0]
         if deepest is None:
             break
-        wave = Wave(*bitmaps(wanted, key, F.col("role"), 3), frequent, set(range(2, deepest + 1)), longest)
+        wave = Wave(*bitmaps(wanted, key, F.col("role"), 3), frequent, set(range(2, deepest + 1)), longest, dictionary)
         summed = rows.mapInArrow(_counts(sc.broadcast(wave)), COUNTED).groupBy("lang", "phrase").agg(
             F.sum("c").alias("f"), F.min("nlo").alias("nlo"), F.max("nhi").alias("nhi"), F.min("plo").alias("plo"), F.max("phi").alias("phi")
         )

@@ -79,8 +79,10 @@ def test_collocations(spark, least, longest, top):
     rows = [(["en", "fr", None, "und"][i % 4], t) for i, t in enumerate(prose(rng, 160, 14, ["Alpha beta GAMMA", "one two three four five six", "de la"]))]
     rows += [("en", None), ("en", ""), ("zz", "lonely"), ("zz", "\n.;")] + rows[:7]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
-    got = collocations.collocations(docs.withColumn("phrase", F.lit(1)).withColumn("f", F.lit("x")), least=least, longest=longest, top=top)
-    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, least, longest, top)
+    docs = docs.withColumn("phrase", F.lit(1)).withColumn("f", F.lit("x"))
+    want = brute_collocations(rows, least, longest, top)
+    for most in (0, 1000) if top == 40 else (1000,):  # words numbered by chunk, or from a list
+        assert sorted(map(tuple, collocations.collocations(docs, least=least, longest=longest, top=top, most_words=most).collect())) == want
 
 
 def test_collocations_odd(odd, empty):  # noqa: F811
@@ -94,6 +96,7 @@ def test_chunks_change_no_count(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr", "en", "en"], "text": [*prose(rng, 3), " ".join(prose(rng, 60)).replace(".", " ")]})
     everything = bitmaps.Bitmap(np.full(1024, 2**64 - 1, np.uint64))
     told = SimpleNamespace(value=collocations.Wave(everything, everything, everything, everything, {2, 3, 4, 5}, 5))
+    listed = {lang: sorted({w for t in t_ for p in collocations.words_of(t) for w in p} - {b"\xff"}) for lang, t_ in (("en", batch["text"].to_pylist()), ("fr", batch["text"].to_pylist()))}
 
     def summed():
         out = {}
@@ -109,6 +112,8 @@ def test_chunks_change_no_count(monkeypatch):
         monkeypatch.setattr(collocations, "segments", lambda raw, n=part: segments(raw, n))
         assert summed() == whole
     assert len(whole) > 1000
+    told.value.dictionary = listed
+    assert summed() == whole
 
 
 # substring dedup

@@ -142,6 +142,12 @@ def nli_pair_text(question: Column, a: Column, b: Column) -> Column:
     return nli_joined(nli_side(question, a), nli_side(question, b))
 
 
+def verdicts(logits: DataFrame, true_id: int, false_id: int, sample: str = "sample_id") -> DataFrame:
+    """(sample, gen_id, true_logit, false_logit, p_true): what a judge's logits say of each generation."""
+    rows = logits.select(sample, "gen_id", true_false_logits(F.col("logits"), true_id, false_id).alias("v")).select(sample, "gen_id", "v.*")
+    return rows.withColumn("p_true", 1 / (1 + F.exp(F.col("false_logit") - F.col("true_logit"))))
+
+
 def true_false_logits(logits: Column, true_id: int, false_id: int, log_probs: bool = False) -> Column:
     """Struct (true_logit, false_logit): two vocabulary entries, optionally log-softmaxed."""
 

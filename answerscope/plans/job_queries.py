@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.plans import jobs, token_queries  # noqa: F401 - its oracle SQL is reused
+from answerscope.operators.groups import positions
+from answerscope.plans import jobs, token_queries
 from answerscope.plans import views as V
 from answerscope.operators.prompts import rating_block
 from answerscope.plans.registry import ORACLES, query, r6
@@ -139,6 +140,34 @@ def _offline(spark, sf):
     )
 
 
+_NUMBERED = f"SELECT *, row_number() OVER (ORDER BY id) - 1 AS sample_id FROM ({V.RECORDS})"
+
+
+@query("offline_scores", f"""
+WITH r AS ({_NUMBERED}), t AS {token_queries.ROWS},
+g AS (SELECT id, sample_id, unnest(generations) AS text, CAST(generate_subscripts(generations, 1) - 1 AS INT) AS gen_id FROM r),
+lik AS (SELECT sample_id, gen_id, sum(CASE WHEN token_pos <> 0 THEN {token_queries._NLL} END) AS nll, count(*) FILTER (token_pos <> 0) AS length,
+               sum(CASE WHEN token_pos = 0 THEN {token_queries._NLL} END) AS free FROM t WHERE gen_id < 3 GROUP BY ALL),
+told AS (SELECT sample_id, gen_id, 1 / (1 + exp(logits[10] - logits[4])) AS p_true FROM t WHERE token_pos = 0)
+SELECT id, gen_id, round(nll, 6) AS neg_log_likelihood, length, round(free, 6) AS unconditioned_neg_log_likelihood, round(p_true, 6) AS p_true,
+       CASE gen_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS rating
+FROM g LEFT JOIN lik USING (sample_id, gen_id) LEFT JOIN told USING (sample_id, gen_id)""")
+def _offline_scores(spark, sf):
+    """Likelihoods, verdicts and parsed ratings of every generation beside its reference scores; records and samples meet by number."""
+    records = V.records(spark, sf).withColumn("dataset", F.lit("coqa"))
+    numbers = positions(records.select("id"), [], ["id"]).select("id", (F.col("position") - 1).alias("sample_id"))
+    named = V.token_scores(spark, sf).join(numbers, "sample_id").drop("sample_id").withColumnRenamed("id", "sample_id")
+    scores = named.withColumn("gen_id", F.when(F.col("gen_id") < 3, F.col("gen_id"))).withColumn("conditioned", F.col("token_pos") != 0)
+    said = F.element_at(F.array(F.lit("Yes. It agrees."), F.lit(" No"), F.lit(".")), (F.col("gen_id") % 3 + 1).cast("int"))
+    responses = records.select(F.col("id").alias("sample_id"), F.posexplode("generations").alias("gen_id", "_g")).select("sample_id", "gen_id", said.alias("response"))
+    stages = jobs.offline_stages(
+        spark, scratch_path(spark, "offline"), "m7_coqa_0", 0, records, token_scores=scores,
+        verdict_logits=named.filter("token_pos = 0").select("sample_id", "gen_id", "logits"), responses=responses, verdict_ids=(3, 9),
+    )
+    numbers_of = ("neg_log_likelihood", "unconditioned_neg_log_likelihood", "p_true")
+    return stages["generation_scores"].select(F.col("sample_id").alias("id"), "gen_id", "length", "rating", *[r6(F.col(c)).alias(c) for c in numbers_of])
+
+
 _BEST = f"""
 base AS (SELECT *, (length(question) % 11) / 10.0::DOUBLE AS sim_score FROM ({V.RECORDS})),
 refs AS (SELECT id, prediction, unnest(list_distinct([answer] || additional_answers)) AS ref FROM base),

@@ -120,16 +120,24 @@ def clean_records(records: DataFrame) -> DataFrame:
 
 def offline_stages(
     spark: SparkSession, base: str, specs: str, run: int, records: DataFrame, pair_logits: DataFrame | None = None,
-    clean: bool = True, stem: bool = False,
+    token_scores: DataFrame | None = None, verdict_logits: DataFrame | None = None, responses: DataFrame | None = None,
+    verdict_ids: tuple[int, int] = (0, 1), clean: bool = True, stem: bool = False,
 ) -> dict[str, DataFrame]:
     """Post-processing of a stored run, each stage computed once and kept under its key and the inputs' content.
 
     cleaned texts -> judge inputs and verdicts -> rating prompts and true/false prompts for
     every generation -> lexical similarity -> reference scores. ``records`` has id, question,
     answer, additional_answers, generations and dataset.
+
+    What models said about the generations comes in as tables by (sample_id, gen_id):
+    ``token_scores`` (as ``tokens.likelihood_summary`` takes them), ``verdict_logits`` (``logits`` of the
+    answer to the true/false prompt; ``verdict_ids`` are the entries of true and false) and
+    ``responses`` (``response`` to the rating prompt). Each is a stage, and ``generation_scores`` holds one
+    row a generation with all of it beside the reference scores.
     """
 
-    content = R.content_key(records, stem, *([] if pair_logits is None else [pair_logits]))
+    given = {"pairs": pair_logits, "tokens": token_scores, "verdicts": verdict_logits, "responses": responses}
+    content = R.content_key(records, stem, verdict_ids, *[x for k, v in given.items() if v is not None for x in (k, v)])
 
     def stage(name: str, build) -> DataFrame:
         return R.stage_cache(spark, base, f"{R.cache_key(specs, run, clean=clean)}_{content}_{name}", build)
@@ -147,9 +155,36 @@ def offline_stages(
     out["self_evaluation"] = stage("self-evaluation", lambda: prompts.self_eval_prompts(used))
     out["lexical"] = stage("lexical", lambda: similarity.lexical_similarity(long, stem=stem))
     out["reference_scores"] = stage("rouge", lambda: similarity.score_generations(used, stem=stem))
+    if token_scores is not None:
+        out["likelihoods"] = stage("likelihoods", lambda: tokens.likelihood_summary(token_scores))
+    if verdict_logits is not None:
+        out["verdicts"] = stage("verdicts", lambda: prompts.verdicts(verdict_logits, *verdict_ids))
+    if responses is not None:
+        out["rated"] = stage("rated", lambda: responses.select(SAMPLE, "gen_id", prompts.parse_rating(F.col("response")).alias("rating")))
+    out["generation_scores"] = stage("generation-scores", lambda: generation_scores(out))
     return out
 
 
+def generation_scores(stages: dict[str, DataFrame]) -> DataFrame:
+    """One row a generation: its reference scores, and what the stages that are there say of it.
+
+    Joins of rows a few numbers wide on (sample_id, gen_id).
+    """
+    scores = stages["reference_scores"].withColumnRenamed("id", SAMPLE)
+    keys = [SAMPLE, "gen_id"]
+    parts = [stages[name] for name in ("verdicts", "rated") if name in stages]
+    if "likelihoods" in stages:
+        rows = stages["likelihoods"].filter("gen_id IS NOT NULL")
+        of = lambda conditioned, c: F.max(F.when(F.col("conditioned") == conditioned, F.col(c)))
+        parts.append(rows.groupBy(*keys).agg(
+            of(True, "neg_log_likelihood").alias("neg_log_likelihood"), of(True, "length").alias("length"),
+            of(True, "mean_token_entropy").alias("mean_token_entropy"), of(False, "neg_log_likelihood").alias("unconditioned_neg_log_likelihood"),
+        ))
+    for part in parts:
+        scores = scores.join(part, keys, "left")
+    return scores
+
+
 def continue_run(
     spark: SparkSession, base: str, identity: dict, pending: DataFrame, process, id_col: str = "id"
 ) -> int:

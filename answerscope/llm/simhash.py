@@ -36,6 +36,7 @@ BITS, SEED = 64, 42
 SHINGLE, DISTANCE = 3, 3
 TRIE_LIMIT = 50_000
 FRONTIER = 1 << 20  # node pairs held at a time
+LEAVES = 1 << 19  # leaves joined at a time; a trie is never cut
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -104,14 +105,14 @@ class _Forest:
             r = up
 
 
-LEAF_PAIRS = 256  # node pairs with at most so many leaf pairs are compared leaf by leaf
-
-
-def join_tries(values: np.ndarray, tries: np.ndarray, distance: int) -> np.ndarray:
+def join_tries(values: np.ndarray, tries: np.ndarray, distance: int, seen: dict | None = None) -> np.ndarray:
     """For each leaf the smallest leaf number it is linked with, through others too.
 
-    ``values``: uint64, ascending within each trie; ``tries``: the trie's number, ascending.
+    ``values``: uint64, ascending within each trie; ``tries``: the trie's number, ascending. Only
+    pairs of single leaves are compared as such. ``seen`` counts node pairs split and pruned, and leaf pairs.
     """
+    seen = {} if seen is None else seen
+    count = lambda name, n: seen.__setitem__(name, seen.get(name, 0) + int(n))
     n = len(values)
     forest = _Forest(n)
     lo = np.flatnonzero(np.concatenate(([True], tries[1:] != tries[:-1]))) if n else np.empty(0, int)
@@ -124,8 +125,9 @@ def join_tries(values: np.ndarray, tries: np.ndarray, distance: int) -> np.ndarr
             half = len(a0) // 2
             stack += [tuple(x[:half] for x in (a0, a1, b0, b1, depth, bits)), tuple(x[half:] for x in (a0, a1, b0, b1, depth, bits))]
             continue
-        few = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
-        few |= depth >= BITS
+        few = ((a1 - a0) * (b1 - b0) == 1) | (depth >= BITS)
+        count("leaf pairs", few.sum())
+        count("split", (~few).sum())
         if few.any():
             _compare(values, forest, a0[few], a1[few], b0[few], b1[few], distance)
         a0, a1, b0, b1, depth, bits = (x[~few] for x in (a0, a1, b0, b1, depth, bits))
@@ -137,9 +139,12 @@ def join_tries(values: np.ndarray, tries: np.ndarray, distance: int) -> np.ndarr
         for left0, left1, right0, right1, cost, mirrored in (
             (a0, am, b0, bm, 0, False), (am, a1, bm, b1, 0, False), (a0, am, bm, b1, 1, False), (am, a1, b0, bm, 1, True),
         ):
-            ok = (left0 < left1) & (right0 < right1) & (bits + cost <= distance)
+            ok = (left0 < left1) & (right0 < right1)
             if mirrored:  # a node with itself: its children meet once
                 ok &= ~same
+            near = bits + cost <= distance
+            count("pruned", (ok & ~near).sum())
+            ok &= near
             parts.append(tuple(x[ok] for x in (left0, left1, right0, right1, depth + 1, bits + cost)))
         stack.append(tuple(np.concatenate(x) for x in zip(*parts)))
     return forest._roots(np.arange(n))
@@ -176,18 +181,27 @@ def _compare(values, forest, a0, a1, b0, b1, distance: int) -> None:
 
 
 def _links(distance: int):
-    def run(batches):
-        """All tries of a task's partition, sorted by trie, then fingerprint."""
-        columns = [(b.column("trie").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not columns:
-            return
-        tries = np.concatenate([t for t, _ in columns])
-        values = np.concatenate([v for _, v in columns]).view(np.uint64)
+    def joined(tries, values):
         order = np.lexsort((values, tries))
         tries, values = tries[order], values[order]
         roots = join_tries(values, tries, distance)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
-        yield pa.RecordBatch.from_pydict({"a": values[roots[linked]].view(np.int64), "b": values[linked].view(np.int64)})
+        return pa.RecordBatch.from_pydict({"a": values[roots[linked]].view(np.int64), "b": values[linked].view(np.int64)})
+
+    def run(batches):
+        """The tries of a task's partition, which come one after the other, some ``LEAVES`` leaves at a time."""
+        held, count = [], 0
+        for batch in batches:
+            held.append((batch.column("trie").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
+            count += batch.num_rows
+            if count >= LEAVES:
+                tries, values = (np.concatenate(x) for x in zip(*held))
+                whole = np.searchsorted(tries, tries[-1])  # the last one may go on
+                if whole:
+                    yield joined(tries[:whole], values[:whole])
+                held, count = [(tries[whole:], values[whole:])], len(tries) - int(whole)
+        if held:
+            yield joined(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -223,7 +237,7 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE, limit: int =
                     waiting.append((stored(dealt.join(large, "trie", "left_semi").select("fp"), "dealt"), rest, at))
                     dealt = dealt.join(large, "trie", "left_anti")
             out = dealt if out is None else out.unionByName(dealt)
-    return out.repartition("trie").mapInArrow(_links(distance), "a long, b long")
+    return out.repartition("trie").sortWithinPartitions("trie").mapInArrow(_links(distance), "a long, b long")
 
 
 def _named(first: DataFrame, distance: int, limit: int) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -616,3 +617,22 @@ def test_pseudo_likelihood(spark, odd, empty):
     assert got[1]["log_prob"] == 0 and got[1]["mean_log_prob"] is None and got[2]["n_tokens"] == 0
     words, distinct = pseudo_likelihood.count_tokens(empty)
     assert pseudo_likelihood.score(empty, words, distinct, pseudo_likelihood.train(empty, words)).count() == 0
+
+
+def test_tries_are_descended_and_pruned(spark, monkeypatch):
+    """On real fingerprints node pairs are split and pruned; leaf pairs are few; flushing at a bound changes nothing."""
+    prints = np.unique(np.array([r["fp"] for r in simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()], np.int64).view(np.uint64))
+    for tries in (np.zeros(len(prints), np.int64), (prints >> np.uint64(60)).astype(np.int64)):
+        seen: dict = {}
+        roots = simhash.join_tries(prints, tries, 3, seen)
+        pairs = len(prints) * (len(prints) - 1) // 2
+        assert seen["split"] > len(prints) and seen["pruned"] > 1000 and seen["leaf pairs"] < 0.2 * pairs
+        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+        near &= tries[:, None] == tries[None, :]
+        for i in range(len(prints)):
+            assert (roots[near[i]] == roots[i]).all()
+    rows = pa.RecordBatch.from_pydict({"trie": np.sort((prints % np.uint64(7)).view(np.int64)), "fp": prints[np.argsort(prints % np.uint64(7), kind="stable")].view(np.int64)})
+    links = lambda: sorted((r["a"], r["b"]) for b in simhash._links(3)([rows.slice(k, 50) for k in range(0, rows.num_rows, 50)]) for r in b.to_pylist())
+    whole = links()
+    monkeypatch.setattr(simhash, "LEAVES", 60)
+    assert links() == whole

@@ -8,15 +8,18 @@ below the middle of the alphabet, and serial correlation of neighbouring symbols
 smallest p-value, corrected for three looks, is uniform for random strings and near zero for
 words, paths and numbers in order.
 
-False-discovery control, by encoding and length band (short strings prove little): the number
-of random strings is estimated from the p-values above one half; the p-value cutoff is the
-lowest at which the estimated share of others among the reported stays at ``FDR``; a cell
-with fewer than ``EVIDENCE`` such p-values reports nothing, for want of an estimate. Distinct
-strings count once, so copies neither make nor break a cutoff. Strings over it become spans of
-kind ``random`` unless they meet a base span, which always stays.
-
-All of it is built-in column expressions: one scan that leaves (id, spans, candidates), a small
-histogram, and cutoffs for at most 35 cells that go back as a literal.
+False-discovery control by evidence: how many times likelier a string is when drawn uniformly over
+its alphabet than when spelled like the words of the corpus (pairs of neighbouring symbols in
+words of fewer than ``LEAST`` symbols that several documents hold, each word once; keys are neither). Every
+symbol adds to it, so short strings prove little. Such a ratio averages at most one over strings
+spelled like words, hence the e-value form of the Benjamini-Hochberg rule holds for any mix of strings, be
+there one key or a million: with m strings, those of at least 2^b stay where they are at least m / (``FDR`` 2^b).
+Strings that the battery rejects at ``REJECT`` have no evidence; distinct strings count once, so
+copies neither make nor break a cutoff. Strings over it become spans of kind ``random`` unless
+they meet a base span, which always stays.
+
+All of it is built-in column expressions: one pass over the words, whose 63 x 63 pair counts go back
+as a literal, one scan that leaves (id, spans, candidates), and a histogram of at most 201 rows.
 
 Defined cases: null or empty text has no span; repeated rows get equal answers; an empty
 table has an empty result.
@@ -24,10 +27,12 @@ table has an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerscope.llm.common import plain_text, stored
+from answerscope.llm.common import id_key, plain_text, stored
 
 #: The base patterns. The length demands of the last two are part of the pattern,
 #: which finds the same spans since neither can begin inside a shorter match of its kind.
@@ -50,8 +55,11 @@ ENCODINGS = {
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
-BANDS = (24, 32, 48, 64)  # upper ends of the length bands; the last one is open
-BINS, FDR, EVIDENCE = 100, 0.1, 5
+FDR, REJECT, MOST = 0.1, 0.01, 200  # evidence beyond 2^MOST counts as 2^MOST
+#: Symbols of the word model by place; 0 is a word's border, which each of + / _ - can be.
+SYMBOLS = UPPER + LOWER + DIGITS
+PRIOR, SCALE = 8, 256  # weight of single symbols in a pair's probability; steps to a bit
+CHUNK = 256
 
 
 def _found(pattern: str, rank: int, least_value: int = 0) -> Column:
@@ -63,7 +71,6 @@ def _found(pattern: str, rank: int, least_value: int = 0) -> Column:
     values = F.regexp_extract_all("text", F.lit(pattern), F.lit(2)) if least_value else hits
     parts = F.arrays_zip(gaps.alias("g"), hits.alias("h"), values.alias("v"))
     kind = "struct<start:bigint,rank:int,end:bigint,value:string>"
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["g"])
@@ -72,7 +79,16 @@ def _found(pattern: str, rank: int, least_value: int = 0) -> Column:
         fits = F.length(part["v"]) >= least_value  # null for what follows the last match
         return F.struct(F.coalesce(end, start).alias("at"), F.when(fits, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(parts, begin, step, lambda acc: acc["out"])
+    # appending copies what is there: short lists are filled, then joined
+    count = F.ceil(F.size(parts) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), count), lambda k: F.slice(parts, (k - 1) * CHUNK + 1, CHUNK))
+    whole = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return _with(F.aggregate(some, start, step), lambda one: F.struct(one["at"].alias("at"), F.concat(acc["out"], F.array(one["out"])).alias("out")))
+
+    spans = F.aggregate(chunks, whole, chunk, lambda acc: F.flatten(acc["out"]))
     return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(f"array<{kind}>"))
 
 
@@ -146,15 +162,44 @@ def _battery(values: Column, size: Column) -> Column:
     return 1 - F.pow(1 - tests, F.lit(3.0))
 
 
-def _band(n: Column) -> Column:
-    out = F.lit(len(BANDS))
-    for k in reversed(range(len(BANDS))):
-        out = F.when(n < BANDS[k], k).otherwise(out)
-    return out
-
+def spelling(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+    """What each pair of neighbouring symbols costs in words, in steps of a bit: row by row, 63 x 63.
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, candidates) of every row: sorted base spans; candidate runs with their cell and p-value."""
+    Words are runs of letters and digits, shorter than a candidate and held by two documents or more.
+    """
+    words = docs.select(id_key(doc_id).alias("id"), F.explode(F.regexp_extract_all(plain_text(text), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+    seen = words.filter(F.length("word") < LEAST).groupBy("word").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    bordered = F.concat(F.lit(" "), "word", F.lit(" "))
+    pairs = seen.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(bordered, i, F.lit(2)))).alias("pair"))
+    size = len(SYMBOLS) + 1
+    counts = [[0] * size for _ in range(size)]
+    for row in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect():
+        a, b = (SYMBOLS.find(c) + 1 for c in row["pair"])
+        counts[a][b] = row["n"]
+    before, after = [sum(r) for r in counts], [sum(c) for c in zip(*counts)]
+    single = [(n + 1) / (sum(before) + size) for n in after]
+    cost = lambda a, b: math.floor(-SCALE * math.log2((counts[a][b] + PRIOR * single[b]) / (before[a] + PRIOR)))
+    # a border is one of four characters: two bits more
+    return [cost(a, b) + (0 if b else 2 * SCALE) for a in range(size) for b in range(size)]
+
+
+def evidence(token: Column, enc: Column, costs: list[int]) -> Column:
+    """Bits for a uniform draw over the encoding against the spelling of words, 0 to ``MOST``.
+
+    Three bits pay for the choice among eight encodings; all rounding is downwards.
+    """
+    table = F.split(F.lit(",".join(map(str, costs))), ",").cast("array<int>")  # folded into one literal
+    uniform = F.create_map(*[F.lit(x) for name, letters in ENCODINGS.items() for x in (name, math.ceil(SCALE * math.log2(len(letters))))])
+    places = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(SYMBOLS)))
+    begin = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("a"))
+    step = lambda acc, b: F.struct((acc["s"] + F.get(table, acc["a"] * (len(SYMBOLS) + 1) + b)).alias("s"), b.alias("a"))
+    spelled_out = F.aggregate(places, begin, step, lambda acc: acc["s"])
+    bits = F.floor((spelled_out - F.length(token) * F.element_at(uniform, enc)) / SCALE) - 3
+    return F.greatest(F.lit(0), F.least(F.lit(MOST), bits)).cast("int")
+
+
+def scan(docs: DataFrame, costs: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, base, candidates) of every row: sorted base spans; candidate runs with their evidence, 0 if the battery rejects."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain_text(text).alias("text"))
     found = rows.select(
         "doc_id",
@@ -167,43 +212,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         F.filter(coded, lambda r: r["enc"].isNotNull()),
         lambda r: F.struct(
             r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(r["value"]).alias("token"),
-            F.concat(r["enc"], F.lit("/"), _band(F.length(r["value"])).cast("string")).alias("cell"),
-            randomness(r["value"], r["enc"]).alias("p"),
+            F.when(randomness(r["value"], r["enc"]) >= REJECT, evidence(r["value"], r["enc"], costs)).otherwise(0).alias("bits"),
         ),
     )
     slim = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end")))
     return found.select("doc_id", slim.alias("base"), tested.alias("candidates"))
 
 
-def cutoffs(found: DataFrame, fdr: float = FDR) -> dict[str, int]:
-    """Lowest reported p-value bin by cell; cells without one report nothing.
-
-    The histogram has at most one row for each encoding, band and bin.
-    """
-    tokens = found.select(F.explode("candidates").alias("c")).select("c.token", "c.cell", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    cells: dict[str, list[int]] = {}
-    for row in tokens.distinct().groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
-        cells.setdefault(row["cell"], [0] * BINS)[row["bin"]] = row["n"]
-    out = {}
-    for cell, counts in cells.items():
-        upper = sum(counts[BINS // 2 :])
-        random = 2 * upper
-        told, lowest = 0, None
-        for b in range(BINS - 1, -1, -1):
-            told += counts[b]
-            if told and told - random * (BINS - b) / BINS <= fdr * told:
-                lowest = b
-        if upper >= EVIDENCE and lowest is not None:
-            out[cell] = lowest
-    return out
+def cutoff(found: DataFrame, fdr: float = FDR) -> int | None:
+    """The least bits of evidence reported; None if no string has enough."""
+    tokens = found.select(F.explode("candidates").alias("c")).select("c.token", "c.bits").distinct()
+    counts = {row["bits"]: row["n"] for row in tokens.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}
+    told, lowest = 0, None
+    for b in range(MOST, 0, -1):
+        told += counts.get(b, 0)
+        if told * 2.0**b * fdr >= sum(counts.values()) and told:
+            lowest = b
+    return lowest
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
     """(doc_id, base, added): base spans (start, rank, end) in order, and the battery's spans."""
-    found = stored(scan(docs, doc_id, text), "secrets")
-    limits = cutoffs(found, fdr)
-    table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
-    chosen = F.filter("candidates", lambda c: F.floor(c["p"] * BINS) >= F.element_at(table, c["cell"]))
+    found = stored(scan(docs, spelling(docs, doc_id, text), doc_id, text), "secrets")
+    least = cutoff(found, fdr)
+    chosen = F.filter("candidates", lambda c: c["bits"] >= (MOST + 1 if least is None else least))
     added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     return found.select("doc_id", "base", added.alias("added"))
 

@@ -492,6 +492,51 @@ def test_secret_battery_is_calibrated(spark):
         assert abs((p > 0.5).mean() - 0.5) < 0.08 and (p < 0.05).mean() < 0.1
 
 
+@pytest.mark.parametrize("planted", [0, 1, 3, 5])
+def test_few_planted_keys_are_told_from_identifiers(spark, real, planted):
+    """However few they are; names, paths, dates and rules of dashes beside them are not reported."""
+    rng = np.random.default_rng(20 + planted)
+    names = ["parseHttpResponseHeaderFields", "MAX_CONNECTIONS_PER_HOST_LIMIT", "src/main/resources/config/default", "2024-01-05-12-30-45-2024-01-06", "-" * 40, "abcdefghijklmnopqrstuvwxyz0123456789", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "get_user_account_settings_by_name"]
+    rows = [(-1 - k, f"see {name} there") for k, name in enumerate(names)]
+    alphabets = ("base62", "base64", "base36", "base64url", "base32")
+    for k in range(planted):
+        rows.append((-100 - k, "before " + "".join(rng.choice(list(secrets.ENCODINGS[alphabets[k]]), 36)) + " after"))
+    docs = real.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    told = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in secrets.secrets(docs).filter(F.size("added") > 0).collect()}
+    assert not set(told) & {-1 - k for k in range(len(names))}
+    assert sum(told.get(-100 - k) == [(7, 3, 43)] for k in range(planted)) >= planted - (planted > 1)
+    assert planted or not told
+
+
+def test_spelling_by_brute_force(spark):
+    docs = [(1, "ab ab9 lone/ab"), (2, "AB ab ab9"), (3, "x" * 25 + " é-cd"), (4, "cd " + "x" * 25), (None, None)]
+    shared = ["ab", "ab9", "cd"]
+    symbols = " " + secrets.SYMBOLS
+    n = {}
+    for w in shared:
+        for a, b in zip(f" {w}", f"{w} "):
+            n[a, b] = n.get((a, b), 0) + 1
+    total, want = sum(n.values()), []
+    for a in symbols:
+        before = sum(v for (x, _), v in n.items() if x == a)
+        for b in symbols:
+            single = (sum(v for (_, y), v in n.items() if y == b) + 1) / (total + 63)
+            want.append(math.floor(-256 * math.log2((n.get((a, b), 0) + 8 * single) / (before + 8))) + (512 if b == " " else 0))
+    assert secrets.spelling(spark.createDataFrame(docs, "doc_id long, text string")) == want
+    token = "9abcdAB-z" * 3
+    codes = [symbols.index(c) if c in symbols else 0 for c in token]
+    bits = (sum(want[a * 63 + b] for a, b in zip([0, *codes], codes)) - len(token) * 1536) // 256 - 3
+    row = spark.range(1).select(secrets.evidence(F.lit(token), F.lit("base64url"), want).alias("bits")).first()
+    assert row["bits"] == max(0, min(200, bits))
+
+
+def test_texts_of_many_spans(spark):
+    """Lists of spans grow in chunks; places stay right across them."""
+    text = "é " + "0123456789abcdef01234567 token=abcdef " * 700
+    got = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got["base"]] == brute_spans(text) and len(got["base"]) == 1400
+
+
 # sketches
 
 

@@ -2,15 +2,16 @@
 
 A shingle (``SHINGLE`` words of the A-Z lower-cased text; fewer words: the whole sequence) is
 hashed to 64 bits and kept if its hash lies below a fixed fraction of the range, 2**-``SHIFT``.
-Since the threshold does not depend on the document, sketches of parts merge by union, and
-the share of one sketch found in another estimates containment however unequal the
+Where none lies below it, as in texts of a few words, the smallest stands alone, so that only texts
+without a word have an empty sketch. Since the threshold does not depend on the document, sketches
+of parts merge by union (a lone hash above the threshold stays only beside none below it), and the share of one sketch found in another estimates containment however unequal the
 documents are. The fingerprint is the sorted list of kept hashes in hexadecimal digits.
 
 Everything is built-in column expressions: words are hashed once each and a shingle's hash
 combines the hashes of its words, so no shingle text is ever formed.
 
-Defined cases: null or empty text has no shingle and an empty fingerprint; likeness is 1 for
-two texts without shingles kept, 0 if only one has some; null ids are one document after all
+Defined cases: a text without a word, null or empty ones too, has no shingle and an empty fingerprint;
+likeness is 1 for two such texts, 0 if only one is; null ids are one document after all
 others; rows that repeat an id share the next document; a single document follows itself.
 """
 
@@ -34,6 +35,15 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _below(hashes: Column, shift: int) -> Column:
+    """The distinct hashes below the threshold, ascending; the smallest of all where there is none."""
+    low = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - shift) == 0)
+    flip = F.lit(-(1 << 63)).cast("long")  # unsigned order as signed order
+    least = lambda: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(flip))).bitwiseXOR(flip)
+    some = lambda kept: F.when((F.size(kept) > 0) | (F.size(hashes) == 0), F.array_sort(F.array_distinct(kept))).otherwise(F.array(least()))
+    return _with(low, some)
+
+
 def sketch(text: Column, shingle: int = SHINGLE, shift: int = SHIFT) -> Column:
     """The kept hashes of a text, distinct and ascending."""
     words = F.filter(F.split(F.translate(text, CAPITALS, SMALL), BLANK), lambda w: w != "")
@@ -45,7 +55,7 @@ def sketch(text: Column, shingle: int = SHINGLE, shift: int = SHIFT) -> Column:
             F.slice(hashes, F.lit(1), F.greatest(whole + 1, F.least(F.size(hashes), F.lit(1)))),
             lambda _, i: F.xxhash64(*[at(i, k) for k in range(shingle)]),
         )
-        return F.array_sort(F.array_distinct(F.filter(rolled, lambda h: F.shiftrightunsigned(h, 64 - shift) == 0)))
+        return _with(rolled, lambda hashes: _below(hashes, shift))
 
     return _with(F.transform(words, lambda w: F.xxhash64(w)), kept)
 
@@ -54,9 +64,9 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, shift: int = SHIFT) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return _below(F.array_union(a, b), shift)
 
 
 def containment(a: Column, b: Column) -> Column:

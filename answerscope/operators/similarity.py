@@ -14,7 +14,8 @@ from answerscope.functions.aligned import Tokens, scores
 from answerscope.functions.arrays import let
 from answerscope.functions.overlap import MEASURES
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
-from answerscope.operators.groups import pair_tiles, positions
+from answerscope.operators.groups import oversized_groups, pair_tiles, pinned, positions
+from answerscope.session import stored
 
 # Texts per side of a comparison tile: at most 64·64 comparisons of whole texts per task step.
 TEXT_TILE = 64
@@ -22,6 +23,9 @@ TEXT_TILE = 64
 # Whole texts sorted by one task at most, and the characters by which the tasks are told apart.
 TEXTS_PER_BUCKET, STEERING_CHARS = 20_000, 64
 
+# Copies of one text in a sample beyond which its rows are not shuffled to meet its number.
+HOT_COPIES = 1_000_000
+
 
 def stem_vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, stem) for the distinct tokens of a text column: one stemming per word."""
@@ -180,9 +184,24 @@ def numbered_answers(
     return placed.withColumn("ans_id", (F.col("position") - 1).cast("int")).drop("position")
 
 
-def answer_index(df: DataFrame, sample: str, gen: str, text: str) -> DataFrame:
-    """(sample, generation, ans_id): which distinct answer every generation gave."""
-    return df.select(sample, gen, text).join(numbered_answers(df, sample, text), [sample, text]).drop(text)
+def answer_index(df: DataFrame, sample: str, gen: str, text: str, hot_copies: int = HOT_COPIES) -> DataFrame:
+    """(sample, generation, ans_id): which distinct answer every generation gave.
+
+    Texts of more than ``hot_copies`` copies, found by one count over digests, meet their numbers where
+    their rows are: a digest and a number for each goes to all tasks, at most one for ``hot_copies``
+    rows of input. The others are joined by a shuffle.
+    """
+    key = [sample, "_digest"]
+    rows = df.select(sample, gen, text, F.sha2(text, 256).alias("_digest"))
+    hot = oversized_groups(rows.select(*key), key, hot_copies)
+    numbers = numbered_answers(df, sample, text)
+    if hot is None:
+        return rows.drop("_digest").join(numbers, [sample, text]).drop(text)
+    hot = hot.drop("group_rows")
+    numbers = stored(numbers, "answers")
+    few = pinned(numbers.withColumn("_digest", F.sha2(text, 256)).join(hot, key, "left_semi").drop(text))
+    rest = rows.join(hot, key, "left_anti").drop("_digest").join(numbers, [sample, text]).drop(text)
+    return rest.unionByName(rows.drop(text).join(few, key).drop("_digest"))
 
 
 @lru_cache(maxsize=None)

@@ -174,3 +174,22 @@ def test_a_sample_of_many_texts_is_numbered_in_pieces(spark):
     whole = {(r["sample_id"], r["text"]): r["ans_id"] for r in D.numbered_answers(texts, "sample_id", "text").collect()}
     cut = {(r["sample_id"], r["text"]): r["ans_id"] for r in D.numbered_answers(texts, "sample_id", "text", rows_per_bucket=40).collect()}
     assert cut == whole
+
+
+def test_a_hot_text_is_numbered_without_a_shuffle(spark, no_broadcast):
+    """One text is a third of all answers, in a sample that holds most; null texts have no number."""
+    n = F.col("id")
+    answers = spark.range(900).select(
+        F.when(n % 5 < 3, "big").otherwise((n % 7).cast("string")).alias("sample_id"),
+        n.cast("int").alias("gen_id"),
+        F.when(n % 3 == 0, F.lit("hot")).when(n % 97 == 1, None).otherwise(F.concat(F.lit("t"), (n % 50).cast("string"))).alias("text"),
+    )
+    whole = D.answer_index(answers, "sample_id", "gen_id", "text")
+    cut = D.answer_index(answers, "sample_id", "gen_id", "text", hot_copies=40)
+    assert cut.columns == whole.columns
+    text = plan(cut)  # as planned, before it runs
+    rows = sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, cut.collect())) == rows and len({r[1] for r in rows}) == answers.filter("text IS NOT NULL").count()
+    assert text.count("BroadcastHashJoin") == 2 and text.count("SortMergeJoin") == 1
+    hot_side = text[text.rindex("BroadcastHashJoin"):]
+    assert "hashpartitioning" not in hot_side

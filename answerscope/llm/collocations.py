@@ -91,6 +91,7 @@ class _Names(dict):
     def __init__(self, fixed: list[bytes] | None = None):
         self.list = [_BREAK, *(fixed or ())]
         self.fixed = fixed is not None
+        self.kept: tuple | None = None
         super().__init__((w, i) for i, w in enumerate(self.list))
 
     def __missing__(self, word: bytes) -> int:
@@ -102,6 +103,22 @@ class _Names(dict):
         found = map(self.get, words, repeat(0)) if self.fixed else map(self.__getitem__, words)
         return np.fromiter(found, np.int32, len(words))
 
+    def keyed(self, lang: str, wave: Wave) -> tuple:
+        """(words, keys, marks, frequent, grow, on): what a wave asks of single words; once a task for a fixed list."""
+        if self.kept is None:
+            seed = _digest(lang, 42)
+            keys = np.array([_digest(w, seed) for w in self.list], np.uint64)
+            marks = keys.view(np.int64).copy()
+            marks[0] = 0
+            frequent, grow = wave.words.has(keys), wave.grow.has(keys)
+            on = grow | wave.via.has(keys)
+            frequent[0] = on[0] = False
+            found = pa.array(self.list, pa.binary()), keys, marks, frequent, grow, on
+            if not self.fixed:
+                return found
+            self.kept = found
+        return self.kept
+
 
 class Wave:
     """What a wave counts: extensions of ``grow``, phrases ``asked`` for by name; ``via`` holds their beginnings."""
@@ -111,23 +128,18 @@ class Wave:
         self.grow, self.via, self.asked, self.words, self.lengths, self.longest, self.dictionary = grow, via, asked, words, lengths, longest, dictionary
 
 
-def _grams(ids: np.ndarray, first: int, stop: int, names: list[bytes], lang: str, wave: Wave):
+def _grams(ids: np.ndarray, first: int, stop: int, names: _Names, lang: str, wave: Wave):
     """Counts of the wave's phrases that start at the given positions, a batch for each length."""
-    seed, size = _digest(lang, 42), len(names)
-    keys = np.array([_digest(w, seed) for w in names], np.uint64)
-    marks = keys.view(np.int64).copy()
-    marks[0] = 0
-    frequent = wave.words.has(keys)
-    frequent[0] = False
+    seed, size = _digest(lang, 42), len(names.list)
+    words, keys, marks, frequent, grow, on = names.keyed(lang, wave)
     padded = np.concatenate((np.zeros(1, np.int32), ids, np.zeros(wave.longest + 1, np.int32)))
-    words = phrases = pa.array(names, pa.binary())
+    phrases = words
     at = np.arange(first, stop)
     gram = ids[first:stop].astype(np.int64)
     for length in range(1, wave.longest):
-        grow = wave.grow.has(keys)
-        on = grow | wave.via.has(keys)
-        if length == 1:
-            on[0] = False
+        if length > 1:
+            grow = wave.grow.has(keys)
+            on = grow | wave.via.has(keys)
         following = padded[1 + at + length]
         use = on[gram] & frequent[following]
         at, key = at[use], gram[use] * size + following[use]
@@ -173,11 +185,11 @@ def _counts(broadcast):
 
         def flush(going: str | None):
             for lang in list(held):
-                ids, own = np.concatenate(held[lang]), names[lang].list
+                ids, own = np.concatenate(held[lang]), names[lang]
                 first, stop, rest = context[lang], len(ids), []
                 if lang == going and len(ids) > wave.longest + 1:
                     stop = len(ids) - wave.longest
-                    rest = [own[i] for i in ids[stop - 1 :].tolist()]
+                    rest = [own.list[i] for i in ids[stop - 1 :].tolist()]
                 yield from _grams(ids, first, stop, own, lang, wave)
                 del held[lang], context[lang]
                 if not names[lang].fixed:

@@ -1,8 +1,8 @@
 """Question sets: nested JSON sources to one normalised table.
 
 Every reader returns (id, story, question, answer struct<text, answer_start>,
-additional_answers). Paths may name one file, a folder of documents or JSON lines; scale
-comes from many files, as a single multi-line document cannot be split.
+additional_answers). Paths may name one file, a folder of documents or JSON lines. A document is
+read by one task unless ``split`` cuts it at its elements (see ``elements``).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from answerscope.operators.groups import pinned
 from answerscope.operators.sampling import dedup_first
 from answerscope.session import is_complete, stored
+from answerscope.sources.elements import json_elements
 
 # Layouts of the source documents.
 TURN = "struct<input_text:string>"
@@ -38,10 +39,19 @@ def _answer(text, start):
     return F.struct(text.alias("text"), start.cast("bigint").alias("answer_start")).alias("answer")
 
 
-def read_coqa(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per question of a story, with the aligned answer and three extra answers."""
-    docs = spark.read.schema(COQA_SCHEMA).json(path, multiLine=multi_line)
-    stories = docs.select(F.explode("data").alias("d"))
+def _elements(spark: SparkSession, path: str, schema: str, multi_line: bool, split: bool) -> DataFrame:
+    """(d): the elements of the documents' ``data``."""
+    if split:
+        return json_elements(spark, path, schema)
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.explode("data").alias("d"))
+
+
+def read_coqa(spark: SparkSession, path: str, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """One row per question of a story, with the aligned answer and three extra answers.
+
+    ``split``: many tasks read each document, a multi-line one or a single line.
+    """
+    stories = _elements(spark, path, COQA_SCHEMA, multi_line, split)
     asked = stories.select("d", F.posexplode("d.questions").alias("pos", "q"))
     given = F.get(F.col("d.answers"), F.col("pos"))
     extra = F.array(
@@ -56,10 +66,9 @@ def read_coqa(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     )
 
 
-def read_squad(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_squad(spark: SparkSession, path: str, multi_line: bool = True, split: bool = False) -> DataFrame:
     """Answerable questions; all answer texts, the first included, are additional answers."""
-    docs = spark.read.schema(SQUAD_SCHEMA).json(path, multiLine=multi_line)
-    paragraphs = docs.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
+    paragraphs = _elements(spark, path, SQUAD_SCHEMA, multi_line, split).select(F.explode("d.paragraphs").alias("p"))
     asked = paragraphs.select(F.col("p.context").alias("story"), F.explode("p.qas").alias("q"))
     first = F.get(F.col("q.answers"), F.lit(0))
     return asked.filter(~F.col("q.is_impossible")).select(

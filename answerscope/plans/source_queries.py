@@ -30,6 +30,14 @@ def _json(df, name: str, spark) -> str:
     return path
 
 
+def _documents(stories, name: str, spark) -> str:
+    """The stories in documents of up to 500 conversations and 25 stories of each, every document one JSON object."""
+    path = scratch_path(spark, name)
+    docs = stories.groupBy(F.expr("conv_id div 500").alias("conversations"), F.expr("part div 25").alias("parts")).agg(F.collect_list("doc").alias("data"))
+    docs.select("conversations", "parts", F.to_json(F.struct(F.lit("1.0").alias("version"), "data")).alias("value")).write.partitionBy("conversations", "parts").text(path)
+    return path
+
+
 TURNS_PER_STORY = 20  # documents stay small however long a conversation is
 
 
@@ -51,8 +59,7 @@ SELECT q.*, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) - 1 AS
 FROM (SELECT *, turn // {TURNS_PER_STORY} AS part FROM ({V.QA})) q JOIN ({_STORY}) USING (conv_id, part)"""
 
 
-def _coqa_path(spark, sf) -> str:
-    s = _stories(spark, sf)
+def _coqa_stories(spark, sf):
     texts = lambda f: F.transform("t", lambda x: F.struct(f(x).alias("input_text")))
     doc = F.struct(
         F.concat_ws("", F.lit("c"), F.col("conv_id").cast("string"), F.lit("p"), F.col("part").cast("string")).alias("id"), "story",
@@ -64,22 +71,34 @@ def _coqa_path(spark, sf) -> str:
             texts(lambda x: F.concat(x["question"], F.lit("!"))).alias("2"),
         ).alias("additional_answers"),
     )
-    return _json(s.select(F.array(doc).alias("data")), "coqa", spark)
+    return _stories(spark, sf).select("conv_id", "part", doc.alias("doc"))
 
 
-@query("read_coqa", f"""
+_COQA = f"""
 SELECT 'c' || conv_id || 'p' || part || '_' || pos AS id, story, question, answer AS answer_text, length(question) AS answer_start,
-       upper(question[1]) || '|' || answer || '|' || question || '!' AS extra FROM ({_ASKED})""")
-def _coqa(spark, sf):
-    qa = Q.read_coqa(spark, _coqa_path(spark, sf), multi_line=False)
+       upper(question[1]) || '|' || answer || '|' || question || '!' AS extra FROM ({_ASKED})"""
+
+
+def _read(qa):
     return qa.select(
         "id", "story", "question", F.col("answer.text").alias("answer_text"), F.col("answer.answer_start").alias("answer_start"),
         F.array_join("additional_answers", "|").alias("extra"),
     )
 
 
-def _squad_path(spark, sf) -> str:
-    s = _stories(spark, sf)
+@query("read_coqa", _COQA)
+def _coqa(spark, sf):
+    path = _json(_coqa_stories(spark, sf).select(F.array("doc").alias("data")), "coqa", spark)
+    return _read(Q.read_coqa(spark, path, multi_line=False))
+
+
+@query("read_coqa_split", _COQA)
+def _coqa_split(spark, sf):
+    """Documents of many stories, cut at their elements."""
+    return _read(Q.read_coqa(spark, _documents(_coqa_stories(spark, sf), "coqa", spark), split=True))
+
+
+def _squad_stories(spark, sf):
     answers = lambda x: F.transform(
         F.split(x["answer"], "\n"), lambda a: F.struct(a.alias("text"), F.length(a).cast("bigint").alias("answer_start"))
     )
@@ -93,7 +112,11 @@ def _squad_path(spark, sf) -> str:
         ),
     )
     paragraph = F.struct(F.col("story").alias("context"), qas.alias("qas"))
-    return _json(s.select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data")), "squad", spark)
+    return _stories(spark, sf).select("conv_id", "part", F.struct(F.array(paragraph).alias("paragraphs")).alias("doc"))
+
+
+def _squad_path(spark, sf) -> str:
+    return _json(_squad_stories(spark, sf).select(F.array("doc").alias("data")), "squad", spark)
 
 
 _SQUAD = f"""
@@ -104,11 +127,13 @@ FROM ({_ASKED}) WHERE length(question) % 3 <> 0"""
 
 @query("read_squad", _SQUAD)
 def _squad(spark, sf):
-    qa = Q.read_squad(spark, _squad_path(spark, sf), multi_line=False)
-    return qa.select(
-        "id", "story", "question", F.col("answer.text").alias("answer_text"), F.col("answer.answer_start").alias("answer_start"),
-        F.array_join("additional_answers", "|").alias("extra"),
-    )
+    return _read(Q.read_squad(spark, _squad_path(spark, sf), multi_line=False))
+
+
+@query("read_squad_split", _SQUAD)
+def _squad_split(spark, sf):
+    """Documents of many stories, cut at their elements."""
+    return _read(Q.read_squad(spark, _documents(_squad_stories(spark, sf), "squad", spark), split=True))
 
 
 @query("nq_open", """

@@ -12,17 +12,23 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from answerscope.functions.stemming import stem_token
 
 WORDS = 8  # 64-bit words of a row in lockstep
 WORTH = 32  # pairs of like lengths, for each word of bits, from which lockstep is faster
-WORK = 1 << 22  # tokens of pairs held at a time
+WORK = 1 << 20  # tokens of pairs held at a time
+PAIRS = 1 << 16  # pairs listed at a time
+SLICE = 1 << 22  # bytes of a batch's rows read at a time
 _TOKEN = re.compile("[a-z0-9]+")
 
 
 class Tokens:
-    """Token numbers of texts; each distinct text is read once, each distinct word stemmed once."""
+    """Token numbers of texts; each distinct text is read once, each distinct word stemmed once.
+
+    For one slice of a batch: it holds all that it has read.
+    """
 
     def __init__(self, stem: bool):
         self.stem, self.numbers, self.known, self.words = stem, {}, {}, {}
@@ -42,6 +48,20 @@ class Tokens:
         return found
 
 
+def row_slices(*columns: pa.Array):
+    """Rows of an Arrow batch, in order, in slices of at most ``SLICE`` bytes or of a single row.
+
+    Spark fills a batch to 10,000 rows or 64 MB, as far as a task's rows go. Python objects, token
+    numbers and pairs are made for one slice at a time, so they do not grow with the task.
+    """
+    n = len(columns[0])
+    if n > 1 and sum(c.nbytes for c in columns) > SLICE:
+        yield from row_slices(*(c.slice(0, n // 2) for c in columns))
+        yield from row_slices(*(c.slice(n // 2) for c in columns))
+    elif n:
+        yield columns
+
+
 def _flat(lists: list[np.ndarray]):
     """(values, owner of each value, sizes)."""
     sizes = np.array([len(x) for x in lists], np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerscope.functions import overlap
-from answerscope.functions.aligned import Tokens, scores
+from answerscope.functions.aligned import PAIRS, Tokens, row_slices, scores
 from answerscope.functions.arrays import let
 from answerscope.functions.overlap import MEASURES
 from answerscope.functions.text import caseless, drop_punctuation, rouge_tokens
@@ -79,6 +79,11 @@ def distinct_answers(df: DataFrame, sample: str, text: str) -> DataFrame:
     return df.groupBy(sample, text).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _other_side() -> Column:
+    """A tile's right side; none on the diagonal, where it would be the left one again."""
+    return F.when(F.col("lo") != F.col("hi"), F.col("right_items"))
+
+
 def _tile_pairs(diagonal: bool, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     """Which texts of a tile meet: each with the later ones, or left with right."""
     if diagonal:
@@ -86,6 +91,25 @@ def _tile_pairs(diagonal: bool, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(n_a), n_b), np.tile(np.arange(n_b), n_a)
 
 
+def _tile_lists(same: list, left: list, right: list, tokens: Tokens):
+    """The pairs of some tiles at a time: pairs of each tile, texts of both sides, products of copies."""
+    of, ta, tb, weight = [], [], [], []
+    copies = lambda side: np.array([x["copies"] for x in side], np.float64)
+    for diagonal, a, b in zip(same, left, right):
+        b = a if diagonal else b
+        i, j = _tile_pairs(diagonal, len(a), len(b))
+        texts_a, texts_b = ([tokens(x["text"]) for x in side] for side in (a, b))
+        of.append(len(i))
+        ta += [texts_a[x] for x in i]
+        tb += [texts_b[x] for x in j]
+        weight.append(copies(a)[i] * copies(b)[j])
+        if len(ta) >= PAIRS:
+            yield of, ta, tb, np.concatenate(weight)
+            of, ta, tb, weight = [], [], [], []
+    if of:
+        yield of, ta, tb, np.concatenate(weight)
+
+
 @lru_cache(maxsize=None)
 def _tile_sums(measures: tuple[str, ...], stem: bool):
     """Sum over a tile's pairs of score·copies·copies, for each measure.
@@ -96,20 +120,12 @@ def _tile_sums(measures: tuple[str, ...], stem: bool):
 
     @F.arrow_udf("struct<" + ",".join(f"{m}:double" for m in measures) + ">")
     def run(same: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        tokens = Tokens(stem)
-        ta, tb, weight, tile = [], [], [], []
-        for k, (diagonal, a, b) in enumerate(zip(same.to_pylist(), left.to_pylist(), right.to_pylist())):
-            texts_a, texts_b = ([tokens(x["text"]) for x in side] for side in (a, b))
-            i, j = _tile_pairs(diagonal, len(a), len(b))
-            ta += [texts_a[x] for x in i]
-            tb += [(texts_a if diagonal else texts_b)[x] for x in j]
-            copies = lambda side: np.array([x["copies"] for x in side], np.float64)
-            weight.append(copies(a)[i] * copies(a if diagonal else b)[j])
-            tile.append(np.full(len(i), k))
-        n = len(same)
-        of, weight = (np.concatenate(x) if x else np.empty(0) for x in (tile, weight))
-        sums = {m: np.bincount(of.astype(np.int64), scores(ta, tb, m) * weight, n) for m in measures}
-        return pa.StructArray.from_arrays([pa.array(sums[m], pa.float64()) for m in measures], names=list(measures))
+        sums = {m: [np.empty(0)] for m in measures}
+        for part in row_slices(same, left, right):
+            for of, ta, tb, weight in _tile_lists(*(x.to_pylist() for x in part), Tokens(stem)):
+                for m in measures:
+                    sums[m].append(np.bincount(np.repeat(np.arange(len(of)), of), scores(ta, tb, m) * weight, len(of)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(sums[m]), pa.float64()) for m in measures], names=list(measures))
 
     return run
 
@@ -134,7 +150,7 @@ def _pair_sums(df: DataFrame, sample: str, text: str, measures, stem: bool, limi
     has_token = lambda x: F.lower(x["text"]).rlike("[a-z0-9]")
     per_tile = tiles.select(
         sample,
-        _tile_sums(tuple(measures), stem)(diagonal, "left_items", "right_items").alias("_s"),
+        _tile_sums(tuple(measures), stem)(diagonal, "left_items", _other_side()).alias("_s"),
         total(lambda x: x["copies"]).alias("n"),
         total(lambda x: x["copies"] * x["copies"]).alias("sq"),
         total(lambda x: F.when(has_token(x), pairs_of(x)).otherwise(F.lit(0))).alias("twins"),
@@ -211,24 +227,6 @@ def _tile_matrix(stem: bool):
 
     @F.arrow_udf(f"array<{row}>")
     def run(same: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
-        out, tokens = [], Tokens(stem)
-        for diagonal, a, b in zip(same.to_pylist(), left.to_pylist(), right.to_pylist()):
-            ta, tb = ([tokens(x["text"]) for x in side] for side in (a, a if diagonal else b))
-            i, j = _tile_pairs(diagonal, len(ta), len(tb))
-            m = np.eye(len(ta)) if diagonal else np.zeros((len(ta), len(tb)))
-            m[i, j] = scores([ta[x] for x in i], [tb[x] for x in j], "rougeL")
-            if diagonal:
-                m[j, i] = m[i, j]
-            ids_a = [x["ans_id"] for x in a]
-            ids_b = ids_a if diagonal else [x["ans_id"] for x in b]
-            rows = [(ids_a, ids_b, m)] if diagonal else [(ids_a, ids_b, m), (ids_b, ids_a, m.T)]
-            out.append(
-                [
-                    {"ans_id": i, "others": [{"j": j, "value": float(v)} for j, v in zip(cols, line)]}
-                    for ids, cols, mat in rows
-                    for i, line in zip(ids, mat)
-                ]
-            )
         kind = pa.list_(
             pa.struct(
                 [
@@ -237,7 +235,31 @@ def _tile_matrix(stem: bool):
                 ]
             )
         )
-        return pa.array(out, kind)
+        done, out, listed = [pa.array([], kind)], [], 0
+        for part in row_slices(same, left, right):
+            tokens = Tokens(stem)
+            for diagonal, a, b in zip(*(x.to_pylist() for x in part)):
+                ta, tb = ([tokens(x["text"]) for x in side] for side in (a, a if diagonal else b))
+                i, j = _tile_pairs(diagonal, len(ta), len(tb))
+                m = np.eye(len(ta)) if diagonal else np.zeros((len(ta), len(tb)))
+                m[i, j] = scores([ta[x] for x in i], [tb[x] for x in j], "rougeL")
+                if diagonal:
+                    m[j, i] = m[i, j]
+                ids_a = [x["ans_id"] for x in a]
+                ids_b = ids_a if diagonal else [x["ans_id"] for x in b]
+                rows = [(ids_a, ids_b, m)] if diagonal else [(ids_a, ids_b, m), (ids_b, ids_a, m.T)]
+                out.append(
+                    [
+                        {"ans_id": i, "others": [{"j": j, "value": float(v)} for j, v in zip(cols, line)]}
+                        for ids, cols, mat in rows
+                        for i, line in zip(ids, mat)
+                    ]
+                )
+                listed += m.size
+                if listed >= PAIRS:
+                    done.append(pa.array(out, kind))
+                    out, listed = [], 0
+        return pa.concat_arrays([*done, pa.array(out, kind)])
 
     return run
 
@@ -255,7 +277,7 @@ def lexical_similarity_matrix(
     tiles = pair_tiles(answers, [sample], item, F.col(text), limit, probe=df.select(sample))
     lines = tiles.select(
         sample,
-        F.explode(_tile_matrix(stem)(F.col("lo") == F.col("hi"), "left_items", "right_items")).alias("_l"),
+        F.explode(_tile_matrix(stem)(F.col("lo") == F.col("hi"), "left_items", _other_side())).alias("_l"),
     )
     parts = F.array_sort(F.flatten(F.collect_list("_l.others")))
     return lines.groupBy(sample, F.col("_l.ans_id").alias("ans_id")).agg(

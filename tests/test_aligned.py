@@ -1,8 +1,10 @@
 """Scores of many pairs at once against one pair at a time."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,34 @@ def test_a_record_of_many_generations_is_scored_in_linear_time(spark):
     df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda k: F.concat(F.lit("answer "), k.cast("string"))).alias("generations"), F.lit("answer 77").alias("answer"), F.array(F.lit("other")).alias("additional_answers"))
     got = similarity.score_generations(df).agg(F.count(F.lit(1)), F.sum("exact_match"), F.sum((F.col("rougeL") == 1).cast("int"))).first()
     assert tuple(got) == (30_000, 1.0, 1) and time.perf_counter() - start < 30
+
+
+@pytest.fixture
+def small_pieces(spark, monkeypatch):
+    """The same bounds, for small batches."""
+    monkeypatch.setattr(aligned, "WORK", 1 << 14)
+    monkeypatch.setattr(aligned, "SLICE", 1 << 15, raising=False)
+    for module in (similarity, overlap):
+        monkeypatch.setattr(module, "PAIRS", 1 << 11, raising=False)
+
+
+def _peak(fn, *columns) -> int:
+    fn(*columns)  # caches of words
+    tracemalloc.start()
+    fn(*columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def _tiles(n: int, size: int, words: int):
+    """Diagonal tiles of ``size`` texts."""
+    rng = np.random.default_rng(n)
+    texts = lambda: [{"text": " ".join(f"w{x}" for x in rng.integers(0, 500, words)), "copies": 1} for _ in range(size)]
+    left = pa.array([texts() for _ in range(n)])
+    return pa.array([True] * n), left, left
+
+
+def test_memory_of_document_tiles_does_not_grow_with_the_batch(small_pieces):
+    run = similarity._tile_sums(("rougeL",), True).func
+    assert _peak(run, *_tiles(240, 5, 100)) < 2 * _peak(run, *_tiles(60, 5, 100))

@@ -84,3 +84,8 @@ def _tiles(n: int, size: int, words: int):
 def test_memory_of_document_tiles_does_not_grow_with_the_batch(small_pieces):
     run = similarity._tile_sums(("rougeL",), True).func
     assert _peak(run, *_tiles(240, 5, 100)) < 2 * _peak(run, *_tiles(60, 5, 100))
+
+
+def test_memory_of_answer_tiles_does_not_grow_with_the_batch(small_pieces):
+    run = similarity._tile_sums(overlap.MEASURES, False).func
+    assert _peak(run, *_tiles(1600, 6, 20)) < 2 * _peak(run, *_tiles(400, 6, 20))

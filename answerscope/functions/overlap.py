@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from answerscope.functions.aligned import Tokens, scores
+from answerscope.functions.aligned import PAIRS, Tokens, row_slices, scores
 from answerscope.functions.stemming import stem_token
 
 MEASURES = ("rouge1", "rouge2", "rougeL")
@@ -66,13 +66,16 @@ def pair_score(a: list[str], b: list[str], measure: str) -> float:
 def _pair_udf(measure: str, stem: bool):
     @F.arrow_udf("double")
     def score(prediction: pa.Array, reference: pa.Array) -> pa.Array:
-        tokens = Tokens(stem)
-        both = list(zip(prediction.to_pylist(), reference.to_pylist()))
-        told = np.array([p is not None and r is not None for p, r in both], bool)
-        out = np.zeros(len(both))
-        known = [both[i] for i in np.flatnonzero(told)]
-        out[told] = scores([tokens(p) for p, _ in known], [tokens(r) for _, r in known], measure)
-        return pa.array(out, pa.float64(), mask=~told)
+        done = [pa.array([], pa.float64())]
+        for part in row_slices(prediction, reference):
+            tokens = Tokens(stem)
+            both = list(zip(*(x.to_pylist() for x in part)))
+            told = np.array([p is not None and r is not None for p, r in both], bool)
+            out = np.zeros(len(both))
+            known = [both[i] for i in np.flatnonzero(told)]
+            out[told] = scores([tokens(p) for p, _ in known], [tokens(r) for _, r in known], measure)
+            done.append(pa.array(out, pa.float64(), mask=~told))
+        return pa.concat_arrays(done)
 
     return score
 
@@ -80,43 +83,55 @@ def _pair_udf(measure: str, stem: bool):
 def _best(predictions: list[list], references: list, measures, stem: bool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For every prediction of every row the best score over the row's references, and whether there is one.
 
-    Equal predictions of a row are compared once.
+    Equal predictions of a row are compared once; about ``PAIRS`` pairs are listed at a time.
     """
     tokens = Tokens(stem)
-    left, right, count, at = [], [], [], []
+    best: dict[str, list] = {m: [] for m in measures}
+    left, right, count, at, some_ref, n = [], [], [], [], [], 0
+
+    def settle() -> None:
+        sizes = np.array(count, np.int64)
+        some = np.flatnonzero(sizes)
+        start = (np.cumsum(sizes) - sizes)[some]
+        some_ref.append(sizes > 0)
+        for m in measures:
+            value = np.zeros(len(sizes))
+            if len(some):
+                value[some] = np.maximum.reduceat(scores(left, right, m), start)
+            best[m].append(value)
+        del left[:], right[:], count[:]
+
     for preds, refs in zip(predictions, references):
         texts = [tokens(r) for r in refs or () if r is not None]
         first: dict = {None: -1}
         for p in preds:
             if p not in first:
-                first[p] = len(count)
+                first[p], n = n, n + 1
                 left += [tokens(p)] * len(texts)
                 right += texts
                 count.append(len(texts))
+                if len(left) >= PAIRS:
+                    settle()
             at.append(first[p])
-    count, at = np.array(count, np.int64), np.array(at, np.int64)
-    some = np.flatnonzero(count)
-    start = (np.cumsum(count) - count)[some]
-    told = np.zeros(len(count) + 1, bool)  # the last one: no prediction
-    told[some] = True
-    out = {}
-    for m in measures:
-        value = np.zeros(len(count) + 1)
-        if len(some):
-            value[some] = np.maximum.reduceat(scores(left, right, m), start)
-        out[m] = value[at], told[at]
-    return out
+    settle()
+    told = np.concatenate((*some_ref, [False]))  # the last one: no prediction
+    at = np.array(at, np.int64)
+    return {m: (np.append(np.concatenate(best[m]), 0.0)[at], told[at]) for m in measures}
 
 
-def _struct(best: dict) -> pa.StructArray:
-    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=~told) for v, told in best.values()], names=list(best))
+def _joined(parts, measures) -> pa.StructArray:
+    parts = list(parts)
+    flat = lambda k, m, kind: np.concatenate([np.empty(0, kind), *(p[m][k] for p in parts)])
+    columns = [pa.array(flat(0, m, np.float64), mask=~flat(1, m, bool)) for m in measures]
+    return pa.StructArray.from_arrays(columns, names=list(measures))
 
 
 @lru_cache(maxsize=None)
 def _best_udf(measures: tuple[str, ...], stem: bool):
     @F.arrow_udf("struct<" + ",".join(f"{m}:double" for m in measures) + ">")
     def best(prediction: pa.Array, references: pa.Array) -> pa.Array:
-        return _struct(_best([[p] for p in prediction.to_pylist()], references.to_pylist(), measures, stem))
+        parts = (_best([[p] for p in ps.to_pylist()], rs.to_pylist(), measures, stem) for ps, rs in row_slices(prediction, references))
+        return _joined(parts, measures)
 
     return best
 
@@ -125,9 +140,13 @@ def _best_udf(measures: tuple[str, ...], stem: bool):
 def _best_each_udf(measures: tuple[str, ...], stem: bool):
     @F.arrow_udf("array<struct<" + ",".join(f"{m}:double" for m in measures) + ">>")
     def best(predictions: pa.Array, references: pa.Array) -> pa.Array:
-        lists = [x or [] for x in predictions.to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), _struct(_best(lists, references.to_pylist(), measures, stem)))
+        parts, sizes = [], []
+        for ps, rs in row_slices(predictions, references):
+            lists = [x or [] for x in ps.to_pylist()]
+            sizes += map(len, lists)
+            parts.append(_best(lists, rs.to_pylist(), measures, stem))
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), _joined(parts, measures))
 
     return best
 

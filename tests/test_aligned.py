@@ -89,3 +89,32 @@ def test_memory_of_document_tiles_does_not_grow_with_the_batch(small_pieces):
 def test_memory_of_answer_tiles_does_not_grow_with_the_batch(small_pieces):
     run = similarity._tile_sums(overlap.MEASURES, False).func
     assert _peak(run, *_tiles(1600, 6, 20)) < 2 * _peak(run, *_tiles(400, 6, 20))
+
+
+def _records(n: int):
+    rng = np.random.default_rng(n)
+    texts = lambda size, words: [" ".join(f"w{x}" for x in rng.integers(0, 500, words)) for _ in range(size)]
+    return pa.array([texts(15, 12) for _ in range(n)]), pa.array([texts(10, 12) for _ in range(n)])
+
+
+def test_memory_of_records_does_not_grow_with_the_batch(small_pieces):
+    run = overlap._best_each_udf(overlap.MEASURES, False).func
+    assert _peak(run, *_records(400)) < 2 * _peak(run, *_records(100))
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    tiles, records = _tiles(40, 6, 20), _records(40)
+    flat = records[0].flatten(), pa.array([x for x in records[1].to_pylist() for _ in range(15)])
+    runs = [
+        (similarity._tile_sums(overlap.MEASURES, True).func, tiles),
+        (similarity._tile_matrix(False).func, (tiles[0], pa.array([[{"ans_id": i, "text": x["text"]} for i, x in enumerate(t)] for t in tiles[1].to_pylist()]), pa.nulls(40))),
+        (overlap._best_each_udf(overlap.MEASURES, False).func, records),
+        (overlap._best_udf(overlap.MEASURES, False).func, flat),
+        (overlap._pair_udf("rouge2", False).func, (flat[0], flat[0].take(pa.array(np.arange(600)[::-1])))),
+    ]
+    whole = [run(*columns).to_pylist() for run, columns in runs]
+    monkeypatch.setattr(aligned, "SLICE", 300)
+    for module in (similarity, overlap):
+        monkeypatch.setattr(module, "PAIRS", 7)
+    assert [run(*columns).to_pylist() for run, columns in runs] == whole
+    assert [run(*(c.slice(0, 0) for c in columns)).to_pylist() for run, columns in runs] == [[]] * 5

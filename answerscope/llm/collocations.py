@@ -22,7 +22,8 @@ of the neighbours are summed along with the counts.
 Scale: a wave is one read of the texts; tasks count grams in numpy over chunks of ``CHUNK`` words, Spark
 sums them with map-side combine, so hot words and phrases weigh nothing. Which nodes to
 expand reaches the tasks as bitmaps of bounded size, whose mistakes only add rows that are dropped
-later; the frequent words themselves go along while they are at most ``DICTIONARY``. Counts, frontier and scores are tables; the best of a language are found in two steps, so
+later; the frequent words themselves go along while they are at most ``DICTIONARY``, and the texts are
+then split and numbered by them once, so that waves read numbers. Counts, frontier and scores are tables; the best of a language are found in two steps, so
 none is sorted in one task. Scores use decimals of 36 digits.
 
 Defined cases: null or empty texts have no words, a null language is ``und``; repeated rows count
@@ -47,6 +48,7 @@ from answerscope.llm.common import plain_text, segments, slices, stored
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 CHUNK = 1_000_000  # words counted at a time
+ROW = 1 << 16  # numbered words kept in a row
 DICTIONARY = 500_000  # frequent words sent to the tasks as such; beyond, each chunk numbers its own
 DISTINCT = 500_000  # words held by a task's first count
 SHARDS = 256  # of a language, when its best are found
@@ -99,6 +101,11 @@ class _Names(dict):
         self.list.append(word)
         return number
 
+    @property
+    def width(self):
+        """The type that numbers of a fixed list are kept in."""
+        return np.uint16 if len(self.list) <= 1 << 16 else np.int32
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         found = map(self.get, words, repeat(0)) if self.fixed else map(self.__getitem__, words)
         return np.fromiter(found, np.int32, len(words))
@@ -128,14 +135,13 @@ class Wave:
         self.grow, self.via, self.asked, self.words, self.lengths, self.longest, self.dictionary = grow, via, asked, words, lengths, longest, dictionary
 
 
-def _grams(ids: np.ndarray, first: int, stop: int, names: _Names, lang: str, wave: Wave):
+def _grams(ids: np.ndarray, at: np.ndarray, names: _Names, lang: str, wave: Wave):
     """Counts of the wave's phrases that start at the given positions, a batch for each length."""
     seed, size = _digest(lang, 42), len(names.list)
     words, keys, marks, frequent, grow, on = names.keyed(lang, wave)
     padded = np.concatenate((np.zeros(1, np.int32), ids, np.zeros(wave.longest + 1, np.int32)))
     phrases = words
-    at = np.arange(first, stop)
-    gram = ids[first:stop].astype(np.int64)
+    gram = ids[at].astype(np.int64)
     for length in range(1, wave.longest):
         if length > 1:
             grow = wave.grow.has(keys)
@@ -173,46 +179,103 @@ _SPACE = pa.scalar(b" ", pa.binary())
 COUNTED = "lang string, phrase string, c long, nlo long, nhi long, plo long, phi long"
 
 
-def _counts(broadcast):
-    """Counts over chunks of the partition; a chunk that ends inside a text hands on its last words."""
+def _chunks(batches, dictionary: dict[str, list[bytes]] | None, longest: int, size: int):
+    """(lang, names, ids, first, stop): numbered words in chunks of about ``size``; phrases start from ``first``
+    up to ``stop``. A chunk that ends inside a text hands on its last words."""
+    names: dict[str, _Names] = {}
+    held: dict[str, list] = defaultdict(list)
+    context: dict[str, int] = defaultdict(int)
+    count = 0
+
+    def flush(going: str | None):
+        for lang in list(held):
+            ids, own = np.concatenate(held[lang]), names[lang]
+            if lang == going and len(ids) <= longest + 1:
+                continue  # too few words to tell where the next chunk starts
+            first, stop, rest = context[lang], len(ids), []
+            if lang == going:
+                stop = len(ids) - longest
+                rest = [own.list[i] for i in ids[stop - 1 :].tolist()]
+            yield lang, own, ids, first, stop
+            del held[lang], context[lang]
+            if not own.fixed:
+                del names[lang]
+            if rest:
+                put(lang, rest)
+                context[lang] = 1
+
+    def put(lang: str, words: list[bytes]) -> None:
+        if lang not in names:
+            names[lang] = _Names(None if dictionary is None else dictionary[lang])
+        held[lang].append(names[lang].numbers(words))
+
+    for batch in slices(batches, "text"):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            if dictionary is not None and lang not in dictionary:
+                continue
+            for part in words_of(text):
+                put(lang, part)
+                count += len(part)
+                if count >= size:
+                    yield from flush(lang)
+                    count = 0
+            put(lang, [_BREAK])
+    yield from flush(None)
+
+
+NUMBERED = "lang string, first int, stop int, ids binary"
+
+
+def _numbered(broadcast, longest: int):
+    """The texts as numbers of frequent words, some texts a row; ``_read`` takes them up again."""
 
     def run(batches):
-        wave = broadcast.value
-        names: dict[str, _Names] = {}
-        held: dict[str, list] = defaultdict(list)
-        context: dict[str, int] = defaultdict(int)
-        count = 0
-
-        def flush(going: str | None):
-            for lang in list(held):
-                ids, own = np.concatenate(held[lang]), names[lang]
-                first, stop, rest = context[lang], len(ids), []
-                if lang == going and len(ids) > wave.longest + 1:
-                    stop = len(ids) - wave.longest
-                    rest = [own.list[i] for i in ids[stop - 1 :].tolist()]
-                yield from _grams(ids, first, stop, own, lang, wave)
-                del held[lang], context[lang]
-                if not names[lang].fixed:
-                    del names[lang]
-                if rest:
-                    put(lang, rest)
-                    context[lang] = 1
-
-        def put(lang: str, words: list[bytes]) -> None:
+        for lang, names, ids, first, stop in _chunks(batches, broadcast.value, longest, ROW):
+            yield pa.RecordBatch.from_pydict(
+                {"lang": [lang], "first": pa.array([first], pa.int32()), "stop": pa.array([stop], pa.int32()), "ids": pa.array([ids.astype(names.width).tobytes()], pa.binary())}
+            )
+
+    return run
+
+
+def _read(batches, dictionary: dict[str, list[bytes]], size: int):
+    """(lang, names, ids, at): the rows of ``_numbered`` in chunks of about ``size`` words, a break after each row."""
+    names: dict[str, _Names] = {}
+    held, at = defaultdict(list), defaultdict(list)
+    length: dict[str, int] = defaultdict(int)
+    gap = np.zeros(1, np.uint16)
+
+    def flush():
+        for lang, ids in held.items():
+            yield lang, names[lang], np.concatenate(ids), np.concatenate(at[lang])
+        for x in (held, at, length):
+            x.clear()
+
+    for batch in slices(batches, "ids"):
+        for lang, first, stop, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "stop", "ids"))):
             if lang not in names:
-                names[lang] = _Names(None if wave.dictionary is None else wave.dictionary.get(lang, []))
-            held[lang].append(names[lang].numbers(words))
-
-        for batch in slices(batches, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for part in words_of(text):
-                    put(lang, part)
-                    count += len(part)
-                    if count >= CHUNK:
-                        yield from flush(lang)
-                        count = 0
-                put(lang, [_BREAK])
-        yield from flush(None)
+                names[lang] = _Names(dictionary[lang])
+            ids = np.frombuffer(raw, names[lang].width)
+            held[lang] += [ids, gap]
+            at[lang].append(np.arange(first, stop) + length[lang])
+            length[lang] += len(ids) + 1
+            if sum(length.values()) >= size:
+                yield from flush()
+    yield from flush()
+
+
+def _counts(broadcast, numbered: bool = False):
+    """Counts over chunks of the partition, of texts or of the rows of ``_numbered``."""
+
+    def run(batches):
+        wave = broadcast.value
+        if numbered:
+            chunks = _read(batches, wave.dictionary, CHUNK)
+        else:
+            texts = _chunks(batches, wave.dictionary, wave.longest, CHUNK)
+            chunks = ((lang, names, ids, np.arange(first, stop)) for lang, names, ids, first, stop in texts)
+        for lang, names, ids, at in chunks:
+            yield from _grams(ids, at, names, lang, wave)
 
     return run
 
@@ -293,6 +356,8 @@ def collocations(
         dictionary = {}
         for r in words.select("lang", "phrase").collect():
             dictionary.setdefault(r["lang"], []).append(r["phrase"].encode())
+        # split into words and numbered once, not in each wave
+        rows = stored(rows.mapInArrow(_numbered(sc.broadcast(dictionary), longest), NUMBERED), "numbered")
     known = words.select("lang", "phrase", "f")
     firsts = words.select("lang", F.col("phrase").alias("first"), "n", "bound")
     node = ["lang", "phrase", "m", "bound"]
@@ -306,7 +371,7 @@ def collocations(
         if deepest is None:
             break
         wave = Wave(*bitmaps(wanted, key, F.col("role"), 3), frequent, set(range(2, deepest + 1)), longest, dictionary)
-        summed = rows.mapInArrow(_counts(sc.broadcast(wave)), COUNTED).groupBy("lang", "phrase").agg(
+        summed = rows.mapInArrow(_counts(sc.broadcast(wave), dictionary is not None), COUNTED).groupBy("lang", "phrase").agg(
             F.sum("c").alias("f"), F.min("nlo").alias("nlo"), F.max("nhi").alias("nhi"), F.min("plo").alias("plo"), F.max("phi").alias("phi")
         )
         m = F.size(F.split("phrase", " "))

@@ -116,6 +116,42 @@ def test_chunks_change_no_count(monkeypatch):
     assert summed() == whole
 
 
+def test_numbered_rows_change_no_count(monkeypatch):
+    """Rows that end inside a text, put together again, count the same grams and see the same neighbours."""
+    rng = np.random.default_rng(4)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr", "zz", "en", "en"], "text": [*prose(rng, 4), " ".join(prose(rng, 60)).replace(".", " ")]})
+    everything = bitmaps.Bitmap(np.full(1024, 2**64 - 1, np.uint64))
+    listed = {lang: [b"w%d" % i for i in range(1, most)] for lang, most in (("en", 9), ("fr", 70_000))}
+    told = SimpleNamespace(value=collocations.Wave(everything, everything, everything, everything, {2, 3, 4, 5}, 5, listed))
+
+    def summed(batches):
+        out = {}
+        for b in batches:
+            for r in b.to_pylist():
+                old = out.get((r["lang"], r["phrase"]), (0, r["nlo"], r["nhi"], r["plo"], r["phi"]))
+                out[r["lang"], r["phrase"]] = (old[0] + r["c"], min(old[1], r["nlo"]), max(old[2], r["nhi"]), min(old[3], r["plo"]), max(old[4], r["phi"]))
+        return out
+
+    whole = summed(collocations._counts(told)([batch]))
+    assert {lang for lang, _ in whole} == {"en", "fr"} and len(whole) > 500
+    for row, chunk, part in ((1, 1, 20), (1, 1 << 20, 5), (50, 300, 200), (1 << 16, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(collocations, "ROW", row)
+        monkeypatch.setattr(collocations, "CHUNK", chunk)
+        monkeypatch.setattr(collocations, "segments", lambda raw, n=part: segments(raw, n))
+        rows = list(collocations._numbered(SimpleNamespace(value=listed), 5)([batch]))
+        assert summed(collocations._counts(told, True)(rows)) == whole
+
+
+def test_waves_do_not_read_texts_again(spark):
+    """Texts are read for the words and to be numbered, however many waves there are."""
+    rows = [("en", t) for t in prose(np.random.default_rng(2), 100, 14, ["alpha beta gamma", "one two three four five six"])]
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    docs = spark.createDataFrame(rows, "lang string, text string").select("lang", seen("text").alias("text"))
+    got = sorted(map(tuple, collocations.collocations(docs, least=3, top=20).collect()))
+    assert got == brute_collocations(rows, 3, 5, 20) and read.value == 2 * len(rows)
+
+
 # substring dedup
 
 
